@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import audio, bpe, mixing
+from lodestone.llm import additive, audio, bpe, langid, line_dedup, mixing, pii, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,43 @@ def _sha(col) -> F.Column:
     return F.sha2(col, 256)
 
 
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return additive.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _joined(spans) -> F.Column:
+    """kind:start:end by start, then kind."""
+    ordered = F.expr(f"array_sort(transform({spans}, x -> struct(x.start AS start, array_position(array('email', 'ip', 'card', 'phone'), x.kind) AS place, x.end AS end, x.kind AS kind)))")
+    return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op4_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal(docs, pii.fit(docs))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS bigint) AS n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, _sha(_joined("base")).alias("base_sha256"), _joined("concat(base, added)").alias("spans"))
+
+
+def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    judged = langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"))
+    return judged.select("doc_id", "lang", "source", "lang_id", "lang_confidence", "lang_keep")
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", _sha("text").alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs).select("doc_id", "ids"))
@@ -32,6 +65,6 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heard.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), _sha("payload").alias("payload_sha256"), tail, F.octet_length("media").cast("long").alias("media_bytes"), _sha("media").alias("media_sha256"), "feature")
 
 
-QUERIES = {f.__name__: f for f in (op6_poisson_mix, op8_bpe, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op2_additive_quantisation, op3_simhash_bktree, op4_pii_skip_chain, op5_language_fusion, op6_poisson_mix, op7_line_cuckoo, op8_bpe, op10_audio_features)}
 
-ORACLES = {"op6_poisson_mix": mixing.ORACLE_SQL}
+ORACLES = {"op6_poisson_mix": mixing.ORACLE_SQL, "op7_line_cuckoo": line_dedup.ORACLE_SQL}
