@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
-def written(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it back, so that a lost executor costs a read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -46,3 +47,14 @@ def without(df: DataFrame, *own: str) -> DataFrame:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """Cut a grouped table loose from its grouping, so that a join deals out both sides itself and adaptive execution can split a hot key."""
+    return df.hint("rebalance")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner free the shuffle files of plans that are done with."""
+    gc.collect()
+    spark._jvm.System.gc()

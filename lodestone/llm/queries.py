@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import additive, audio, bpe, langid, line_dedup, mixing, pii, simhash
+from lodestone.llm import additive, audio, bpe, langid, line_dedup, mixing, pii, prefix_free, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +59,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(F.array_join("ids", " ")).alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
 
 
+def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = prefix_free.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), _sha("kept").alias("kept_sha256"))
+
+
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     heard = audio.audio_features(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     tail = F.expr("crc32(substring(payload, -64, 64))").alias("tail_crc32")
     return heard.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), _sha("payload").alias("payload_sha256"), tail, F.octet_length("media").cast("long").alias("media_bytes"), _sha("media").alias("media_sha256"), "feature")
 
 
-QUERIES = {f.__name__: f for f in (op2_additive_quantisation, op3_simhash_bktree, op4_pii_skip_chain, op5_language_fusion, op6_poisson_mix, op7_line_cuckoo, op8_bpe, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op2_additive_quantisation, op3_simhash_bktree, op4_pii_skip_chain, op5_language_fusion, op6_poisson_mix, op7_line_cuckoo, op8_bpe, op9_prefix_free_parsing, op10_audio_features)}
 
 ORACLES = {"op6_poisson_mix": mixing.ORACLE_SQL, "op7_line_cuckoo": line_dedup.ORACLE_SQL}
