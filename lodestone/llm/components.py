@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remove, written
+from lodestone.llm.common import apart, remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(apart(least), F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the smallest of them. In each edge a > b."""
     least = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-    met = edges.join(least, F.col("a") == F.col("n"))
+    met = edges.join(apart(least), F.col("a") == F.col("n"))
     down = met.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return down.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
 

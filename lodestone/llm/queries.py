@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import additive, audio, bpe, langid, line_dedup, mixing, pii, prefix_free, simhash
+from lodestone.llm import additive, audio, bpe, langid, line_dedup, mixing, paragraphs, pii, prefix_free, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def _sha(col) -> F.Column:
     return F.sha2(col, 256)
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = paragraphs.paragraph_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_paragraphs", "n_removed", "class_ids", "spans", _sha("kept").alias("kept_sha256"))
+
+
 def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return additive.search(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -70,6 +75,6 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heard.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), _sha("payload").alias("payload_sha256"), tail, F.octet_length("media").cast("long").alias("media_bytes"), _sha("media").alias("media_sha256"), "feature")
 
 
-QUERIES = {f.__name__: f for f in (op2_additive_quantisation, op3_simhash_bktree, op4_pii_skip_chain, op5_language_fusion, op6_poisson_mix, op7_line_cuckoo, op8_bpe, op9_prefix_free_parsing, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_additive_quantisation, op3_simhash_bktree, op4_pii_skip_chain, op5_language_fusion, op6_poisson_mix, op7_line_cuckoo, op8_bpe, op9_prefix_free_parsing, op10_audio_features)}
 
 ORACLES = {"op6_poisson_mix": mixing.ORACLE_SQL, "op7_line_cuckoo": line_dedup.ORACLE_SQL}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import without, written
+from lodestone.llm.common import apart, without, written
 from lodestone.llm.components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -167,7 +167,7 @@ def _neighbour_links(prints: DataFrame) -> DataFrame:
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     around = prints.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("hub"))
     least = around.groupBy("hub").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return around.join(least, "hub").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return around.join(apart(least), "hub").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def simhash_groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "do
     stars = components(links(distinct.select("fp")))
     rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
+    named = rooted.join(apart(names), "root").select(F.col("fp").alias("_fp"), "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, F.col("fp") == F.col("_fp")).select(F.col("_sim_id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
