@@ -6,7 +6,8 @@ in parallel. Two neighbouring chunks resynchronise at a position that both see
 as the start of a pre-token inside their overlap: from there on both views agree,
 as the pattern looks only forward. The text is cut at these positions, the
 pieces are dealt out again and encoded, and their ids joined in order. Chunks whose
-overlap holds no common start (one enormous pre-token) are merged before encoding.
+overlap holds no common start (one enormous pre-token) are merged before encoding,
+with all that follows them in the text.
 """
 
 from __future__ import annotations
@@ -113,10 +114,12 @@ def _long_ids(texts: DataFrame, vocab_path: str, pattern: str, chunk_chars: int,
     chunks = texts.mapInPandas(split, "digest string, k int, start long, last boolean, chunk string").repartition("digest", "k")
     seen = chunks.mapInPandas(pretokenise, "digest string, k int, start long, last boolean, chunk string, head array<long>, tail array<long>")
     w = Window.partitionBy("digest").orderBy("k")
-    # A cut is the first start in the overlap that this chunk and the next one agree on.
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    # A cut is the first start in the overlap that this chunk and the next one agree on. A chunk that has not met its predecessor sees starts that need not be true, so its cuts, and all later ones, do not count.
     cut = F.array_min(F.array_intersect("tail", F.lead("head").over(w)))
-    cuts = seen.withColumn("cut", cut).withColumn("before", F.lag("cut").over(w)).drop("head", "tail")
-    piece = F.sum(F.when((F.col("k") == 0) | F.col("before").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    met = seen.withColumn("cut", cut).withColumn("cut", F.when(F.min(F.col("cut").isNotNull().cast("int")).over(so_far) == 1, F.col("cut")))
+    cuts = met.withColumn("before", F.lag("cut").over(w)).drop("head", "tail")
+    piece = F.sum(F.when((F.col("k") == 0) | F.col("before").isNotNull(), 1).otherwise(0)).over(so_far)
     begin = F.when(F.col("before").isNotNull(), F.col("before")).when(F.col("k") == 0, F.lit(0)).otherwise(F.col("start") + overlap)
     stop = F.when(F.col("cut").isNotNull(), F.col("cut") - F.col("start")).otherwise(F.length("chunk"))
     body = F.expr("substring(chunk, cast(begin - start + 1 as int), cast(stop - (begin - start) as int))")

@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: np.ndarray, *, text_col: str = "text", decl
     logs = F.transform(F.arrays_zip(F.col("_lang_ll").alias("a"), F.col("_lang_prior").alias("b"), declares.alias("c"), rare.alias("d")), lambda z: z["a"] + F.log(z["b"]) + z["c"] + z["d"])
     met = scored.join(prior, F.col("_lang_host") == F.col("_lang_of")).withColumn("_lang_post", logs).withColumn("_lang_post", _softmax(F.col("_lang_post")))
     best = F.array_position("_lang_post", F.array_max("_lang_post"))
-    wordless = F.length(F.btrim(text_or_empty(text_col))) == 0
+    wordless = F.length(F.btrim(text_or_empty(text_col), F.lit(" \t\n\x0b\f\r"))) == 0
     lang = F.when(wordless, "und").otherwise(F.element_at(F.array(*map(F.lit, names)), best.cast("int")))
     out = met.withColumns({"lang_id": lang, "lang_confidence": F.array_max("_lang_post")})
     out = out.withColumn("lang_keep", (F.col("lang_id") != "und") & (F.col("lang_confidence") >= LEAST))
