@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import without
+from lodestone.llm.common import without, written
 
 #: A rate above this is drawn as a sum of several draws, so that exp(-rate) stays well away from zero.
 PART_RATE = 16.0
@@ -74,7 +74,8 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, *, power: flo
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE).cast("int"))
     rates = rates.select(F.col("source").alias("_mix_source"), parts.alias("_mix_parts"), (F.col("rate") / parts).alias("_mix_rate"))
     rates = rates.select("_mix_source", "_mix_parts", _distribution(F.col("_mix_rate")).alias("_mix_cdf"))
-    # Small tables of rates are broadcast by the planner after its own size check; larger ones are joined by source, and adaptive execution splits a hot source.
+    # Written, so that the planner knows its size: it broadcasts a small table, and joins a large one by source, where adaptive execution splits a hot source.
+    rates = written(rates, "mixing-rates")
     joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col("_mix_source")))
     draw = lambda i: F.size(F.filter("_mix_cdf", lambda c: c <= _uniform(seed, F.col(id_col), i)))
     count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), draw), F.lit(0), lambda a, b: a + b)
