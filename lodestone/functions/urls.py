@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parameters that only track a visitor; hosts of tests and reviews; priorities of sources.
+# Parameters that only track a visitor; hosts of manufacturers, benchmarks and reviews; priorities of sources.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid mc_cid mc_eid ref ref_src ref_url source spm from shared share_id"
-PRIORITY = {"manufacturer": 60, "official_store": 50, "store": 40, "benchmark": 30, "review": 25, "web": 20}
+MANUFACTURERS = "apple.com samsung.com asus.com rog.asus.com lenovo.com hp.com dell.com acer.com msi.com xiaomi.com mi.com realme.com motorola.com lg.com sony.com nokia.com intel.com amd.com nvidia.com qualcomm.com mediatek.com"
+BENCHMARKS = "geekbench.com browser.geekbench.com notebookcheck.net 3dmark.com 3dmark.benchmarks.ul.com benchmarks.ul.com passmark.com cpubenchmark.net videocardbenchmark.net anandtech.com spec.org opendata.geekbench.com"
+REVIEWS = "rtings.com techradar.com theverge.com techspot.com cnet.com pcmag.com tomshardware.com androidauthority.com gsmarena.com xataka.com"
+PRIORITY = {"catalog": 60, "manufacturer": 50, "benchmark": 40, "review": 30, "document": 25, "web": 20}
 
 
 def host(url: Column) -> Column:
@@ -69,14 +72,38 @@ def page_text(html: Column) -> Column:
 
 
 def source_type(url: Column) -> Column:
-    """By what the host is called."""
-    name = host(url)
-    return F.when(name.rlike(r"(^|\.)(www\.)?(support|brand|official)"), "manufacturer").when(name.rlike("bench|geek"), "benchmark").when(name.rlike("review|test"), "review").otherwise("web")
+    """By the host, without its www."""
+    name = F.regexp_replace(host(url), r"^www\.", "")
+    kinds = (("manufacturer", name.isin(*MANUFACTURERS.split()) | name.endswith(".asus.com")), ("benchmark", name.isin(*BENCHMARKS.split())), ("review", name.isin(*REVIEWS.split())))
+    return F.coalesce(*[F.when(test, kind) for kind, test in kinds], F.when(url.isNotNull(), "web"))
 
 
 def source_priority(kind: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[kind], F.lit(20))
+    return F.when(kind.isNull(), 0).otherwise(F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[kind], F.lit(20)))
 
 
 def source_confidence(priority: Column) -> Column:
     return F.when(priority >= 50, 0.9).when(priority >= 40, 0.8).when(priority >= 30, 0.7).otherwise(0.5)
+
+
+def safe_to_fetch(url: Column) -> Column:
+    """http or https, and a host that is public by its name or number: no local names, no private or loopback addresses."""
+    name = host(url)
+    private = r"^(localhost|127\..*|10\..*|192\.168\..*|169\.254\..*|0\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|\[.*|.*\.(local|internal|localhost))$"
+    return F.coalesce(url.rlike("(?i)^https?://") & (name != "") & ~name.rlike(private), F.lit(False))
+
+
+def platform(html: Column, meta: Column) -> Column:
+    """The shop system with the most signs, as (name, confidence); null under 0.3. The first of equals wins."""
+    low = F.lower(html)
+    named = lambda word: F.exists(F.map_values(meta), lambda v: F.lower(v).contains(word))
+    points = lambda *signs: F.least(F.lit(1.0), sum((F.when(test, value).otherwise(0.0) for test, value in signs), F.lit(0.0)))
+    scores = {
+        "Shopify": points((low.contains("shopify"), 0.3), (named("shopify"), 0.2), (low.contains("cdn.shopify.com"), 0.2)),
+        "VTEX": points((low.contains("vtex"), 0.3), (low.contains("vtexstore") | low.contains("vtex-search"), 0.3), (named("vtex"), 0.2), (low.contains("/api/catalog_system/") | low.contains("/api/io/"), 0.2)),
+        "Next.js": points((low.rlike('<script[^>]*id="__next_data__"'), 0.5), (low.contains("nextjs") | low.contains("_next/static"), 0.3), (F.lower(meta["generator"]).startswith("next"), 0.3)),
+        "WooCommerce": points((low.contains("woocommerce"), 0.3), (low.contains("wp-content") | low.contains("wp-includes"), 0.3), (named("woocommerce"), 0.2)),
+    }
+    ranked = F.array_sort(F.array(*[F.struct((-s).alias("minus"), F.lit(i).alias("place"), F.lit(n).alias("name")) for i, (n, s) in enumerate(scores.items())]))
+    best = ranked[0]
+    return F.when(-best["minus"] >= 0.3, F.struct(best["name"].alias("name"), F.round(-best["minus"], 2).alias("confidence")))

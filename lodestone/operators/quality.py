@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # How far a source is trusted.
-SOURCE_PRIORITY = {"admin": 100, "manufacturer": 90, "official_store": 80, "store": 70, "external": 60, "ai": 50, "ingestion": 40, "scraper": 30, "unknown": 10}
+SOURCE_PRIORITY = {"admin": 100, "manufacturer": 80, "external": 60, "store": 50, "scraper": 40, "ingestion": 40, "ai": 20, "ai_research": 20, "unknown": 10}
 
 
 def completeness(products: DataFrame, spec_values: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -115,11 +115,11 @@ def ranking_measures(hits: DataFrame, k: int) -> DataFrame:
 
 
 def memory_search(memories: DataFrame, words: list[str], as_of: Column, k: int) -> DataFrame:
-    """Each user's best memories: the overlap of their words with the query's, importance and an age that halves every 45 days. memories: user_id, memory_id, content, importance, created_at."""
+    """Each user's best memories: 0.75 of the overlap of their words with the query's (at least 0.12), 0.15 of their importance and 0.1 of an age that halves every 45 days. memories: user_id, memory_id, content, importance, created_at."""
     own = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 2))
     asked = F.array(*[F.lit(w) for w in words if len(w) > 2])
     likeness = F.when(F.size(own) > 0, F.size(F.array_intersect(own, asked)) / F.sqrt(F.size(own).cast("double") * F.size(asked))).otherwise(0.0)
     days = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(86_400_000_000.0)
-    score = F.round(F.lit(0.7) * likeness + F.lit(0.2) * F.col("importance") / F.lit(5.0) + F.lit(0.1) * F.pow(F.lit(0.5), days / 45.0), 6)
+    score = F.round(F.lit(0.75) * likeness + F.lit(0.15) * F.col("importance") / F.lit(5.0) + F.lit(0.1) * F.pow(F.lit(0.5), days / 45.0), 6)
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), "memory_id")
-    return memories.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("user_id", "memory_id", "score", "rank")
+    return memories.where(likeness >= 0.12).withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("user_id", "memory_id", "score", "rank")

@@ -68,7 +68,7 @@ _MEM = "list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')),
 
 
 @query(
-    f"WITH m AS (SELECT conv_id AS user_id, turn AS memory_id, {_MEM} AS own, 1 + turn % 5 AS importance, turn AS age FROM conversations), s AS (SELECT user_id, memory_id, round(0.7::DOUBLE * CASE WHEN len(own) > 0 THEN len(list_intersect(own, ['the', 'tion', 'and'])) / sqrt(len(own)::DOUBLE * 3) ELSE 0.0::DOUBLE END + 0.2::DOUBLE * importance / 5.0::DOUBLE + 0.1::DOUBLE * pow(0.5::DOUBLE, age / 45.0::DOUBLE), 6) AS score FROM m), "
+    f"WITH m AS (SELECT conv_id AS user_id, turn AS memory_id, {_MEM} AS own, 1 + turn % 5 AS importance, turn AS age FROM conversations), l AS (SELECT *, CASE WHEN len(own) > 0 THEN len(list_intersect(own, ['the', 'tion', 'and'])) / sqrt(len(own)::DOUBLE * 3) ELSE 0.0::DOUBLE END AS likeness FROM m), s AS (SELECT user_id, memory_id, round(0.75::DOUBLE * likeness + 0.15::DOUBLE * importance / 5.0::DOUBLE + 0.1::DOUBLE * pow(0.5::DOUBLE, age / 45.0::DOUBLE), 6) AS score FROM l WHERE likeness >= 0.12::DOUBLE), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, memory_id)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 4"
 )
 def memory_topk(spark, sf_dir):

@@ -29,12 +29,12 @@ def url_dedup(spark, sf_dir):
     return ingest.first_by_url(b.table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-_KIND = "CASE WHEN regexp_matches(host, '(^|\\.)(www\\.)?(support|brand|official)') THEN 'manufacturer' WHEN regexp_matches(host, 'bench|geek') THEN 'benchmark' WHEN regexp_matches(host, 'review|test') THEN 'review' ELSE 'web' END"
+_IN = lambda hosts: "bare IN ('" + "', '".join(hosts.split()) + "')"
 
 
-@query(f"WITH {_NORMAL}, k AS (SELECT page_id, host, {_KIND} AS source_type FROM normal) SELECT page_id, host, source_type, CASE source_type WHEN 'manufacturer' THEN 60 WHEN 'benchmark' THEN 30 WHEN 'review' THEN 25 ELSE 20 END AS priority FROM k")
+@query(f"WITH {_NORMAL}, b AS (SELECT page_id, host, regexp_replace(host, '^www\\.', '') AS bare FROM normal), k AS (SELECT page_id, host, CASE WHEN {_IN(u.MANUFACTURERS)} OR ends_with(bare, '.asus.com') THEN 'manufacturer' WHEN {_IN(u.BENCHMARKS)} THEN 'benchmark' WHEN {_IN(u.REVIEWS)} THEN 'review' ELSE 'web' END AS source_type FROM b) SELECT page_id, host, source_type, CASE source_type WHEN 'manufacturer' THEN 50 WHEN 'benchmark' THEN 40 WHEN 'review' THEN 30 ELSE 20 END AS priority, host <> '' AND NOT regexp_matches(host, '^(localhost|127\\.|10\\.|192\\.168\\.)') AS safe FROM k")
 def source_type(spark, sf_dir):
-    pages = b.table(spark, sf_dir, "pages").select("page_id", u.host(F.col("url")).alias("host"), u.source_type(F.col("url")).alias("source_type"))
+    pages = b.table(spark, sf_dir, "pages").select("page_id", u.host(F.col("url")).alias("host"), u.source_type(F.col("url")).alias("source_type"), u.safe_to_fetch(F.col("url")).alias("safe"))
     return pages.withColumn("priority", u.source_priority(F.col("source_type")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import bindings as b
 from lodestone.bindings import with_views
-from lodestone.functions.urls import source_confidence
+from lodestone.functions.urls import source_confidence, source_priority
 from lodestone.operators import evidence as e
 from lodestone.operators import quality as q
 from lodestone.registry import query
@@ -93,12 +93,12 @@ def spec_upsert_fold(spark, sf_dir):
     return q.upsert_fold(incoming)
 
 
-_EVIDENCE = "evidence AS (SELECT user_id || '/' || event_type AS claim, CASE WHEN value < 50 THEN CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR) END AS value, (['manufacturer', 'store', 'web'])[1 + event_id % 3] AS source, ts FROM events)"
+_EVIDENCE = "evidence AS (SELECT user_id || '/' || event_type AS claim, CASE WHEN value < 50 THEN CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR) END AS value, (['manufacturer', 'benchmark', 'web'])[1 + event_id % 3] AS source, ts FROM events)"
 
 
 def _evidence(spark, sf_dir):
     value = F.when(F.col("value") < 50, F.floor(F.col("value") / 25).cast("string"))
-    source = F.element_at(F.array(*map(F.lit, ("manufacturer", "store", "web"))), (F.col("event_id") % 3 + 1).cast("int"))
+    source = F.element_at(F.array(*map(F.lit, ("manufacturer", "benchmark", "web"))), (F.col("event_id") % 3 + 1).cast("int"))
     return b.table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", "event_type").alias("claim"), value.alias("value"), source.alias("source"), "ts")
 
 
@@ -110,13 +110,13 @@ def claim_conflicts(spark, sf_dir):
 
 
 @query(
-    f"WITH {_EVIDENCE}, p AS (SELECT *, CASE source WHEN 'manufacturer' THEN 60 WHEN 'store' THEN 40 ELSE 20 END AS priority, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000.0::DOUBLE AS days FROM evidence WHERE value IS NOT NULL), "
+    f"WITH {_EVIDENCE}, p AS (SELECT *, CASE source WHEN 'manufacturer' THEN 50 WHEN 'benchmark' THEN 40 ELSE 20 END AS priority, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000.0::DOUBLE AS days FROM evidence WHERE value IS NOT NULL), "
     "w AS (SELECT claim, value, max(0.5::DOUBLE * priority / 60.0::DOUBLE + 0.3::DOUBLE * CASE WHEN priority >= 50 THEN 0.9::DOUBLE WHEN priority >= 40 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END + 0.2::DOUBLE * greatest(0.0::DOUBLE, 1 - days / 90.0::DOUBLE)) AS weight FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY weight DESC, value) AS n, lead(weight) OVER (PARTITION BY claim ORDER BY weight DESC, value) AS nxt FROM w) "
     "SELECT claim, value, round(weight, 6) AS weight, nxt IS NULL OR weight - nxt >= 0.05::DOUBLE AS decided FROM r WHERE n = 1"
 )
 def claim_resolution(spark, sf_dir):
     items = _evidence(spark, sf_dir).where("value is not null")
-    priority = F.when(F.col("source") == "manufacturer", 60).when(F.col("source") == "store", 40).otherwise(20)
+    priority = source_priority(F.col("source"))
     days = (F.lit(1706745600000000) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(86400000000.0)
     return e.resolved(items.select("claim", "value", e.claim_weight(priority, source_confidence(priority), days).alias("weight")))
 
