@@ -73,3 +73,32 @@ def report(observations: DataFrame) -> DataFrame:
 
 def run_status(errors: Column, outcomes: Column) -> Column:
     return F.when((errors > 0) & (outcomes == 0), "error").when(errors == 0, "success").otherwise("partial")
+
+
+# Words in a path that mark bundles, services and gift cards before a page is fetched.
+URL_BUNDLES = ("bundle", "bulto", "pack", "combo", "kit", "set", "lote", "regalo", "obsequio", "gift")
+URL_SERVICES = ("servicio", "service", "suscripcion", "subscription", "garantia", "warranty", "seguro", "plan", "mantencion", "soporte", "instalacion", "configuracion")
+URL_GIFT_CARDS = ("gift-card", "tarjeta-de-regalo", "vale", "voucher", "credito", "saldo")
+
+
+def url_eligibility(url: Column) -> Column:
+    """Why a page is not worth fetching, by its address alone; null if it is."""
+    path = F.lower(F.coalesce(F.try_parse_url(F.trim(url), F.lit("PATH")), F.lit("")))
+    has = lambda words: reduce(Column.__or__, [path.contains(w) for w in words])
+    usable = F.coalesce(F.trim(url).rlike("(?i)^https?://"), F.lit(False))
+    return F.when(~usable, "missing_url").when(has(URL_BUNDLES), "is_bundle").when(has(URL_SERVICES) | has(URL_GIFT_CARDS), "is_service")
+
+
+def category_verdict(offers: DataFrame, taxonomy: DataFrame, *, priorities: tuple[str, ...] = ("P0", "P1", "P2"), blacklist: tuple[str, ...] = (), whitelist: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds ``category_reason`` (null: allowed) by the taxonomy's slug, is_group and priority."""
+    node = taxonomy.select(F.col("slug").alias("_slug"), "is_group", "priority")
+    met = offers.join(node, F.col("category_slug") == F.col("_slug"), "left")
+    outside = ~F.col("_slug").isin(*whitelist) if whitelist is not None else F.lit(False)
+    reason = F.when(F.col("_slug").isNull(), "unknown_category").when(F.col("is_group"), "is_group_node").when(F.col("_slug").isin(*blacklist), "blacklisted").when(outside | ~F.col("priority").isin(*priorities), "not_in_whitelist")
+    return met.withColumn("category_reason", reason).drop("_slug", "is_group", "priority")
+
+
+def mapped_categories(offers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Adds ``category_slug`` by the store's own name of the category, trimmed and in lower case."""
+    known = mapping.select(F.lower(F.trim("store_category")).alias("_k"), "category_slug").dropDuplicates(["_k"])
+    return offers.join(known, F.lower(F.trim("store_category")) == F.col("_k"), "left").drop("_k")

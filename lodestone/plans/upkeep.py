@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import bindings as b
 from lodestone.bindings import with_views
 from lodestone.functions.urls import meta_tags, platform
-from lodestone.operators import admin, memory, research, specs
+from lodestone.operators import admin, ingest, memory, research, sheets, specs
 from lodestone.registry import query
 
 _NAME = "p_name || ' ' || p_size || CASE p_size % 3 WHEN 0 THEN ' TB SSD' WHEN 1 THEN ' GB LPDDR5' ELSE ' GB disco duro' END || CASE p_size % 4 WHEN 0 THEN ' 1920x1080' WHEN 1 THEN ' QHD' ELSE '' END"
@@ -128,3 +128,26 @@ def labelled_sources(spark, sf_dir):
     met = b.table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, F.col("doc_id") == F.col("_id"))
     return met.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good"))
 
+
+
+@query(with_views("products", "spec_values") + ", v AS (SELECT product_id, key, coalesce(CASE WHEN value_number IS NOT NULL THEN CAST(value_number AS BIGINT)::VARCHAR || ' cm' END, value_text, '') AS value FROM spec_values) SELECT p.id, p.brand || '|' || p.category AS general, coalesce(string_agg(v.key || '=' || v.value, ';' ORDER BY v.key), '') AS groups FROM products p LEFT JOIN v ON v.product_id = p.id AND v.value <> '' GROUP BY p.id, p.brand, p.category")
+def spec_sheets(spark, sf_dir):
+    """One group a key, written out for the comparison."""
+    none = F.lit(None)
+    value = sheets.shown(none.cast("boolean"), F.col("value_number"), F.col("value_text"), none.cast("array<string>"), F.when(F.col("key") == "size", "cm"), none.cast("string"))
+    values = b.spec_values(spark, sf_dir).select("product_id", F.col("key").alias("group"), F.lit(0).alias("sort_order"), F.col("key").alias("label"), value.alias("value"))
+    made = sheets.sheets(b.products(spark, sf_dir), values)
+    groups = F.transform("groups", lambda g: F.concat_ws("=", g["group"], F.array_join(F.transform(g["items"], lambda i: i["value"]), ",")))
+    return made.select("id", F.array_join(F.transform("general", lambda g: g["value"]), "|").alias("general"), F.array_join(groups, ";").alias("groups"))
+
+
+@query("WITH p AS (SELECT p_type || '/' || p_brand AS key, p_partkey, p_size FROM part), a AS (SELECT key, max(p_size) AS top, count(*) AS n FROM p GROUP BY 1), t AS (SELECT p.key, count(*) AS ties, max(p_partkey) AS product_id FROM p JOIN a ON a.key = p.key AND top = p_size GROUP BY 1) SELECT a.key, t.product_id, a.top::DOUBLE AS number FROM a JOIN t ON t.key = a.key WHERE ties = 1 AND n > 1")
+def sole_advantages(spark, sf_dir):
+    """The one largest part of each type and brand."""
+    rows = b.table(spark, sf_dir, "part").select(F.concat_ws("/", "p_type", "p_brand").alias("key"), F.col("p_partkey").alias("product_id"), F.col("p_size").cast("double").alias("number"))
+    return sheets.advantages(rows)
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(p, 'bundle|bulto|pack|combo|kit|set|lote|regalo|obsequio|gift') THEN 'is_bundle' WHEN regexp_matches(p, 'servicio|service|suscripcion|subscription|garantia|warranty|seguro|plan|mantencion|soporte|instalacion|configuracion|gift-card|tarjeta-de-regalo|vale|voucher|credito|saldo') THEN 'is_service' END AS reason FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS p FROM pages)")
+def url_eligibility(spark, sf_dir):
+    return b.table(spark, sf_dir, "pages").select("page_id", ingest.url_eligibility(F.col("url")).alias("reason"))

@@ -94,3 +94,38 @@ def test_sinks(spark, tmp_path):
     assert tuple(spark.read.parquet(str(tmp_path / "runs")).first()) == ("s", 3, 1, 1, 1, "partial")
     sinks.append(spark.range(2).withColumn("d", F.lit(1)), str(tmp_path / "h"), "d")
     assert sinks.as_json(spark.range(1)).first()["value"] == '{"id":0}'
+
+
+def test_payloads(spark):
+    from lodestone.functions import payloads
+
+    assert one(spark, payloads.first_object, 'Sure: {"a": "}{", "b": {"c": 1}} bye') == '{"a": "}{", "b": {"c": 1}}'
+    assert [one(spark, payloads.first_object, x) for x in ("{open", "none", None)] == [None, None, None]
+    chunk = r'<script>self.__next_f.push([1,"x:{\"a\":{\"@type\":\"Product\",\"name\":\"N \\\"q\\\"\",\"offers\":{\"price\":1}}}"])</script>'
+    assert one(spark, payloads.streamed_product, chunk) == '{"@type": "Product", "name": "N \\"q\\"", "offers": {"price": 1}}'
+    assert one(spark, payloads.streamed_product, "<p>") is None
+
+
+def test_categories_and_depth(spark):
+    from lodestone.operators import ingest
+
+    tax = spark.createDataFrame([("cpu", False, "P0"), ("all", True, "P0"), ("toys", False, "P9")], "slug string, is_group boolean, priority string")
+    mapped = ingest.mapped_categories(spark.createDataFrame([(1, " CPUs "), (2, "All"), (3, "Toys"), (4, "?")], "id long, store_category string"), spark.createDataFrame([("cpus", "cpu"), ("all", "all"), ("toys", "toys")], "store_category string, category_slug string"))
+    assert {r["id"]: r["category_reason"] for r in ingest.category_verdict(mapped, tax).collect()} == {1: None, 2: "is_group_node", 3: "not_in_whitelist", 4: "unknown_category"}
+    assert [one(spark, ingest.url_eligibility, x) for x in ("https://a.example/notebook-1", "https://a.example/pack-2", "ftp://x", None)] == [None, "is_bundle", "missing_url", "missing_url"]
+    t, f = F.lit(True), F.lit(False)
+    assert [one(spark, lambda c: research.depth(c, t, p, g, w), m) for m, p, g, w in (("investiga esto", t, f, f), ("precio y rendimiento", t, f, f), ("hola", t, f, t), ("hola", t, f, f), ("hola", f, t, t))] == ["deep", "deep", "light", "catalog", "none"]
+
+
+def test_sheets(spark):
+    from lodestone.operators import sheets
+
+    products = spark.createDataFrame([(1, "Acer", None), (2, "", "CPU")], "id long, brand string, category string")
+    values = spark.createDataFrame([(1, "B", 2, "y", "2"), (1, "B", 1, "z", "1"), (1, "A", 1, "z", "3"), (1, "C", 1, "w", "")], "product_id long, `group` string, sort_order int, label string, value string")
+    out = {r["id"]: r for r in sheets.sheets(products, values).collect()}
+    assert [g["label"] for g in out[1]["general"]] == ["Marca"] and [(s["group"], [i["label"] for i in s["items"]]) for s in out[1]["groups"]] == [("A", ["z"]), ("B", ["z", "y"])] and out[2]["groups"] == []
+    flat = sheets.sheets(products, values).where("id = 1").select(sheets.flattened(F.col("groups")).alias("m")).first()["m"]
+    assert flat == {"z": "1", "y": "2"}
+    n = F.lit(None)
+    show = lambda number, unit: spark.range(1).select(sheets.shown(n.cast("boolean"), F.lit(number), n.cast("string"), n.cast("array<string>"), F.lit(unit), n.cast("string"))).first()[0]
+    assert [show(2.0, "GB"), show(2.5, '"'), show(3.0, None)] == ["2 GB", '2.5"', "3"]
