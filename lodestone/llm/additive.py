@@ -24,7 +24,7 @@ from lodestone.llm.common import written
 #: Codebooks, codewords in each, beams, and the vectors at most that the codebooks are fitted on.
 BOOKS, WORDS, BEAMS, SAMPLE = 8, 256, 8, 8192
 #: Classes and queries in a block, and classes of a block that are ranked by their original vectors.
-BLOCK, QUERIES, SHORTLIST = 8192, 4096, 256
+BLOCK, QUERIES, SHORTLIST = 8192, 4096, 1024
 
 
 class Quantiser(NamedTuple):
