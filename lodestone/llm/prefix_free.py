@@ -43,22 +43,22 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_UP, _DOWN = _powers(_BASE, _SEGMENT + 1), _powers(pow(_BASE, -1, 2**64), _SEGMENT + 1)
+UP, DOWN = _powers(_BASE, _SEGMENT + 1), _powers(pow(_BASE, -1, 2**64), _SEGMENT + 1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     for k in (32, 29):
         x = (x ^ (x >> _U(k))) * _U(0xD6E8FEB86659FD93)
     return x ^ (x >> _U(32))
 
 
-def _sums(x: np.ndarray) -> np.ndarray:
+def prefix_sums(x: np.ndarray) -> np.ndarray:
     s = np.zeros(len(x) + 1, _U)
-    np.cumsum(_BYTES[x] * _UP[: len(x)], out=s[1:])
+    np.cumsum(_BYTES[x] * UP[: len(x)], out=s[1:])
     return s
 
 
-def _least(v: np.ndarray, width: int) -> np.ndarray:
+def least_of(v: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, from running minima of blocks in both directions."""
     n = len(v) - width + 1
     padded = np.full(-(-len(v) // width) * width, np.iinfo(_U).max, _U)
@@ -71,10 +71,10 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
 
 def runs(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows in documents that lie one after another: gram, phrase, first window, last window, trigger."""
-    s = _sums(x)
-    grams = _mix((s[GRAM:] - s[: len(x) - GRAM + 1]) * _DOWN[: len(x) - GRAM + 1])
+    s = prefix_sums(x)
+    grams = mix((s[GRAM:] - s[: len(x) - GRAM + 1]) * DOWN[: len(x) - GRAM + 1])
     low = _U(_SEGMENT - 1)
-    trigger = (_least((grams & ~low) | np.arange(len(grams), dtype=_U), _GRAMS) & low).astype(np.int64)
+    trigger = (least_of((grams & ~low) | np.arange(len(grams), dtype=_U), _GRAMS) & low).astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]])
     across = np.zeros(len(x) + 1, np.int64)
     np.add.at(across, np.maximum(starts, ends - LENGTH + 1), 1)
@@ -86,18 +86,18 @@ def runs(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(trigger)) - 1
     first, last = first[whole[first]], last[whole[first]]
     at = trigger[first]
-    phrase = (s[last + LENGTH] - s[first]) * _DOWN[first]
-    return grams[at], _mix(phrase ^ _mix(((at - first) << 8 | (last - first)).astype(_U))), first, last, at
+    phrase = (s[last + LENGTH] - s[first]) * DOWN[first]
+    return grams[at], mix(phrase ^ mix(((at - first) << 8 | (last - first)).astype(_U))), first, last, at
 
 
 def windows(x: np.ndarray) -> np.ndarray:
     """Hashes of all windows of a byte string no longer than a segment."""
-    s = _sums(x)
-    return _mix((s[LENGTH:] - s[: len(x) - LENGTH + 1]) * _DOWN[: len(x) - LENGTH + 1])
+    s = prefix_sums(x)
+    return mix((s[LENGTH:] - s[: len(x) - LENGTH + 1]) * DOWN[: len(x) - LENGTH + 1])
 
 
-def _segments(offsets: np.ndarray):
-    """(from, to, first document) of what is hashed together: as many documents as fit, or a part of one that doesn't fit. Parts overlap by a window less one byte."""
+def segments(offsets: np.ndarray, lap: int = LENGTH - 1):
+    """(from, to, first document) of what is hashed together: as many documents as fit, or a part of one that doesn't fit. Parts overlap by ``lap`` bytes, a window less one by default."""
     i, n = 0, len(offsets) - 1
     while i < n:
         a, j = offsets[i], i + 1
@@ -106,7 +106,7 @@ def _segments(offsets: np.ndarray):
         if offsets[j] - a < _SEGMENT:
             yield a, offsets[j], i
         else:
-            for b in range(a, offsets[j] - LENGTH + 1, _SEGMENT - LENGTH):
+            for b in range(a, offsets[j] - lap, _SEGMENT - 1 - lap):
                 yield b, min(offsets[j], b + _SEGMENT - 1), i
         i = j
 
@@ -120,7 +120,7 @@ def _parsed(docs: DataFrame) -> DataFrame:
             texts = batch.column(2).cast(pa.binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-            for a, b, i in _segments(offsets):
+            for a, b, i in segments(offsets):
                 if b - a < LENGTH:
                     continue
                 ends = np.minimum(offsets[i + 1 :], b)
@@ -172,7 +172,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
             hashes.append(windows(np.concatenate(parts[at:end]))[own])
             at = end
         row = np.repeat(np.arange(len(parts)), size)
-        window = np.concatenate(hashes) ^ _mix(gram.view(_U))[row]
+        window = np.concatenate(hashes) ^ mix(gram.view(_U))[row]
         where = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(row))
         order = np.lexsort((window, gram[row]))
         same = (window[order][1:] == window[order][:-1]) & (gram[row][order][1:] == gram[row][order][:-1])

@@ -18,7 +18,7 @@ def _sha(col) -> F.Column:
 
 def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = paragraphs.paragraph_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_paragraphs", "n_removed", "class_ids", "spans", _sha("kept").alias("kept_sha256"))
+    return cut.select("doc_id", "n_paragraphs", "n_removed", "n_passages", "class_ids", "spans", _sha("kept").alias("kept_sha256"))
 
 
 def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

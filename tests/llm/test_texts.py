@@ -240,6 +240,22 @@ def test_paragraphs(docs, empty, corpus):
     assert paragraphs.paragraph_dedup(empty).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(12)
+    passage = words(rng, 52, 10**6)
+    rows = [(i, " ".join(words(rng, 37 + 5 * i, 10**6) + (passage if i % 2 else []) + words(rng, 90, 10**6))) for i in range(10)]
+    rows += [(20, " ".join(words(rng, 60_000, 10**6) + passage + words(rng, 60_000, 10**6))), (21, "same " * 400), (22, " ".join(passage[:29]))]
+    out = {r["doc_id"]: r for r in paragraphs.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    hit = {i for i, r in out.items() if r["n_passages"]}
+    assert hit == {3, 5, 7, 9, 20} and all(out[i]["class_ids"] == [1] and out[i]["n_passages"] == 1 for i in hit)
+    for i in hit:
+        (a, b), = [(s["start"], s["end"]) for s in out[i]["spans"]]
+        assert texts[i][a:b] in " ".join(passage) and len(texts[i][a:b].split()) >= 30
+        assert out[i]["kept"] == texts[i][:a] + texts[i][b:]
+    assert all(out[i]["kept"] == texts[i] for i in out if i not in hit)
+
+
 def test_paragraph_recall(spark):
     rng = random.Random(8)
     rows = []
