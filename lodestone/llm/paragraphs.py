@@ -1,6 +1,8 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a line of at least MIN_WORDS words. Paragraphs of the same words (A-Z in
+A paragraph is a line of at least MIN_WORDS words. Consecutive lines of under SHORT words, up to a blank or longer line,
+are a block, which is a unit like a paragraph and beside those in it, so that wrapped text, lists and verse are
+compared as a whole. A document of under five words is a block too, with its whole word sequence as its only shingle. Units of the same words (A-Z in
 lower case, white space aside) are one. Each different one gets a MinHash signature of its
 five-word shingles, cut into bands; paragraphs that collide in a band are compared by
 exact Jaccard similarity, links are joined to components, and of each component the
@@ -29,7 +31,7 @@ from lodestone.llm.common import apart, release, remove, text_or_empty, written
 from lodestone.llm.components import components
 from lodestone.llm.prefix_free import DOWN, UP, least_of, mix, prefix_sums, segments
 
-WORDS, SIMILAR, MIN_WORDS = 5, 0.8, 20
+WORDS, SIMILAR, MIN_WORDS, SHORT = 5, 0.8, 5, 20
 BANDS, ROWS = 10, 4
 #: Members of a bucket up to which each is compared with all others outside its own component. In a
 #: larger one each is compared with the leaders, the members that no earlier leader resembles; the order differs from band to band.
@@ -46,21 +48,40 @@ _C = _rng.integers(0, 2**64, BANDS * ROWS, dtype=_U)
 
 
 def paragraphs_of(raw: bytes):
-    """(start, end, words) of the paragraphs, in bytes."""
-    at = 0
+    """(start, end, words, whether it is a line of its own) of the lines and blocks, in bytes."""
+    at, total, run = 0, 0, []
     while at <= len(raw):
         end = raw.find(b"\n", at)
         end = len(raw) if end < 0 else end
         words = raw[at:end].lower().split()
+        total += len(words)
         if len(words) >= MIN_WORDS:
-            yield at, end, words
+            yield at, end, words, True
+        if 0 < len(words) < SHORT:
+            run.append((at, end, words))
+        else:
+            yield from _block(run)
+            run = []
         at = end + 1
+    yield from _block(run)
+    if 0 < total < WORDS:
+        start = len(raw) - len(raw.lstrip())
+        yield start, len(raw.rstrip()), raw.lower().split(), False
+
+
+def _block(run: list):
+    """Several short lines as one unit."""
+    words = [w for _, _, line in run for w in line]
+    if len(run) > 1 and len(words) >= WORDS:
+        yield run[0][0], run[-1][1], words, False
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
-    """Hashes of all five-word shingles, in order."""
+    """Hashes of all five-word shingles, in order; of fewer words, that of all."""
     from xxhash import xxh64_intdigest
 
+    if 0 < len(words) < WORDS:
+        return np.array([xxh64_intdigest(b" ".join(words), 3)], _U)
     n = max(1, len(words) - WORDS + 1)
     return np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*[words[i : i + n] for i in range(WORDS)], strict=False)), repeat(3)), _U, n if len(words) >= WORDS else 0)
 
@@ -78,27 +99,27 @@ def _bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """(doc, th, text) -> (doc, th, start, end, words, pid, bands), one row for each paragraph."""
+    """(doc, th, text) -> (doc, th, start, end, words, line, pid, bands), one row for each line (``line``) and block."""
     from xxhash import xxh64_intdigest
 
-    fields = [("start", T.IntegerType()), ("end", T.IntegerType()), ("words", T.IntegerType()), ("pid", T.LongType()), ("bands", T.ArrayType(T.LongType(), False))]
+    fields = [("start", T.IntegerType()), ("end", T.IntegerType()), ("words", T.IntegerType()), ("line", T.BooleanType()), ("pid", T.LongType()), ("bands", T.ArrayType(T.LongType(), False))]
     schema = T.StructType([*docs.select("doc", "th").schema, *[T.StructField(n, t, False) for n, t in fields]])
 
     def flush(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
-        sizes = np.array([len(h[5]) for h in held])
-        bands = _bands(np.concatenate([h[5] for h in held]), np.concatenate([[0], np.cumsum(sizes)[:-1]])).view(np.int64)
+        sizes = np.array([len(h[6]) for h in held])
+        bands = _bands(np.concatenate([h[6] for h in held]), np.concatenate([[0], np.cumsum(sizes)[:-1]])).view(np.int64)
         row = pa.array([h[0] for h in held])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-        cols = [pa.array([h[i] for h in held], pa.int32()) for i in (1, 2, 3)] + [pa.array(np.array([h[4] for h in held], _U).view(np.int64)), lists]
+        cols = [pa.array([h[i] for h in held], pa.int32()) for i in (1, 2, 3)] + [pa.array([h[4] for h in held]), pa.array(np.array([h[5] for h in held], _U).view(np.int64)), lists]
         return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *cols], names=schema.names)
 
     def run(batches):
         for batch in batches:
             held, n = [], 0
             for i, x in enumerate(batch.column(2).cast(pa.binary())):
-                for start, end, words in paragraphs_of(x.as_py()):
-                    held.append((i, start, end, len(words), xxh64_intdigest(b" ".join(words), 5), shingles(words)))
-                    n += len(held[-1][5])
+                for start, end, words, line in paragraphs_of(x.as_py()):
+                    held.append((i, start, end, len(words), line, xxh64_intdigest(b" ".join(words), 5), shingles(words)))
+                    n += len(held[-1][6])
                     if n >= BLOCK:
                         yield flush(batch, held)
                         held, n = [], 0
@@ -261,9 +282,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 def paragraph_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: its id, ``n_paragraphs`` (those long enough to be compared), ``n_removed`` (of them), ``n_passages`` (further stretches
-    cut out of lines), ``class_ids`` (documents that keep what was cut), ``spans`` (start, end in bytes of all cuts) and ``kept`` (the rest of the text; a paragraph takes its line end along).
+    cut out of lines, and blocks, where no removed paragraph is part of the cut), ``class_ids`` (documents that keep what was cut), ``spans`` (start, end in bytes of all cuts) and ``kept`` (the rest of the text; a paragraph takes its line end along).
 
-    Of each class the paragraph stays that is first by (id, text hash, position); the class id is its document's id. Null text
+    Of each class the unit stays that is first by (id, text hash, position), with the lines in it if it is a block and the block
+    around it if it is a line; the class id is its document's id. Null text
     is empty. Repeated rows are copies of each other, and as they cannot be told apart they keep or lose the same. Null ids come first.
     An empty table gives an empty table.
     """
@@ -273,10 +295,11 @@ def paragraph_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     units = written(_units(rows), "paragraph-units")
     near = classes(rows, units)
     classed = units.drop("bands").join(near, F.col("pid") == F.col("node"), "left").withColumn("class", F.coalesce("root", "pid"))
-    firsts = classed.groupBy("class").agg(F.min(F.struct("doc", "th", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = classed.groupBy("class").agg(F.min(F.struct("doc", "th", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = classed.join(apart(firsts), "class", "left")
-    gone = F.col("first").isNotNull() & ~F.struct("doc", "th", "start").eqNullSafe(F.col("first"))
-    marks = met.select("doc", "th", "start", "end", F.when(gone, F.col("first.doc")).alias("of"), F.when(gone, 2).otherwise(1).alias("kind"))
+    around = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th")) & (F.col("start") < F.col("first.end")) & (F.col("end") > F.col("first.start"))
+    gone = F.col("first").isNotNull() & ~around
+    marks = met.select("doc", "th", "start", "end", F.when(gone, F.col("first.doc")).alias("of"), F.when(F.col("line"), F.when(gone, 2).otherwise(1)).when(gone, 3).alias("kind")).where("kind is not null")
     both = marks.unionByName(passages.withColumn("kind", F.lit(0)))
     per_doc = both.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind", "of"))).alias("marks"))
     texts = rows.join(per_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc", F.col("text").cast("binary").alias("raw"), F.col("marks.start").alias("a"), F.col("marks.end").alias("b"), F.col("marks.kind").alias("kind"), F.col("marks.of").alias("of"))
@@ -285,7 +308,7 @@ def paragraph_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
 
     def cut(raw: bytes, a: list, b: list, kind: list, of: list) -> tuple:
         lines = {s: (s, min(e + 1, len(raw))) for s, e, k in zip(a, b, kind, strict=True) if k == 2}
-        stretches = [(s, e) for s, e, k in zip(a, b, kind, strict=True) if k == 0]
+        stretches = [(s, e if k == 0 else min(e + 1, len(raw))) for s, e, k in zip(a, b, kind, strict=True) if k in (0, 3)]
         spans: list[list[int]] = []
         inside: list[bool] = []  # whether a removed line is part of the span
         for s, e, line in sorted([(s, e, True) for s, e in lines.values()] + [(s, e, False) for s, e in stretches]):
@@ -298,7 +321,7 @@ def paragraph_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
         edges = [0, *[x for s in spans for x in s], len(raw)]
         kept = b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
         others = sorted({o for o, k in zip(of, kind, strict=True) if k != 1 and o is not None})
-        return sum(k > 0 for k in kind), len(lines), inside.count(False), others, [{"start": s, "end": e} for s, e in spans], kept.decode()
+        return sum(k in (1, 2) for k in kind), len(lines), inside.count(False), others, [{"start": s, "end": e} for s, e in spans], kept.decode()
 
     def run(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), None, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]

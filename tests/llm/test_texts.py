@@ -256,6 +256,20 @@ def test_passages_inside_lines(spark):
     assert all(out[i]["kept"] == texts[i] for i in out if i not in hit)
 
 
+def test_short_lines(spark):
+    rng = random.Random(21)
+    verse = words(rng, 28, 10**6)
+    lines = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    changed = [*verse[:27], "other"]
+    rows = [(1, lines(verse, 4)), (2, lines(verse, 4)), (3, lines(changed, 3)), (4, " ".join(verse)), (5, " ".join(words(rng, 60, 10**6)) + "\n\n" + lines(verse, 4) + "\n\n" + " ".join(words(rng, 60, 10**6)))]
+    rows += [(6, "One two three"), (7, " one  two\nTHREE"), (8, "one three two"), (10, " ".join(verse[:7])), (11, " ".join(verse[:7]).upper()), (12, " ".join(words(rng, 7, 10**6)))]
+    out = {r["doc_id"]: r for r in paragraphs.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(out[i]["kept"].strip() == "" and out[i]["class_ids"] == [of] for i, of in ((2, 1), (3, 1), (4, 1), (7, 6), (11, 10)))
+    assert out[5]["class_ids"] == [1] and out[5]["kept"] == texts[5].replace(lines(verse, 4) + "\n", "")
+    assert all(out[i]["kept"] == texts[i] and out[i]["class_ids"] == [] for i in (1, 6, 8, 10, 12))
+
+
 def test_paragraph_recall(spark):
     rng = random.Random(8)
     rows = []
