@@ -22,8 +22,9 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +34,9 @@ from lodestone.llm.prefix_free import DOWN, UP, least_of, mix, prefix_sums, segm
 
 WORDS, SIMILAR, MIN_WORDS, SHORT = 5, 0.8, 5, 20
 BANDS, ROWS = 10, 4
-#: Members of a bucket up to which each is compared with all others outside its own component. In a
-#: larger one each is compared with the leaders, the members that no earlier leader resembles; the order differs from band to band.
-EXACT = 512
+#: Members of a bucket that are compared in one task. A larger one is dealt into cells, which first compare their own members and the PIVOTS
+#: members that all cells share; what is then still in different components is compared cell by cell.
+EXACT, PIVOTS = 512, 16
 #: Words of a stretch, and shingles of which one begins a stretch; bytes by which the parts of a very long text overlap.
 PASSAGE, GAP, LAP = 30, 21, 1 << 13
 #: Shingles that are signed together.
@@ -155,7 +156,6 @@ class _Bucket:
         self.pids: list[int] = []
         self.sets: list[np.ndarray] = []
         self.top: list[int] = []
-        self.seen = 0
 
     def root(self, i: int) -> int:
         while self.top[i] != i:
@@ -164,7 +164,6 @@ class _Bucket:
 
     def add(self, pid: int, own: np.ndarray) -> list[tuple[int, int]]:
         """Links of a new paragraph, one for each component that it resembles a member of."""
-        self.seen += 1
         links, linked = [], set()
         for j, other in enumerate(self.sets):
             r = self.root(j)
@@ -172,51 +171,99 @@ class _Bucket:
             if r not in linked and small >= SIMILAR * large and similarity(own, other) >= SIMILAR:
                 linked.add(r)
                 links.append((pid, self.pids[j]))
-        if self.seen <= EXACT or not links:
-            self.pids.append(pid)
-            self.sets.append(own)
-            self.top.append(len(self.top))
-            for r in linked:
-                self.top[r] = self.top[-1]
-        elif len(linked) > 1:
-            first, *rest = linked
-            for r in rest:
-                self.top[r] = first
+        self.pids.append(pid)
+        self.sets.append(own)
+        self.top.append(len(self.top))
+        for r in linked:
+            self.top[r] = self.top[-1]
         return links
 
 
 def _links(members: DataFrame) -> DataFrame:
-    """(band, pid, shingles), a band's rows in one task -> links (a, b)."""
+    """(band, cell, pid, shingles), a cell's rows in one task -> links (a, b)."""
 
     def run(batches):
         key, bucket = None, _Bucket()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch, out = whole.slice(at, 1024), []
-                for band, pid, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    if band != key:
-                        key, bucket = band, _Bucket()
+                for band, cell, pid, own in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), strict=True):
+                    if (band, cell) != key:
+                        key, bucket = (band, cell), _Bucket()
                     out += bucket.add(pid, own.values.to_numpy().view(_U))
                 if out:
                     a, b = np.array(out, np.int64).T
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    ordered = members.repartition("band").sortWithinPartitions("band", F.xxhash64("band", "pid"), "pid").select("band", "pid", "shingles")
+    ordered = members.repartition("band", "cell").sortWithinPartitions("band", "cell", F.xxhash64("band", "pid"), "pid").select("band", "cell", "pid", "shingles")
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links between two cells' rows (pid, root, shingles) of different components; components that are linked once are not compared again."""
+    out, top = [], {}
+
+    def root(i: int) -> int:
+        while i in top:
+            i = top[i]
+        return i
+
+    others = [(pid, r, x.view(_U)) for pid, r, x in zip(right["_pid"], right["_root"], right["_shingles"], strict=True)]
+    for pid, r, x in zip(left["pid"], left["root"], left["shingles"], strict=True):
+        own = x.view(_U)
+        for other, s, y in others:
+            small, large = sorted((len(own), len(y)))
+            if small >= SIMILAR * large and (a := root(r)) != (b := root(s)) and similarity(own, y) >= SIMILAR:
+                top[a] = b
+                out.append((pid, other))
+    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def _rest(large: DataFrame, sets: DataFrame, stars: DataFrame) -> DataFrame:
+    """Links between the components (node, root) that members (band, pid, n) of large buckets are in. In each bucket
+    the members outside its largest component meet all members, cell by cell."""
+    rooted = large.join(stars, F.col("pid") == F.col("node"), "left").select("band", "pid", "n", F.coalesce("root", "pid").alias("root"))
+    sizes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("total")).where("total > main.size")
+    main = main.select(F.col("band").alias("_band"), F.col("main.root").alias("main"), (F.col("total") - F.col("main.size")).alias("outside"))
+    cell = lambda n: F.pmod(F.xxhash64("pid", "band"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = rooted.join(apart(main), F.col("band") == F.col("_band")).withColumns({"rows": F.ceil(F.col("outside") / EXACT), "cols": F.ceil(F.col("n") / EXACT)})
+    left = dealt.where("root <> main").select("band", "pid", "root", cell("rows").alias("i"), every("cols").alias("j"))
+    right = dealt.select("band", "pid", "root", cell("cols").alias("j"), every("rows").alias("i"))
+    key = ["band", "i", "j"]
+    left, right = (side.join(sets, "pid").select(*key, "pid", "root", "shingles") for side in (left, right))
+    right = right.toDF(*[f"_{c}" for c in right.columns])
+    return left.groupBy(*key).cogroup(right.groupBy(*[f"_{c}" for c in key])).applyInPandas(_across, "a long, b long")
+
+
+def band_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (band, pid, n) of the buckets, n being a bucket's size, and their shingles (pid, shingles) -> links (a, b) that
+    join all similar paragraphs of a bucket, whatever its size."""
+    cells = F.ceil(F.col("n") / EXACT)
+    first = members.withColumn("cell", F.pmod(F.xxhash64("band", "pid"), cells))
+    large = members.where(F.col("n") > EXACT)
+    if large.isEmpty():
+        return written(_links(first.join(sets, "pid")), "paragraph-links")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("pid", "band"), "pid"))
+    pivots = large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+    edges = written(_links(first.unionByName(pivots.select(*first.columns)).join(sets, "pid")), "paragraph-links")
+    stars = components(edges)
+    return written(edges.unionByName(_rest(large, sets, stars)), "paragraph-links")
+
+
 def classes(docs: DataFrame, units: DataFrame) -> DataFrame:
     """(node, root): paragraphs that are near copies of the paragraph ``root``, over links of any number."""
     firsts = written(units.groupBy("pid").agg(F.min(F.struct("doc", "th", "start", "end", "bands")).alias("one")), "paragraphs")
     banded = firsts.select("pid", F.explode("one.bands").alias("band"))
-    shared = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "paragraph-bands")
-    members = written(banded.join(shared, "band").select("band", "pid"), "paragraph-members")
+    shared = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "paragraph-bands")
+    members = written(banded.join(shared, "band").select("band", "pid", "n"), "paragraph-members")
     release(docs.sparkSession)
     asked = firsts.join(apart(members.select("pid").distinct()), "pid").select("pid", F.col("one.doc").alias("_doc"), F.col("one.th").alias("_th"), "one.start", "one.end")
     found = docs.join(asked, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))  # repeated rows give a body twice, which links to itself
     bodies = found.select("pid", F.expr("substring(cast(text AS binary), start + 1, end - start)").alias("body"))
     sets = written(_sets(bodies), "paragraph-sets")
-    edges = written(_links(members.join(sets, "pid")), "paragraph-links")
+    edges = band_links(members, sets)
     for table in (firsts, shared, members, sets):
         remove(table)
     release(docs.sparkSession)

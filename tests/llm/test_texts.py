@@ -270,6 +270,40 @@ def test_short_lines(spark):
     assert all(out[i]["kept"] == texts[i] and out[i]["class_ids"] == [] for i in (1, 6, 8, 10, 12))
 
 
+@pytest.mark.parametrize("exact", (512, 40))
+def test_large_buckets(spark, monkeypatch, exact):
+    """Pairs that only one member of a bucket joins, whatever order it is met in; against brute force."""
+    monkeypatch.setattr(paragraphs, "EXACT", exact)
+    rng, sets = random.Random(31), []
+    for g in range(4):
+        base = [rng.randrange(2**62) for _ in range(100)]
+        sets += [sorted(base[:-1] + [rng.randrange(2**62)]) for _ in range(60 - g * 15)]
+        for _ in range(50):  # chains: a like the group, b like a only, c like b only
+            own = [[rng.randrange(2**62) for _ in range(10)] for _ in range(3)]
+            sets += [sorted(base[:90] + own[0]), sorted(base[:80] + own[0] + own[1]), sorted(base[:70] + own[0] + own[1] + own[2])]
+    n = len(sets)
+    top = list(range(n))
+
+    def root(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    kinds = [set(x) for x in sets]
+    for a, b in itertools.combinations(range(n), 2):
+        both = len(kinds[a] & kinds[b])
+        if both >= 0.8 * (200 - both):
+            top[root(a)] = root(b)
+    members = spark.createDataFrame([(7, i, n) for i in range(n)], "band long, pid long, n long")
+    edges = paragraphs.band_links(members, spark.createDataFrame(list(enumerate(sets)), "pid long, shingles array<long>")).collect()
+    assert all(root(e["a"]) == root(e["b"]) for e in edges)
+    want = len({root(k) for k in range(n)})
+    top = list(range(n))
+    for e in edges:
+        top[root(e["a"])] = root(e["b"])
+    assert n > 512 and len({root(k) for k in range(n)}) == want
+
+
 def test_paragraph_recall(spark):
     rng = random.Random(8)
     rows = []
