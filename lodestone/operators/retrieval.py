@@ -123,3 +123,39 @@ def memory_search(memories: DataFrame, words: list[str], as_of: Column, k: int)
     score = F.round(F.lit(0.75) * likeness + F.lit(0.15) * F.col("importance") / F.lit(5.0) + F.lit(0.1) * F.pow(F.lit(0.5), days / 45.0), 6)
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), "memory_id")
     return memories.where(likeness >= 0.12).withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("user_id", "memory_id", "score", "rank")
+
+
+def nearest(vectors: DataFrame, asked: Column, k: int, least: float, *, block: int = 8192, queries: int = 1024) -> DataFrame:
+    """The k vectors (vec_id, embedding) of the greatest cosine, ``least`` or more, for each row that the condition ``asked`` holds for, the row itself too: query_id, rank, vec_id, score.
+
+    Every block of queries meets every block of vectors and keeps its k best; ties go to the smaller id. Null vectors, those with null or
+    NaN components and zero vectors take no part; vectors of other lengths do not meet.
+    """
+    import numpy as np
+
+    good = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v))
+    rows = vectors.where(good).select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.size("embedding").alias("dims"), asked.alias("asked"))
+    n, m = rows.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // queries))
+    cell = lambda many: F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    left = rows.select("dims", "vec_id", "vec", cell(blocks).alias("i"), every(query_blocks).alias("j"))
+    right = rows.where("asked").select(F.col("dims").alias("_dims"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), cell(query_blocks).alias("_j"), every(blocks).alias("_i"))
+
+    def best(some: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.float64)})]
+        if len(some) and len(own):
+            some = some.sort_values("vec_id")
+            ids, x = some["vec_id"].to_numpy(np.int64), np.stack(some["vec"].to_numpy())
+            norms = np.sqrt((x * x).sum(axis=1))
+            for name, q in zip(own["query_id"], own["query"], strict=True):
+                both = norms * np.sqrt((q * q).sum())
+                scores = np.divide((x * q).sum(axis=1), both, out=np.full(len(x), -2.0), where=both > 0)
+                top = np.argsort(-scores, kind="stable")[:k]
+                top = top[scores[top] >= least]
+                out.append(pd.DataFrame({"query_id": np.full(len(top), name, np.int64), "vec_id": ids[top], "score": scores[top]}))
+        return pd.concat(out[1:] or out)
+
+    found = left.groupBy("dims", "i", "j").cogroup(right.groupBy("_dims", "_i", "_j")).applyInPandas(best, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
