@@ -9,18 +9,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_fallback: dict[str, str] = {}
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local session (tests, bench) has one of its own, and a cluster is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return _fallback[app]
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.conf.get("spark.app.id")
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return _local[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +47,11 @@ def without(df: DataFrame, *own: str) -> DataFrame:
     return df.drop(*own)
 
 
+def row_key(text: Column) -> Column:
+    """64 bits of a text. With a row's id they find the row again: rows that share both are copies, but for one chance in 2**64 for two rows of one id."""
+    return F.xxhash64(text)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import text_or_empty, without, written
 
 LANGUAGES = ("de", "en", "es", "fr")
-#: Documents at most that the trigram models are fitted on; the first of the labelled ones by the hash of their ids.
+#: Documents that the trigram models are fitted on, give or take a few roots of that: those of the labelled ones whose id and text have the least hashes.
 SAMPLE = 4000
 BINS = 1 << 16
 #: How often a declaration is right; how many rows the parent's prior counts as; the prior of no language; the confidence that a document needs.
@@ -41,10 +41,9 @@ def _blocks(raw: np.ndarray):
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
-    """Log-probabilities (languages x BINS) of trigrams, from a bounded sample of the labelled rows."""
-    labelled = docs.where(F.col(label_col).isin(*languages) & F.col(text_col).isNotNull())
-    ids = labelled.select(F.col(id_col).alias("_lang_id")).orderBy(F.xxhash64("_lang_id"), "_lang_id").limit(sample).distinct()
-    rows = labelled.join(F.broadcast(ids), F.col(id_col) == F.col("_lang_id"), "left_semi").select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))  # at most ``sample`` ids
+    """Log-probabilities (languages x BINS) of trigrams, from a bounded sample of the labelled rows. The sample follows from the rows alone, not from how they are dealt to tasks."""
+    key, share = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)), min(1.0, sample / max(1, docs.count()))
+    rows = docs.where((key < int((1 << 40) * share)) & F.col(label_col).isin(*languages) & F.col(text_col).isNotNull()).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -124,7 +123,7 @@ def identify(docs: DataFrame, model: np.ndarray, *, text_col: str = "text", decl
     """Adds ``lang_id`` (a language, or und), ``lang_confidence`` (its posterior) and ``lang_keep``.
 
     A document is kept if a language, not none of them, has a posterior of at least LEAST. Null or empty texts have no evidence
-    of their own and are und and rejected. Null or unknown declarations say nothing; null hosts are a host of
+    of their own and are und and rejected. Of equal posteriors the language named first counts. Null or unknown declarations say nothing; null hosts are a host of
     their own. Columns of these names give way. Repeated rows are judged alike. An empty table gives an empty table.
     """
     docs = without(docs, "lang_id", "lang_confidence", "lang_keep")

@@ -25,6 +25,8 @@ from lodestone.llm.cuckoo import CuckooFilter, built
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys in a shard's filter, and slices in which a shard's lines go past copies of its filter.
 SHARD_KEYS, SLICES = 250_000, 64
+#: Dropped lines of a document up to which they are looked through; more are searched by halving.
+FEW = 64
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANK = " \t\n\x0b\f\r"
@@ -71,19 +73,26 @@ def _filters(counts: DataFrame, shards: int) -> DataFrame:
     return keys.groupBy("shard").applyInPandas(make, "shard int, filter binary")
 
 
+def _shards_for(counts: DataFrame) -> int:
+    return max(1, -(-counts.where(F.col("n_docs") >= MIN_DOCS).count() // SHARD_KEYS))
+
+
 def build(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> LineIndex:
     """The index of a first load of documents."""
     postings = written(line_keys(docs, text_col, id_col).distinct(), "line-postings")
     counts = written(_count(postings), "line-counts")
-    shards = max(1, -(-counts.where(F.col("n_docs") >= MIN_DOCS).count() // SHARD_KEYS))
+    shards = _shards_for(counts)
     return LineIndex(postings, counts, written(_filters(counts, shards), "line-filters"), shards)
 
 
 def _changed(index: LineIndex, postings: DataFrame, touched: DataFrame) -> LineIndex:
-    """The index after its postings changed for the touched keys: their counts are made anew, and the filters of their shards follow."""
+    """The index after its postings changed for the touched keys: their counts are made anew, and the filters of their shards follow. Where the
+    keys outgrow the shards twice, all filters are made anew over more of them."""
     postings = written(postings, "line-postings")
     fresh = _count(postings.join(touched, ["h1", "h2"], "left_semi"))
     counts = written(index.counts.join(touched, ["h1", "h2"], "left_anti").unionByName(fresh), "line-counts")
+    if (shards := _shards_for(counts)) > 2 * index.shards:
+        return LineIndex(postings, counts, written(_filters(counts, shards), "line-filters"), shards)
     was = index.counts.where(F.col("n_docs") >= MIN_DOCS).select("h1", "h2").join(touched, ["h1", "h2"], "left_semi")
     now = counts.where(F.col("n_docs") >= MIN_DOCS).select("h1", "h2").join(touched, ["h1", "h2"], "left_semi")
     steps = now.join(was, ["h1", "h2"], "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, ["h1", "h2"], "left_anti").withColumn("add", F.lit(False)))
@@ -150,25 +159,37 @@ def drops(keys: DataFrame, index: LineIndex) -> DataFrame:
     return checked.where(~F.col("doc").eqNullSafe(F.col("last_doc"))).select("doc", "h1", "h2")
 
 
-def clean(docs: DataFrame, index: LineIndex, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents with dropped lines taken out of the text, and ``n_lines`` (before) and ``n_dropped``.
+def _among(drop: Column, key: Column) -> Column:
+    """Whether a sorted array holds the key: looked through if short, else searched by halving."""
+    n = F.size(drop)
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at <= n - step) & (F.get(drop, at + step - 1) < key), at + step).otherwise(at))
+    return F.when(key.isNull(), F.lit(False)).when(n <= FEW, F.array_contains(drop, key)).otherwise(F.coalesce(F.get(drop, below) == key, F.lit(False)))
+
+
+def clean(docs: DataFrame, index: LineIndex, *, text_col: str = "text", id_col: str = "doc_id", keys: DataFrame | None = None) -> DataFrame:
+    """The documents with dropped lines taken out of the text, and ``n_lines`` (before) and ``n_dropped``. ``keys`` are their
+    postings (doc, h1, h2), if they are known already.
 
     Null or empty text is one empty line. Input columns n_lines and n_dropped give way. All rows with a null id
     count as one document, which is never the last. Repeated rows stay. An empty table gives an empty table.
     """
     docs = without(docs, "n_lines", "n_dropped")
-    per_doc = drops(line_keys(docs, text_col, id_col).distinct(), index).groupBy(F.col("doc").alias("_line_doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("_line_drop"))
+    keys = line_keys(docs, text_col, id_col).distinct() if keys is None else keys
+    per_doc = drops(keys, index).groupBy(F.col("doc").alias("_line_doc")).agg(F.array_sort(F.collect_set(F.struct("h1", "h2"))).alias("_line_drop"))
     met = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("_line_doc")), "left")
     lines = F.split(text_or_empty(text_col), "\n")
-    kept = F.when(F.col("_line_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_line_drop", _hashed(x)), F.lit(False))))
-    parts = met.withColumn("_line_kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
+    keyed = F.transform(lines, lambda x: F.struct(x.alias("line"), _hashed(x).alias("key")))
+    left = F.transform(F.filter(keyed, lambda x: ~_among(F.col("_line_drop"), x["key"])), lambda x: x["line"])
+    parts = met.withColumn("_line_kept", F.when(F.col("_line_drop").isNull(), lines).otherwise(left)).withColumn("n_lines", F.size(lines).cast("long"))
     parts = parts.withColumn("n_dropped", F.col("n_lines") - F.size("_line_kept"))
     return parts.select(*[F.array_join("_line_kept", "\n").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_dropped")
 
 
 def line_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Index these documents and clean them by it."""
-    return clean(docs, build(docs, text_col=text_col, id_col=id_col), text_col=text_col, id_col=id_col)
+    """Index these documents and clean them by it; their postings serve both. What ``clean`` states holds."""
+    index = build(docs, text_col=text_col, id_col=id_col)
+    return clean(docs, index, text_col=text_col, id_col=id_col, keys=index.postings.select("doc", "h1", "h2"))
 
 
 ORACLE_SQL = r"""

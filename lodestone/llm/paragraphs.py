@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import apart, release, remove, text_or_empty, written
+from lodestone.llm.common import apart, release, remove, row_key, text_or_empty, written
 from lodestone.llm.components import components
 from lodestone.llm.prefix_free import DOWN, UP, least_of, mix, prefix_sums, segments
 
@@ -337,7 +337,7 @@ def paragraph_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     An empty table gives an empty table.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), row_key(text).alias("th"), text.alias("text"))
     passages = repeated_passages(rows)
     units = written(_units(rows), "paragraph-units")
     near = classes(rows, units)

@@ -3,7 +3,8 @@
 The patterns give the base spans. The field labels every token that holds a digit or
 an @: neighbours in the text are linked by a chain, and tokens of a document that
 repeat or resemble each other (the same digits, the same address) by skip edges, so that a mention
-which no pattern matches takes the label of its likes. Loopy message passing runs
+which no pattern matches takes the label of its likes. The weights of tokens, chain and skip edges are fitted
+together, by pseudo-likelihood: each token's label given those of its neighbours. Loopy message passing runs
 over all documents of a batch at once; no edge joins two documents.
 """
 
@@ -22,8 +23,10 @@ from lodestone.llm.common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Documents with a digit or @, and tokens of these, that the weights are fitted on at most.
-SAMPLE_DOCS, SAMPLE_TOKENS = 4000, 40_000
+#: Different texts that the weights are fitted on (those with the least hashes, give or take a few roots of that), and tokens of each at most.
+SAMPLE_DOCS, SAMPLE_TOKENS = 4000, 64
+#: Steps of the fit, their length, and how strongly weights are drawn to zero.
+STEPS, RATE, DECAY = 500, 5.0, 1e-4
 #: Rounds of messages, and the posterior from which a token becomes a span.
 ROUNDS, LEAST = 12, 0.9
 
@@ -54,6 +57,12 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, floor))
 
 
+def _byte(digits: str) -> bool:
+    """At most 255, whatever the number of zeros in front."""
+    value = digits.lstrip("0")
+    return len(value) < 3 or (len(value) == 3 and value <= "255")
+
+
 def _luhn(digits: str) -> bool:
     values = [int(c) for c in reversed(digits)]
     return sum(values[::2] + [d * 2 - 9 * (d > 4) for d in values[1::2]]) % 10 == 0
@@ -64,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in _emails(text)]
     if not _ANY.search(text):
         return out
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_byte(p) for p in m.groups())]
     for m in _CARD.finditer(text):
         digits = _DIGITS.sub("", m[0])
         if 12 <= len(digits) <= 19 and _luhn(digits):
@@ -131,14 +140,20 @@ def _features(t: Token) -> list[float]:
     ]
 
 
-def _same(t: Token) -> str:
-    """Tokens with the same value resemble each other: the last nine digits of a number, the local part of an address, else the word."""
+def _likes(t: Token) -> list[str]:
+    """Tokens that share one of these keys repeat or resemble each other: the same word; the same local part of an address; the same digits but for
+    a prefix; an address of numbers with the same parts."""
+    found = [t.text.lower()]
     if "@" in t.text:
-        return "@" + t.text.split("@")[0].lower()
-    digits = _DIGITS.sub("", t.text)
-    if len(digits) >= 7 and not any(c.isalpha() for c in t.text):
-        return "#" + (t.text if t.text.count(".") == 3 else digits[-9:])
-    return t.text.lower()
+        found.append("@" + t.text.split("@")[0].lower())
+    elif not any(c.isalpha() for c in t.text):
+        digits = _DIGITS.sub("", t.text)
+        if len(digits) >= 7:
+            found.append("#" + digits[-9:])
+        parts = [p for p in _DIGITS.split(t.text) if p]
+        if len(parts) == 4:
+            found.append("." + ".".join(parts))
+    return found
 
 
 class Field(NamedTuple):
@@ -147,43 +162,83 @@ class Field(NamedTuple):
     skip: np.ndarray  # labels x labels
 
 
+def _edges(likes: list[list[str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain and skip edges of a document's tokens; a skip edge leads to the last token before with a common key, so that all of a key hang together."""
+    skip, last = set(), {}
+    for i, keys in enumerate(likes):
+        for key in keys:
+            if key in last:
+                skip.add((last[key], i))
+            last[key] = i
+    return [(i - 1, i) for i in range(1, len(likes))], sorted(skip)
+
+
+def _learn(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> Field:
+    """Weights that make each token's label likely given its features and the labels of its neighbours. Edges are (n x 2) places of tokens.
+
+    The base patterns decide most labels by a token's features alone, which would leave the edges without weight. Each token is
+    therefore seen a second time with nothing but its neighbours.
+    """
+    n, m = len(y), len(LABELS)
+    target = np.eye(m)[y]
+    blank = np.zeros_like(x)
+    blank[:, 0] = 1.0
+    sides = np.concatenate([x, blank])
+    before, after, alike = (np.zeros((n, m)) for _ in range(3))
+    if len(chain):
+        np.add.at(before, chain[:, 1], target[chain[:, 0]])
+        np.add.at(after, chain[:, 0], target[chain[:, 1]])
+    if len(skip):
+        np.add.at(alike, skip[:, 1], target[skip[:, 0]])
+        np.add.at(alike, skip[:, 0], target[skip[:, 1]])
+    w, c, s = np.zeros((x.shape[1], m)), np.zeros((m, m)), np.zeros((m, m))
+    # Labels are rare: each counts by the root of how much rarer it is than the others together.
+    share = np.bincount(y, minlength=m) / n
+    weight = np.sqrt(1.0 / np.maximum(share[y] * m, 1e-9))[:, None] / (2 * n)
+    for step in range(STEPS):
+        z = (sides @ w).reshape(2, n, m) + (before @ c + after @ c.T + alike @ s)
+        p = np.exp(z - z.max(axis=2, keepdims=True))
+        p /= p.sum(axis=2, keepdims=True)
+        both = (p - target) * weight
+        g, rate = both.sum(axis=0), RATE / np.sqrt(1 + step / 50)
+        to_skip = alike.T @ g
+        w -= rate * (sides.T @ both.reshape(-1, m) + DECAY * w)
+        c -= rate * (before.T @ g + (after.T @ g).T + DECAY * c)
+        s -= rate * ((to_skip + to_skip.T) / 2 + DECAY * s)
+    return Field(w, c, s)
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS) -> Field:
-    """Weights from a bounded sample of documents, with the base spans as labels."""
-    some = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text")).limit(sample_docs)
+    """Weights from a bounded sample of texts, with the base spans as labels.
+
+    A text is in the sample by its hash alone, so that equal tables give equal weights, however they are dealt to tasks,
+    and copies of a text count once. A table without such texts gives a field that adds nothing.
+    """
+    key = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 40))
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    some = docs.where((key < int((1 << 40) * share)) & F.col(text_col).rlike("[0-9@]")).select(key.alias("key"), F.col(text_col).alias("text"))
+    some = some.groupBy("key").agg(F.min("text").alias("text"))
 
     def look(batches):
         for pdf in batches:
-            for n, text in enumerate(pdf["text"]):
-                found = tokens(text, base_spans(text))
-                yield type(pdf)({"doc": [hash(text) & 0x7FFFFFFF] * len(found), "x": [list(map(float, _features(t))) for t in found], "y": [t.label for t in found], "same": [_same(t) for t in found]})
+            for key, text in zip(pdf["key"], pdf["text"], strict=True):
+                found = tokens(text, base_spans(text))[:sample_tokens]
+                chain, skip = _edges([_likes(t) for t in found])
+                yield type(pdf)({"key": [key], "x": [[float(v) for t in found for v in _features(t)]], "y": [[t.label for t in found]], "chain": [[i for e in chain for i in e]], "skip": [[i for e in skip for i in e]]})
 
-    rows = some.mapInPandas(look, "doc long, x array<double>, y int, same string").limit(sample_tokens).collect()
+    rows = sorted(some.mapInPandas(look, "key long, x array<double>, y array<int>, chain array<int>, skip array<int>").collect(), key=lambda r: r["key"])
+    rows = [r for r in rows if r["y"]]
     width, m = len(_features(Token(0, 0, "", "", 0))), len(LABELS)
-    w = np.zeros((width, m))
-    chain, skip = np.ones((m, m)), np.eye(m) * 4 + 1
-    if rows:
-        x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-        target = np.eye(m)[y]
-        for _ in range(300):
-            z = x @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            w -= 2.0 * (x.T @ (p - target) / len(x) + 1e-4 * w)
-        seen: dict[tuple, int] = {}
-        for i, r in enumerate(rows):
-            if i and rows[i - 1]["doc"] == r["doc"]:
-                chain[rows[i - 1]["y"], r["y"]] += 1
-            if (at := seen.get((r["doc"], r["same"]))) is not None:
-                skip[at, r["y"]] += 1
-                skip[r["y"], at] += 1
-            seen[r["doc"], r["same"]] = r["y"]
-    # Edges hold how much likelier two labels are together than apart, within e**3 either way.
-    ratio = lambda c: np.clip(np.log(c * c.sum() / np.outer(c.sum(axis=1), c.sum(axis=0))), -3, 3)
-    return Field(w, 0.3 * ratio(chain), ratio(skip))
+    if not rows:
+        return Field(np.zeros((width, m)), np.zeros((m, m)), np.zeros((m, m)))
+    x, y = np.concatenate([r["x"] for r in rows]).reshape(-1, width), np.concatenate([r["y"] for r in rows])
+    first = np.cumsum([0, *[len(r["y"]) for r in rows[:-1]]])
+    chain, skip = (np.concatenate([np.array(r[c], np.int64).reshape(-1, 2) + at for r, at in zip(rows, first, strict=True)]) for c in ("chain", "skip"))
+    return _learn(x, y, chain, skip)
 
 
 def _posteriors(field: Field, docs: list[list[Token]]) -> np.ndarray:
-    """Label probabilities of all tokens, by loopy message passing in log space."""
+    """Label probabilities of all tokens, by loopy message passing in log space. The labels of base spans are given."""
     flat = [t for d in docs for t in d]
     m = len(LABELS)
     unary = np.array([_features(t) for t in flat], np.float64) @ field.unary
@@ -191,24 +246,15 @@ def _posteriors(field: Field, docs: list[list[Token]]) -> np.ndarray:
     base = np.array([t.label for t in flat])
     unary[base > 0] = -12.0
     unary[base > 0, base[base > 0]] = 0.0
-    a, b, kind, at = [], [], [], 0
+    ends, kinds, at = [], [], 0
     for d in docs:
-        last: dict[str, int] = {}
-        for i, t in enumerate(d):
-            if i:
-                a.append(at + i - 1)
-                b.append(at + i)
-                kind.append(0)
-            key = _same(t)
-            if key in last:
-                a.append(at + last[key])
-                b.append(at + i)
-                kind.append(1)
-            last[key] = i
+        for kind, own in enumerate(_edges([_likes(t) for t in d])):
+            ends += [(at + i, at + j) for i, j in own]
+            kinds += [kind] * len(own)
         at += len(d)
-    if a:
-        a, b, kind = np.array(a), np.array(b), np.array(kind)
-        psi = np.stack([field.chain, field.skip])[kind]
+    if ends:
+        a, b = np.array(ends).T
+        psi = np.stack([field.chain, field.skip])[np.array(kinds)]
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
         psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
@@ -248,7 +294,7 @@ def find_personal(docs: DataFrame, field: Field, *, text_col: str = "text", keep
     """The columns ``keep``, and ``base`` and ``added``: arrays of (kind, start, end) in code points, end exclusive.
 
     Whole texts are searched; a null or empty text has no spans. Equal texts have equal spans. Added spans do not
-    overlap base ones. Repeated rows stay. An empty table gives an empty table.
+    overlap base ones. Repeated rows stay. Columns named base or added cannot be kept under these names. An empty table gives an empty table.
     """
     small = docs.select(*[f"`{c}`" for c in keep], text_or_empty(text_col).alias("_pii_text"))
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

@@ -1,19 +1,23 @@
-"""Substring dedup over a prefix-free parse of the corpus.
+"""Substring dedup by prefix-free parsing.
 
 A byte that lies in a LENGTH-byte string which also starts anywhere else is removed.
 
 * Parse. A rolling hash over GRAM bytes picks triggers: of the grams in each LENGTH-byte
   window the one with the least hash. Equal windows hold equal triggers at equal
   offsets. Consecutive windows with one trigger are a run, and the run's bytes, from its
-  first window's start to its last one's end, are its phrase.
-* Dictionary. A trigger's gram that occurs once ends the matter for its run. Of the
-  others, equal phrases of equal triggers are one entry, with a count: with a count of
-  two all windows of its runs repeat, and the parse alone settles them. That is nearly all of
-  highly repetitive text.
-* Corpus order. What is left are entries with a count of one that share their trigger
-  with other entries: the ends of repeats. Only there the windows inside of phrases are
-  brought in order, trigger by trigger, each entry of the dictionary once. As only equality
-  over LENGTH bytes counts, they are ordered by (gram, window) hashes of 128 bits in all.
+  first window's start to its last one's end, are its phrase. Phrases overlap by LENGTH - 1
+  bytes, so that every window lies in one phrase whole.
+* Order of the parse. As phrases hold their windows whole, the suffixes of the parse need to be ordered by
+  their first phrase only: runs with equal triggers and equal phrases are neighbours, and where two
+  runs share a phrase all their windows repeat. That is nearly all of highly repetitive text.
+* Dictionary. Each different phrase is in it once. A phrase whose trigger no other phrase has is done with. Of the
+  others a suffix array is made, trigger by trigger, as suffixes under different triggers never share LENGTH bytes: prefix
+  doubling ranks all suffixes by their first 8, 16, 32, 64, 128 and LENGTH bytes, from the bytes themselves.
+* Corpus order. A window's place is its suffix's rank in the dictionary, then its run's in the parse. It repeats if it
+  shares LENGTH bytes with a neighbour: a run of its own phrase (the parse), or the next suffix (the dictionary).
+
+Triggers with very many phrases are not held in one task: the windows of their phrases are dealt out by
+hashes of 128 bits (of the trigger and the window), and equal ones counted.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import apart, release, remove, text_or_empty, written
+from lodestone.llm.common import apart, release, remove, row_key, text_or_empty, written
 
 LENGTH, GRAM = 200, 32
 #: Grams in a window; bytes that are hashed together (a power of two).
 _GRAMS, _SEGMENT = LENGTH - GRAM + 1, 1 << 17
-#: Entries of one trigger that are ordered in one task; the windows of larger groups are dealt out one by one instead.
+#: Phrases of one trigger whose suffix array is made in one task; the windows of larger groups are dealt out one by one instead.
 GROUP = 4096
 
 _U = np.uint64
@@ -96,6 +100,24 @@ def windows(x: np.ndarray) -> np.ndarray:
     return mix((s[LENGTH:] - s[: len(x) - LENGTH + 1]) * DOWN[: len(x) - LENGTH + 1])
 
 
+def suffix_ranks(x: np.ndarray) -> np.ndarray:
+    """The rank of each suffix by its first LENGTH bytes; equal ranks are equal bytes. Suffixes that are shorter have no rank that counts."""
+    n = len(x) - LENGTH + 1
+    wide = np.concatenate([x, np.zeros(8, np.uint8)])
+    rank = np.zeros(len(x), _U)
+    for i in range(8):
+        rank = (rank << _U(8)) | wide[i : i + len(x)]
+    depth = 8
+    while depth < LENGTH:
+        order = np.unique(rank, return_inverse=True)[1]
+        step = min(depth, LENGTH - depth)  # the last two stretches overlap
+        after = np.zeros(len(x), np.int64)
+        after[: len(x) - step] = order[step:]
+        rank = order * np.int64(len(x) + 1) + after
+        depth += step
+    return rank[:n]
+
+
 def segments(offsets: np.ndarray, lap: int = LENGTH - 1):
     """(from, to, first document) of what is hashed together: as many documents as fit, or a part of one that doesn't fit. Parts overlap by ``lap`` bytes, a window less one by default."""
     i, n = 0, len(offsets) - 1
@@ -153,29 +175,21 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    """(doc, th, gram, start, open, bytes), the entries of a gram in one task -> (doc, th, start, bytes covered) of the open entries' windows that repeat."""
+    """(doc, th, gram, start, open, bytes), the dictionary's phrases of a trigger in one task -> (doc, th, start, bytes covered) of the open phrases' windows that repeat."""
     schema = T.StructType([*rows.select("doc", "th", "start").schema, T.StructField("n", T.IntegerType(), False)])
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        gram, start = table["gram"].to_numpy(), table["start"].to_numpy().astype(np.int64)
+        start = table["start"].to_numpy().astype(np.int64)
         is_open = table["open"].to_numpy(zero_copy_only=False)
-        hashes, at = [], 0
         parts = [np.frombuffer(b.as_py(), np.uint8) for b in table["bytes"]]
-        size = np.array([len(p) - LENGTH + 1 for p in parts])
-        while at < len(parts):  # phrases are short: many are hashed together, and windows across two of them dropped
-            end, n = at, 0
-            while end < len(parts) and n + len(parts[end]) < _SEGMENT:
-                n += len(parts[end])
-                end += 1
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts[at:end]])[:-1]])
-            own = np.repeat(offsets - np.concatenate([[0], np.cumsum(size[at:end])[:-1]]), size[at:end]) + np.arange(size[at:end].sum())
-            hashes.append(windows(np.concatenate(parts[at:end]))[own])
-            at = end
+        length = np.array([len(p) for p in parts])
+        size = length - LENGTH + 1
         row = np.repeat(np.arange(len(parts)), size)
-        window = np.concatenate(hashes) ^ mix(gram.view(_U))[row]
-        where = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(row))
-        order = np.lexsort((window, gram[row]))
-        same = (window[order][1:] == window[order][:-1]) & (gram[row][order][1:] == gram[row][order][:-1])
+        within = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        where = start[row] + within
+        rank = suffix_ranks(np.concatenate(parts))[(np.cumsum(length) - length)[row] + within]
+        order = np.argsort(rank, kind="stable")  # the suffix array
+        same = rank[order][1:] == rank[order][:-1]  # neighbours that share LENGTH bytes
         twice = np.zeros(len(row), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
@@ -253,7 +267,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", id_col: str = "do
     An empty table gives an empty table.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), row_key(text).alias("th"), text.alias("text"))
     stretches = repeats(rows).groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("start", "n")).alias("stretches"))
     met = rows.join(stretches, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc", F.col("text").cast("binary").alias("text"), F.col("stretches.start").alias("a"), F.col("stretches.n").alias("n"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

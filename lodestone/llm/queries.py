@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.urls import page_text
 from lodestone.llm import additive, audio, bpe, langid, line_dedup, mixing, paragraphs, pii, prefix_free, simhash
 
 
@@ -49,6 +50,13 @@ def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "lang", "source", "lang_id", "lang_confidence", "lang_keep")
 
 
+def language_fusion_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four kinds of evidence over whole pages: their text, the declaration in the markup, the address suffix and the host. The models are fitted on documents."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html").withColumn("text", page_text(F.col("html")))
+    judged = langid.identify(pages, langid.fit(_table(spark, sf_dir, "documents")), declared=langid.declared_in(F.col("html")), host=langid.host_of(F.col("url")))
+    return judged.select("page_id", "url", "lang_id", "lang_confidence", "lang_keep")
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +83,6 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heard.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), _sha("payload").alias("payload_sha256"), tail, F.octet_length("media").cast("long").alias("media_bytes"), _sha("media").alias("media_sha256"), "feature")
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_additive_quantisation, op3_simhash_bktree, op4_pii_skip_chain, op5_language_fusion, op6_poisson_mix, op7_line_cuckoo, op8_bpe, op9_prefix_free_parsing, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_additive_quantisation, op3_simhash_bktree, op4_pii_skip_chain, op5_language_fusion, op6_poisson_mix, op7_line_cuckoo, op8_bpe, op9_prefix_free_parsing, op10_audio_features, language_fusion_pages)}
 
 ORACLES = {"op6_poisson_mix": mixing.ORACLE_SQL, "op7_line_cuckoo": line_dedup.ORACLE_SQL}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import apart, without, written
+from lodestone.llm.common import apart, row_key, text_or_empty, without, written
 from lodestone.llm.components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -180,6 +180,13 @@ def links(prints: DataFrame) -> DataFrame:
     return _tree_links(small).unionByName(_neighbour_links(large))
 
 
+def _rooted(prints: DataFrame, *first) -> DataFrame:
+    """Rows (fp, ...) -> (fp, root, and the aggregates ``first`` of the rows of each fp), one for each fingerprint."""
+    distinct = written(prints.groupBy("fp").agg(*first), "simhash-distinct")
+    stars = components(links(distinct.select("fp")))
+    return distinct.join(stars, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: its id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id in its group.
 
@@ -187,9 +194,7 @@ def simhash_groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "do
     (a group of null ids alone has a null name). Repeated rows stay. An empty table gives an empty table.
     """
     prints = written(fingerprints(docs, text_col=text_col, keep=(id_col,)).withColumnRenamed(id_col, "_sim_id"), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("_sim_id").alias("first")), "simhash-distinct")
-    stars = components(links(distinct.select("fp")))
-    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.min("_sim_id").alias("first"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(apart(names), "root").select(F.col("fp").alias("_fp"), "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -197,10 +202,18 @@ def simhash_groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "do
 
 
 def near_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay: of each group the one with the smallest id (of repeated rows with that id, one)."""
-    docs = without(docs, "fingerprint", "component_id")
-    groups = simhash_groups(docs, text_col=text_col, id_col=id_col)
-    firsts = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_sim_keep")).agg(F.count(F.lit(1)).alias("_sim_n"))
-    kept = docs.join(firsts, F.col(id_col).eqNullSafe(F.col("_sim_keep")))
-    once, more = kept.where("_sim_n = 1"), kept.where("_sim_n > 1").dropDuplicates([id_col])
-    return once.unionByName(more).drop("_sim_keep", "_sim_n")
+    """The documents that stay: of each group one row, that with the smallest id, null ids last; of rows with that id the one whose text has the least hash.
+
+    Of rows that share id and text any one stays. Null texts are empty; all texts without words are one group. Columns named
+    fingerprint or component_id give way. An empty table gives an empty table.
+    """
+    docs = without(docs, "fingerprint", "component_id").withColumn("_sim_th", row_key(text_or_empty(text_col)))
+    prints = written(fingerprints(docs, text_col=text_col, keep=(id_col, "_sim_th")).withColumnRenamed(id_col, "_sim_id"), "simhash")
+    who = F.struct(F.col("_sim_id").isNull().alias("none"), F.col("_sim_id").alias("id"), F.col("_sim_th").alias("th"))
+    rooted = _rooted(prints, F.min(who).alias("first"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_sim_i"), F.col("first.th").alias("_sim_t"))
+    one = lambda name: F.col(name).eqNullSafe(F.col("_sim_i")) & (F.col("_sim_th") == F.col("_sim_t"))
+    counted = prints.join(apart(firsts), one("_sim_id")).groupBy("_sim_i", "_sim_t").agg(F.count(F.lit(1)).alias("_sim_n"))
+    kept = docs.join(counted, one(id_col))
+    once, more = kept.where("_sim_n = 1"), kept.where("_sim_n > 1").dropDuplicates([id_col, "_sim_th"])
+    return once.unionByName(more).drop("_sim_th", "_sim_i", "_sim_t", "_sim_n")

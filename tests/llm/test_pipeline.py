@@ -42,6 +42,30 @@ def test_stages(spark, sf_dir):
     assert seen["bpe"].where("not round_trip or n_tokens = 0").count() == 0
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_rows(spark, stage):
+    """Nulls, empty texts, ties, repeated rows and further columns with clashing names, in every stage."""
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    text = "und der die nicht schön über zwischen haus " * 4
+    rows = [(1, text, "de", "s", 3), (1, text, "de", "s", 3), (1, "the and with from this there would house " * 4, "en", None, 3), (None, text, None, "s", None), (2, None, None, None, None), (3, "", "xx", "s", 0), (4, " \n\n", "de", "s", 3)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("ids", "fingerprint", "n_lines", "lang_id", "copy", "th", "doc", "fp")})
+    out = p.STAGES[stage][1](spark, docs, "")
+    assert stage == 4 or out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = sorted(((r["doc_id"], r["text"] if stage < 4 else r["n_tokens"] > 0) for r in out.collect()), key=repr)
+    if stage == 0:
+        assert got == sorted([(i, t) for i, t, *_ in rows if (t or "").strip()], key=repr)
+    elif stage == 1:
+        assert got == sorted([(i, t or "") for i, t, *_ in rows], key=repr)
+    elif stage == 2:
+        assert got == sorted([(1, rows[0][1]), (1, rows[2][1]), (2, None)], key=repr)
+    elif stage == 3:
+        assert {g[0] for g in got} <= {1, 2, 3, 4, None}
+    else:
+        assert got == sorted([(i, bool(t)) for i, t, *_ in rows], key=repr)
+
+
 def test_empty(spark, tmp_path):
     import corpus_pipeline as p
 

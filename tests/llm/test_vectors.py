@@ -41,6 +41,31 @@ def test_search(spark):
     assert all(v == sorted(v, key=lambda p: (-p[1], p[0])) for v in got.values())
 
 
+def test_recall_beyond_the_shortlist(spark, monkeypatch):
+    """Many more vectors than are ranked exactly, in several blocks of codes and of queries."""
+    monkeypatch.setattr(additive, "SHORTLIST", 120)
+    monkeypatch.setattr(additive, "BLOCK", 1500)
+    monkeypatch.setattr(additive, "QUERIES", 100)
+    monkeypatch.setattr(additive, "SAMPLE", 2000)
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(6000, 24)).astype(np.float32))]
+    got = {}
+    for r in additive.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    want = brute(rows)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    recall = sum(len(got[q].keys() & dict(v).keys()) for q, v in want.items()) / (20 * len(want))
+    assert recall >= 0.9, recall
+    assert all(abs(s - dict(want[q]).get(i, s)) < 1e-12 for q, v in got.items() for i, s in v.items())
+
+
+def test_one_hot_vector_does_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(additive, "SAMPLE", 50)
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(200, 6)).astype(np.float32))] + [(1000 + i, [1.0, 2.0], 0) for i in range(150)]
+    assert {r["query_id"] for r in additive.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect()} == set(range(0, 200, 20))
+
+
 def test_few_and_none(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0], 0), (5, [0.5, 0.5], 0)], SCHEMA)
     assert [tuple(r) for r in additive.search(two, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 5, 0.5)]
@@ -52,7 +77,7 @@ def test_beam_search_improves():
     x = rng.normal(size=(500, 12))
     q = additive.fit(x, books=4, words=16)
     codes, norms = q.encode(x)
-    assert np.allclose(norms, (q.decode(codes) ** 2).sum(axis=1))
+    assert np.allclose(norms, np.linalg.norm(x, axis=1) / np.linalg.norm(q.decode(codes), axis=1))
     greedy = 0.0
     r = x.copy()
     for b in range(4):
