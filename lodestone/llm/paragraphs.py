@@ -19,7 +19,8 @@ four rows a pair of similarity 0.8 collides with probability 0.995, one of 0.9 w
 
 from __future__ import annotations
 
-from itertools import repeat
+import itertools
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import apart, release, remove, row_key, text_or_empty, written
 from lodestone.llm.components import components
-from lodestone.llm.prefix_free import DOWN, UP, least_of, mix, prefix_sums, segments
+from lodestone.llm.prefix_free import BASE, DOWN, UP, least_of, mix, prefix_sums, segments
 
 WORDS, SIMILAR, MIN_WORDS, SHORT = 5, 0.8, 5, 20
 BANDS, ROWS = 10, 4
@@ -39,93 +40,141 @@ BANDS, ROWS = 10, 4
 EXACT, PIVOTS = 512, 16
 #: Words of a stretch, and shingles of which one begins a stretch; bytes by which the parts of a very long text overlap.
 PASSAGE, GAP, LAP = 30, 21, 1 << 13
-#: Shingles that are signed together.
-BLOCK = 8192
+#: Shingles that are signed together, about; bytes that are hashed together.
+BLOCK, PIECE = 1 << 16, 1 << 16
 
 _U = np.uint64
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=_U) * _U(2) + _U(1)
 _C = _rng.integers(0, 2**64, BANDS * ROWS, dtype=_U)
-
-
-def paragraphs_of(raw: bytes):
-    """(start, end, words, whether it is a line of its own) of the lines and blocks, in bytes."""
-    at, total, run = 0, 0, []
-    while at <= len(raw):
-        end = raw.find(b"\n", at)
-        end = len(raw) if end < 0 else end
-        words = raw[at:end].lower().split()
-        total += len(words)
-        if len(words) >= MIN_WORDS:
-            yield at, end, words, True
-        if 0 < len(words) < SHORT:
-            run.append((at, end, words))
-        else:
-            yield from _block(run)
-            run = []
-        at = end + 1
-    yield from _block(run)
-    if 0 < total < WORDS:
-        start = len(raw) - len(raw.lstrip())
-        yield start, len(raw.rstrip()), raw.lower().split(), False
-
-
-def _block(run: list):
-    """Several short lines as one unit."""
-    words = [w for _, _, line in run for w in line]
-    if len(run) > 1 and len(words) >= WORDS:
-        yield run[0][0], run[-1][1], words, False
-
-
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Hashes of all five-word shingles, in order; of fewer words, that of all."""
-    from xxhash import xxh64_intdigest
-
-    if 0 < len(words) < WORDS:
-        return np.array([xxh64_intdigest(b" ".join(words), 3)], _U)
-    n = max(1, len(words) - WORDS + 1)
-    return np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*[words[i : i + n] for i in range(WORDS)], strict=False)), repeat(3)), _U, n if len(words) >= WORDS else 0)
-
-
-def _bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One row of band keys for each stretch of shingle hashes."""
-    least = np.empty((BANDS * ROWS, len(starts)), _U)
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+class Words(NamedTuple):
+    """The words of texts that lie one after another: where each begins and ends, in bytes, its hash, and the hash of it and the next ones as a shingle."""
+
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    shingle: np.ndarray
+
+
+def words_of(data: np.ndarray, edges: np.ndarray) -> Words:
+    """Words of the texts between neighbouring ``edges``; A-Z count as a-z. A word's hash follows from its bytes alone, whatever its length."""
+    gap, edge = _GAP[data], np.zeros(len(data) + 1, bool)
+    edge[edges] = True
+    start = np.flatnonzero(~gap & (edge[:-1] | np.concatenate([[True], gap[:-1]])[: len(data)]))
+    end = np.flatnonzero(~gap & (edge[1:] | np.concatenate([gap[1:], [True]])[: len(data)])) + 1
+    first, last, down = (np.empty(len(start), _U) for _ in range(3))
+    total = np.zeros(1, _U)
+    for at in range(0, len(data), PIECE):
+        s = prefix_sums(_LOW[data[at : at + PIECE]])
+        up, back = (np.array([pow(base, at, 2**64)], _U) for base in (BASE, pow(BASE, -1, 2**64)))
+        i, j = np.searchsorted(start, [at, at + PIECE])
+        first[i:j] = total + up * s[start[i:j] - at]
+        down[i:j] = back * DOWN[start[i:j] - at]
+        i, j = np.searchsorted(end, [at + 1, at + PIECE + 1])
+        last[i:j] = total + up * s[end[i:j] - at]
+        total = total + up * s[-1:]
+    word = mix((last - first) * down)
+    padded = np.concatenate([word, np.zeros(WORDS - 1, _U)])
+    return Words(start, end, word, mix(sum(padded[i : i + len(word)] * UP[i + 1] for i in range(WORDS))))
+
+
+def _short(word: np.ndarray) -> np.ndarray:
+    """The one shingle of under five words: all of them."""
+    return mix((word * UP[1 : len(word) + 1]).sum(keepdims=True) + _U(len(word)))
+
+
+def _sequences(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the words [a, b) of each unit; units are in order and do not overlap."""
+    n = b - a
+    row = np.repeat(np.arange(len(a)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    terms = mix(word[a[row] + place] ^ mix(place.astype(_U)))
+    return mix(np.add.reduceat(terms, np.cumsum(n) - n) ^ mix(n.astype(_U))) if len(a) else np.array([], _U)
+
+
+def units_of(data: np.ndarray, edges: np.ndarray) -> tuple[Words, list[tuple[np.ndarray, ...]]]:
+    """Words of the texts, and their units as (text, start, end, first word, word after the last one, end of the shingles, whether lines) for lines, blocks and texts of under five words. Bytes count from ``edges[0]``."""
+    w = words_of(data, edges)
+    if not len(w.start):
+        return w, []
+    breaks = np.flatnonzero(data == 10)
+    line = np.unique(np.concatenate([edges[:-1], breaks + 1]))
+    line = line[: np.searchsorted(line, len(data))]
+    text = np.searchsorted(edges, line, side="right") - 1
+    opens = np.ones(len(line), bool)
+    opens[1:] = text[1:] != text[:-1]
+    # A line ends where the next one begins, less the line feed; the last of a text ends with it, or before the line feed that the text ends with.
+    close = np.append(line[1:], len(data)) - 1
+    last = np.append(opens[1:], True)
+    end = edges[text[last] + 1]
+    close[last] = end - ((end > line[last]) & (data[end - 1] == 10))
+    first = np.searchsorted(w.start, line)
+    after = np.append(first[1:], len(w.start))
+    n = after - first
+    some = np.flatnonzero(n >= MIN_WORDS)
+    lines = (text[some], line[some], close[some], first[some], after[some], after[some] - WORDS + 1)
+    short = (n > 0) & (n < SHORT)
+    a = np.flatnonzero(short & (opens | ~np.append(False, short[:-1])))
+    b = np.flatnonzero(short & (last | ~np.append(short[1:], False)))
+    good = (b > a) & (after[b] - first[a] >= WORDS)
+    a, b = a[good], b[good]
+    blocks = (text[a], line[a], close[b], first[a], after[b], after[b] - WORDS + 1)
+    head = np.searchsorted(w.start, edges)
+    tiny = np.flatnonzero((np.diff(head) > 0) & (np.diff(head) < WORDS))
+    for t in tiny:
+        w.shingle[head[t]] = _short(w.hash[head[t] : head[t + 1]])[0]
+    few = (tiny, w.start[head[tiny]], w.end[head[tiny + 1] - 1], head[tiny], head[tiny + 1], head[tiny] + 1)
+    return w, [(*lines, True), (*blocks, False), (*few, False)]
+
+
+def _bands(shingle: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One row of band keys for each stretch [a, b) of shingle hashes; stretches are in order and do not overlap."""
+    own = np.append(shingle[a[0] : b[-1]], _U(0))
+    edges = np.stack([a, b], axis=1).ravel() - a[0]
+    least = np.empty((BANDS * ROWS, len(a)), _U)
     for i in range(BANDS * ROWS):
-        least[i] = np.minimum.reduceat(hashes * _A[i] + _C[i], starts)
-    keys = np.zeros((BANDS, len(starts)), _U)
+        least[i] = np.minimum.reduceat(own * _A[i] + _C[i], edges)[::2]
+    keys = np.zeros((BANDS, len(a)), _U)
     for r in range(ROWS):
         keys = (keys ^ least[r::ROWS]) * _U(0x9E3779B97F4A7C15)
         keys ^= keys >> _U(31)
     return (keys + np.arange(BANDS, dtype=_U)[:, None] * _U(0xC2B2AE3D27D4EB4F)).T
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings without nulls, one after another, and where each begins and the last ends."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def _units(docs: DataFrame) -> DataFrame:
     """(doc, th, text) -> (doc, th, start, end, words, line, pid, bands), one row for each line (``line``) and block."""
-    from xxhash import xxh64_intdigest
-
     fields = [("start", T.IntegerType()), ("end", T.IntegerType()), ("words", T.IntegerType()), ("line", T.BooleanType()), ("pid", T.LongType()), ("bands", T.ArrayType(T.LongType(), False))]
     schema = T.StructType([*docs.select("doc", "th").schema, *[T.StructField(n, t, False) for n, t in fields]])
 
-    def flush(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
-        sizes = np.array([len(h[6]) for h in held])
-        bands = _bands(np.concatenate([h[6] for h in held]), np.concatenate([[0], np.cumsum(sizes)[:-1]])).view(np.int64)
-        row = pa.array([h[0] for h in held])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-        cols = [pa.array([h[i] for h in held], pa.int32()) for i in (1, 2, 3)] + [pa.array([h[4] for h in held]), pa.array(np.array([h[5] for h in held], _U).view(np.int64)), lists]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *cols], names=schema.names)
-
     def run(batches):
-        for batch in batches:
-            held, n = [], 0
-            for i, x in enumerate(batch.column(2).cast(pa.binary())):
-                for start, end, words, line in paragraphs_of(x.as_py()):
-                    held.append((i, start, end, len(words), line, xxh64_intdigest(b" ".join(words), 5), shingles(words)))
-                    n += len(held[-1][6])
-                    if n >= BLOCK:
-                        yield flush(batch, held)
-                        held, n = [], 0
-            if held:
-                yield flush(batch, held)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                data, edges = bytes_of(batch.column(2))
+                w, kinds = units_of(data, edges)
+                for text, start, end, first, after, stop, line in kinds:
+                    pid = _sequences(w.hash, first, after).view(np.int64)
+                    cuts = np.searchsorted(first, np.arange(0, len(w.start) + BLOCK, BLOCK))
+                    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                        if i == j:
+                            continue
+                        bands = _bands(w.shingle, first[i:j], stop[i:j]).view(np.int64)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
+                        row, zero = pa.array(text[i:j]), edges[text[i:j]]
+                        cols = [pa.array(c.astype(np.int32)) for c in (start[i:j] - zero, end[i:j] - zero, after[i:j] - first[i:j])]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *cols, pa.array(np.full(j - i, line)), pa.array(pid[i:j]), lists], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -134,11 +183,16 @@ def _sets(bodies: DataFrame) -> DataFrame:
     """(pid, body) -> (pid, shingles), each shingle once and in order."""
 
     def run(batches):
-        for batch in batches:
-            sets = [np.unique(shingles(b.as_py().lower().split())) for b in batch.column(1)]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.array([], _U)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["pid", "shingles"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                data, edges = bytes_of(batch.column(1))
+                w = words_of(data, edges)
+                head = np.searchsorted(w.start, edges)
+                sets = [np.unique(w.shingle[a : b - WORDS + 1]) if b - a >= WORDS else _short(w.hash[a:b]) for a, b in itertools.pairwise(head)]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.array([], _U)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["pid", "shingles"])
 
     return bodies.mapInArrow(run, "pid long, shingles array<long>")
 
@@ -318,11 +372,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc, th, start, end, of) of the stretches that an earlier document has; ``of`` is its id."""
     all_ = written(_passages(docs), "passages")
     who = F.struct("doc", "th")
-    shared = written(all_.groupBy("hash").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("not (first <=> last)").drop("last"), "passages-shared")
-    met = all_.join(shared, "hash").where(~who.eqNullSafe(F.col("first")))
-    found = written(met.select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc").alias("of")), "passages-repeated")
+    often = all_.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = written(all_.join(often, "hash"), "passages-met")
+    shared = met.groupBy("hash").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("not (first <=> last)").drop("last")
+    again = met.join(apart(shared), "hash").where(~who.eqNullSafe(F.col("first")))
+    found = written(again.select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc").alias("of")), "passages-repeated")
     remove(all_)
-    remove(shared)
+    remove(met)
     release(docs.sparkSession)
     return found
 

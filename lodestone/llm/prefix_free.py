@@ -37,7 +37,7 @@ _GRAMS, _SEGMENT = LENGTH - GRAM + 1, 1 << 17
 GROUP = 4096
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(1).integers(0, 2**64, 256, dtype=_U)
 
 
@@ -47,7 +47,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-UP, DOWN = _powers(_BASE, _SEGMENT + 1), _powers(pow(_BASE, -1, 2**64), _SEGMENT + 1)
+UP, DOWN = _powers(BASE, _SEGMENT + 1), _powers(pow(BASE, -1, 2**64), _SEGMENT + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -269,6 +269,50 @@ def test_prefix_free_long_text(spark, monkeypatch):
     assert out == {1: (900, [(131_000, 131_900)]), 2: (900, [(1, 901)]), 3: (0, [])}
 
 
+def test_units(monkeypatch):
+    """Lines, blocks and tiny texts of any texts, with words across the seams of what is hashed together, against a plain reading."""
+    import numpy as np
+
+    rng = random.Random(41)
+    bits = ["a", "Bb", "ccc ", " ", " ", "\t", "\n", "\n\n", "d e f g h ", "é ", "x" * 30, "one two three four five six seven eight nine ten ", "\u00a0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 60))).encode() for _ in range(300)] + [b"", b"a b", b" A  B\n", b"same words in all five", b"Same\nwords in all\nFIVE"]
+    edges = np.cumsum([0, *map(len, texts)])
+
+    def read(raw):
+        runs, lines, run, at, total = [], [], [], 0, raw.lower().split()
+        for line in raw.split(b"\n"):
+            n = len(line.split())
+            lines += [(at, at + len(line), n)] if n >= 5 else []
+            if 0 < n < 20:
+                run.append((at, at + len(line), n))
+            else:
+                runs.append(run)
+                run = []
+            at += len(line) + 1
+        blocks = [(r[0][0], r[-1][1], sum(n for *_, n in r)) for r in [*runs, run] if len(r) > 1 and sum(n for *_, n in r) >= 5]
+        tiny = [(len(raw) - len(raw.lstrip()), len(raw.rstrip()), len(total))] if 0 < len(total) < 5 else []
+        return lines, blocks, tiny
+
+    by_words = {}
+    for piece in (7, 1 << 16):
+        monkeypatch.setattr(paragraphs, "PIECE", piece)
+        w, kinds = paragraphs.units_of(np.frombuffer(b"".join(texts), np.uint8), edges)
+        for place, (text, start, end, first, after, stop, _) in enumerate(kinds):
+            got = collections.defaultdict(list)
+            pids = paragraphs._sequences(w.hash, first, after)
+            for t, a, b, i, j, k, pid in zip(text, start, end, first, after, stop, pids, strict=True):
+                got[t].append((a - edges[t], b - edges[t], j - i))
+                own = tuple(texts[t][a - edges[t] : b - edges[t]].lower().split())
+                assert by_words.setdefault(own, (pid, tuple(w.shingle[i:k]))) == (pid, tuple(w.shingle[i:k])) and k - i == max(1, len(own) - 4)
+            assert all(got[t] == read(raw)[place] for t, raw in enumerate(texts))
+    assert len({pid for pid, _ in by_words.values()}) == len(by_words)
+    grams = {}
+    for own, (_, hashes) in by_words.items():
+        for k, h in enumerate(hashes):
+            assert grams.setdefault(own[k : k + 5], h) == h
+    assert len(set(grams.values())) == len(grams)
+
+
 def test_paragraphs(docs, empty, corpus):
     out = {(r["doc_id"], sha(r["kept"])): r for r in paragraphs.paragraph_dedup(docs).collect()}
     units = []
