@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,30 +11,34 @@ from pyspark.sql import functions as F
 # Accents that search folds, synonym groups, and words a query is not searched for.
 ACCENTS = ("áéíóúüñ", "aeiouun")
 SYNONYMS = (
-    "celular celulares smartphone smartphones celu telefono telefonos",
-    "notebook notebooks laptop laptops portatil portatiles computador computadora computadores",
-    "monitor monitores pantalla pantallas",
-    "procesador procesadores cpu",
-    "grafica graficas gpu video",
-    "memoria rams ram",
-    "ssd solido",
-    "disco discos hd",
-    "teclado teclados keyboard keyboards",
-    "mouse raton ratones",
-    "audifono audifonos auricular auriculares headset headsets",
-    "camara camaras",
-    "parlante parlantes speaker speakers bocina bocinas",
-    "tv televisor televisores smarttv smarttvs",
-    "consola consolas playstation xbox nintendo switch",
-    "router routers enrutador enrutadores",
-    "tablet tablets ipad tableta tabletas",
-    "smartwatch smartwatches reloj relojes",
-    "silla sillas",
-    "fuente fuentes",
-    "gabinete gabinetes torre torres",
-    "impresora impresoras",
+    ("celular", "celulares", "smartphone", "smartphones", "celu", "telefono", "telefonos"),
+    ("notebook", "notebooks", "laptop", "laptops", "portatil", "portatiles", "computador", "computadora", "computadores"),
+    ("monitor", "monitores", "pantalla", "pantallas"),
+    ("procesador", "procesadores", "cpu"),
+    ("grafica", "graficas", "gpu", "video"),
+    ("memoria", "rams", "ram"),
+    ("ssd", "solido"),
+    ("disco", "discos", "hd"),
+    ("teclado", "teclados", "keyboard", "keyboards"),
+    ("mouse", "raton", "ratones"),
+    ("audifono", "audifonos", "auricular", "auriculares", "headset", "headsets"),
+    ("camara", "camaras"),
+    ("parlante", "parlantes", "speaker", "speakers", "bocina", "bocinas"),
+    ("tv", "televisor", "televisores", "smarttv", "smarttvs"),
+    ("consola", "consolas", "playstation", "xbox", "nintendo", "switch"),
+    ("router", "routers", "enrutador", "enrutadores"),
+    ("tablet", "tablets", "ipad", "tableta", "tabletas"),
+    ("smartwatch", "smartwatches", "reloj", "relojes"),
+    ("silla", "sillas"),
+    ("fuente", "fuentes"),
+    ("gabinete", "gabinetes", "torre", "torres"),
+    ("impresora", "impresoras"),
+)
+IDLE_WORDS = (
+    "para", "por", "de", "del", "la", "las", "el", "los", "un", "una", "unos", "unas", "con", "sin", "en", "como", "que", "cual", "y", "o", "mi",
+    "tu", "me", "te", "se", "busca", "busco", "buscar", "busqueda", "quiero", "necesito", "recomendame", "hay", "alguna", "alguno", "mejor", "buen",
+    "decime", "cuales", "estos",
 )
-IDLE_WORDS = "para por de del la las el los un una unos unas con sin en como que cual y o mi tu me te se busca busco buscar busqueda quiero necesito recomendame hay alguna alguno mejor buen decime cuales estos"
 
 
 def fold(word: str) -> str:
@@ -56,14 +61,13 @@ def _number_forms(word: str) -> set[str]:
 def synonyms(word: str) -> set[str]:
     """Singular and plural forms, and the commercial groups these belong to."""
     forms = _number_forms(fold(word))
-    return forms.union(*[g.split() for g in SYNONYMS if forms & set(g.split())])
+    return forms.union(*[group for group in SYNONYMS if forms & set(group)])
 
 
 def search_terms(query: str) -> list[set[str]]:
     """One set of equivalent terms for each different word worth searching for."""
-    idle = set(IDLE_WORDS.split())
     words = dict.fromkeys(fold(w) for w in query.split())
-    return [synonyms(w) for w in words if len(w) > 1 and w not in idle]
+    return [synonyms(w) for w in words if len(w) > 1 and w not in IDLE_WORDS]
 
 
 def matches_all(terms: list[set[str]], *cols: Column) -> Column:
@@ -82,8 +86,16 @@ def gtin(col: Column) -> Column:
     return F.when(F.length(digits).isin(8, 12, 13, 14), digits)
 
 
+def _unmarked() -> tuple[str, str]:
+    """Lower-case letters up to U+1EFF that are a plain letter with marks, and these plain letters, by compatibility decomposition."""
+    pairs = {c: unicodedata.normalize("NFKD", c) for c in map(chr, range(0xE0, 0x1F00))}
+    plain = {c: "".join(x for x in d if not unicodedata.combining(x)) for c, d in pairs.items() if d != c}
+    kept = {c: d for c, d in plain.items() if len(d) == 1 and c == c.lower()}
+    return "".join(kept), "".join(kept.values())
+
+
 #: Letters with marks and their plain forms, for keys that are compared without marks.
-MARKED = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+MARKED = _unmarked()
 
 
 def brand_key(col: Column) -> Column:

@@ -6,10 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Parameters that only track a visitor; hosts of manufacturers, benchmarks and reviews; priorities of sources.
-TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid mc_cid mc_eid ref ref_src ref_url source spm from shared share_id"
-MANUFACTURERS = "apple.com samsung.com asus.com rog.asus.com lenovo.com hp.com dell.com acer.com msi.com xiaomi.com mi.com realme.com motorola.com lg.com sony.com nokia.com intel.com amd.com nvidia.com qualcomm.com mediatek.com"
-BENCHMARKS = "geekbench.com browser.geekbench.com notebookcheck.net 3dmark.com 3dmark.benchmarks.ul.com benchmarks.ul.com passmark.com cpubenchmark.net videocardbenchmark.net anandtech.com spec.org opendata.geekbench.com"
-REVIEWS = "rtings.com techradar.com theverge.com techspot.com cnet.com pcmag.com tomshardware.com androidauthority.com gsmarena.com xataka.com"
+TRACKING = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "ref_url",
+    "source", "spm", "from", "shared", "share_id",
+)
+MANUFACTURERS = (
+    "apple.com", "samsung.com", "asus.com", "rog.asus.com", "lenovo.com", "hp.com", "dell.com", "acer.com", "msi.com", "xiaomi.com", "mi.com",
+    "realme.com", "motorola.com", "lg.com", "sony.com", "nokia.com", "intel.com", "amd.com", "nvidia.com", "qualcomm.com", "mediatek.com",
+)
+BENCHMARKS = (
+    "geekbench.com", "browser.geekbench.com", "notebookcheck.net", "3dmark.com", "3dmark.benchmarks.ul.com", "benchmarks.ul.com", "passmark.com",
+    "cpubenchmark.net", "videocardbenchmark.net", "anandtech.com", "spec.org", "opendata.geekbench.com",
+)
+REVIEWS = (
+    "rtings.com", "techradar.com", "theverge.com", "techspot.com", "cnet.com", "pcmag.com", "tomshardware.com", "androidauthority.com",
+    "gsmarena.com", "xataka.com",
+)
 PRIORITY = {"catalog": 60, "manufacturer": 50, "benchmark": 40, "review": 30, "document": 25, "web": 20}
 
 
@@ -24,7 +36,7 @@ def normal_url(url: Column) -> Column:
     path = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1)
     path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    names = F.array(*map(F.lit, TRACKING.split()))
+    names = F.array(*map(F.lit, TRACKING))
     kept = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]+=.") & ~F.array_contains(names, F.lower(F.regexp_extract(p, "^([^=]*)", 1))))
     return F.concat(F.lit("https://"), host(bare), F.when(~port.isin("", "80", "443"), F.concat(F.lit(":"), port)).otherwise(""), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
@@ -74,7 +86,7 @@ def page_text(html: Column) -> Column:
 def source_type(url: Column) -> Column:
     """By the host, without its www."""
     name = F.regexp_replace(host(url), r"^www\.", "")
-    kinds = (("manufacturer", name.isin(*MANUFACTURERS.split()) | name.endswith(".asus.com")), ("benchmark", name.isin(*BENCHMARKS.split())), ("review", name.isin(*REVIEWS.split())))
+    kinds = (("manufacturer", name.isin(*MANUFACTURERS) | name.endswith(".asus.com")), ("benchmark", name.isin(*BENCHMARKS)), ("review", name.isin(*REVIEWS)))
     return F.coalesce(*[F.when(test, kind) for kind, test in kinds], F.when(url.isNotNull(), "web"))
 
 

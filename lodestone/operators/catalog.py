@@ -26,16 +26,14 @@ def subtree(tree: DataFrame, root_id: int, depth: int = 16) -> DataFrame:
 
 
 def ancestors(tree: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, ancestor_id): each category with itself and all above it. The tree is joined with itself level by level; a level without rows ends it."""
-    links = tree.select("id", "parent_id")
-    level, out = links.select("id", F.col("id").alias("ancestor_id")), []
-    for _ in range(depth):
-        out.append(level)
-        above = links.select(F.col("id").alias("_at"), F.col("parent_id").alias("_up"))
-        level = level.join(above, F.col("ancestor_id") == F.col("_at")).where("_up is not null").select("id", F.col("_up").alias("ancestor_id"))
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, out).distinct()
+    """(id, ancestor_id): each category with itself and all above it. Cycles end at ``depth``."""
+    climb = """
+        WITH RECURSIVE up(id, ancestor_id, level) AS (
+            SELECT id, id, 0 FROM {tree}
+            UNION ALL
+            SELECT up.id, t.parent_id, up.level + 1 FROM up JOIN {tree} t ON t.id = up.ancestor_id WHERE t.parent_id IS NOT NULL AND up.level + 1 < {depth})
+        SELECT DISTINCT id, ancestor_id FROM up"""
+    return tree.sparkSession.sql(climb, tree=tree.select("id", "parent_id"), depth=depth)
 
 
 def category_named(tree: DataFrame, term: str) -> DataFrame:

@@ -69,16 +69,34 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _letters(name: str) -> Column:
+    """How often each of the letters a-z and digits stands in a name."""
+    return F.array(*[F.length(name) - F.length(F.replace(F.col(name), F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
+
+
 def candidates(offers: DataFrame, products: DataFrame, *, least: float = MEDIUM, top: int = 5) -> DataFrame:
-    """The most similar names within the offer's brand. Each pair of different names is compared once, however many rows bear them."""
+    """The most similar names within the offer's brand.
+
+    Each pair of different names is compared once, however many rows bear them, and only if their lengths and letters allow the least score:
+    matched characters are at most the shorter name, and at most the letters in common with all other characters. Of a
+    product name only the ``top`` smallest ids can be in a list.
+    """
     left = offers.select("offer_id", F.lower("brand").alias("b"), F.lower("name").alias("offer_name"))
     right = products.select("product_id", F.lower("brand").alias("b"), F.lower("name").alias("product_name"))
-    names = left.select("b", "offer_name").distinct().join(right.select("b", "product_name").distinct(), "b")
-    close = names.withColumn("score", name_ratio("offer_name", "product_name")).where(F.col("score") >= least)
-    met = left.join(close, ["b", "offer_name"]).join(right, ["b", "product_name"])
-    order = Window.partitionBy("offer_id").orderBy(F.desc("score"), "product_id")
+    first = Window.partitionBy("b", "product_name").orderBy("product_id")
+    few = right.withColumn("n", F.row_number().over(first)).where(F.col("n") <= top).drop("n")
+    counted = lambda df, name, as_: df.select("b", name).distinct().select("b", name, F.length(name).alias(f"{as_}_n"), _letters(name).alias(f"{as_}_c"))
+    pairs = counted(left, "offer_name", "l").join(counted(right, "product_name", "r"), "b")
+    total = lambda counts: F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    others = F.least(F.col("l_n") - total(F.col("l_c")), F.col("r_n") - total(F.col("r_c")))
+    common = total(F.zip_with("l_c", "r_c", lambda x, y: F.least(x, y))) + others
+    both = F.col("l_n") + F.col("r_n")
+    possible = pairs.where(2 * F.least("l_n", "r_n") >= least * both).where(2 * common >= least * both).select("b", "offer_name", "product_name")
+    close = possible.withColumn("score", name_ratio("offer_name", "product_name")).where(F.col("score") >= least)
+    order = Window.partitionBy("b", "offer_name").orderBy(F.desc("score"), "product_id")
+    lists = close.join(few, ["b", "product_name"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     level = F.when(F.col("score") >= HIGH, "fuzzy_high").otherwise("fuzzy_medium")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("offer_id", "product_id", F.round("score", 6).alias("score"), level.alias("level"), "rank")
+    return left.join(lists, ["b", "offer_name"]).select("offer_id", "product_id", F.round("score", 6).alias("score"), level.alias("level"), "rank")
 
 
 def confidence_policy(answers: DataFrame) -> DataFrame:

@@ -70,9 +70,16 @@ def trends(observations: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def alerts(targets: DataFrame, observations: DataFrame) -> DataFrame:
-    """When each alert (alert_id, product_id, target) first fires; null if it never does."""
-    hits = targets.join(observations.where("available").select("product_id", "price", "observed_at"), "product_id").where("price <= target")
-    first = hits.groupBy("alert_id").agg(F.min("observed_at").alias("fired_at"))
+    """When each alert (alert_id, product_id, target) first fires; null if it never does.
+
+    Observations shrink to the first moment of each price, and of these to the steps down in price at which no lower price
+    was seen earlier: nothing else can be the first to reach a target.
+    """
+    firsts = observations.where("available").groupBy(F.col("product_id").alias("_p"), "price").agg(F.min("observed_at").alias("at"))
+    below = Window.partitionBy("_p").orderBy("price").rowsBetween(Window.unboundedPreceding, -1)
+    steps = firsts.withColumn("_earlier", F.min("at").over(below)).where("_earlier is null or at < _earlier")
+    hits = targets.join(steps, (F.col("product_id") == F.col("_p")) & (F.col("price") <= F.col("target")))
+    first = hits.groupBy("alert_id").agg(F.min("at").alias("fired_at"))
     return targets.join(first, "alert_id", "left")
 
 

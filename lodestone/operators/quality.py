@@ -64,38 +64,40 @@ def upsert_fold(incoming: DataFrame) -> DataFrame:
 
     created; source_updated if the value is the same and its source is as good or it is verified; conflict_detected if a verified value,
     or one of a better source, stands; else value_changed. Returns one row per change with the state after it.
-    A key's values are its own history and are folded in order; keys are dealt to tasks.
+    The values of a task's keys pass by in order, one state at a time, so that a key with very many values needs no more memory than others.
     """
     schema = "product_id long, definition_id string, seq long, action string, value string, source string, verification string, conflict string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            rank = SOURCE_PRIORITY.get(r.source, 10)
-            if state is None:
-                action = "created"
-                state = {"value": r.value, "source": r.source, "verification": "verified" if r.verified else "auto", "conflict": "resolved" if r.verified else "none"}
-            elif r.value == state["value"]:
-                if r.source == state["source"] and bool(r.verified) == (state["verification"] == "verified"):
-                    continue
-                if rank < SOURCE_PRIORITY.get(state["source"], 10) and not r.verified:
-                    continue
-                action = "source_updated"
-                state |= {"source": r.source, "verification": "verified" if r.verified else "auto"}
-                if r.verified:
-                    state["conflict"] = "resolved"
-                elif state["conflict"] != "pending":
-                    state["conflict"] = "none"
-            elif (state["verification"] == "verified" and r.source != "admin") or rank < SOURCE_PRIORITY.get(state["source"], 10):
-                action = "conflict_detected"
-                state["conflict"] = "pending"
-            else:
-                action = "value_changed"
-                state = {"value": r.value, "source": r.source, "verification": "verified" if r.verified else "review", "conflict": "pending"}
-            out.append((r.product_id, r.definition_id, r.seq, action, *state.values()))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return incoming.groupBy("product_id", "definition_id").applyInPandas(fold, schema)
+    trust = lambda source: SOURCE_PRIORITY.get(source, 10)
+
+    def step(state: dict | None, value, source, verified: bool) -> tuple[str | None, dict]:
+        """What a value does to a key's state."""
+        if state is None:
+            return "created", {"value": value, "source": source, "verification": "verified" if verified else "auto", "conflict": "resolved" if verified else "none"}
+        settled = state["verification"] == "verified"
+        if value == state["value"]:
+            if (source == state["source"] and verified == settled) or (trust(source) < trust(state["source"]) and not verified):
+                return None, state
+            conflict = "resolved" if verified else "pending" if state["conflict"] == "pending" else "none"
+            return "source_updated", state | {"source": source, "verification": "verified" if verified else "auto", "conflict": conflict}
+        if (settled and source != "admin") or trust(source) < trust(state["source"]):
+            return "conflict_detected", state | {"conflict": "pending"}
+        return "value_changed", {"value": value, "source": source, "verification": "verified" if verified else "review", "conflict": "pending"}
+
+    def fold(batches):
+        key, state = None, None
+        for pdf in batches:
+            out = []
+            for product, definition, seq, value, source, verified in zip(*[pdf[c] for c in ("product_id", "definition_id", "seq", "value", "source", "verified")], strict=True):
+                if (product, definition) != key:
+                    key, state = (product, definition), None
+                action, state = step(state, value, source, bool(verified))
+                if action:
+                    out.append((product, definition, seq, action, *state.values()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    keys = ("product_id", "definition_id")
+    ordered = incoming.select(*keys, "seq", "value", "source", "verified").repartition(*keys).sortWithinPartitions(*keys, "seq", "value", "source", "verified")
+    return ordered.mapInPandas(fold, schema)
 
 
 def review_queue(states: DataFrame, top: int) -> DataFrame:

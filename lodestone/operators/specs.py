@@ -12,7 +12,10 @@ UNITS = {"GB": (("gb|gbyte|gigabytes?", 1), ("tb|terabytes?", 1024)), "MHz": (("
 MEMORY = ("LPDDR5X", "LPDDR5", "DDR5", "LPDDR4X", "LPDDR4", "DDR4", "DDR3")
 RESOLUTIONS = (("fhd", "1920 × 1080"), ("full hd", "1920 × 1080"), ("hd", "1366 × 768"), ("wuxga", "1920 × 1200"))
 HINT_UNITS = {"tb": ("gb", 1024), "pulgadas": ('"', 1), "inch": ('"', 1), "'": ('"', 1)}
-VARIANT_MARKERS = "pro promax plus mini max ultra super fe lite se ti evo xt b c e s slim elite gaming oc"
+VARIANT_MARKERS = (
+    "pro", "promax", "plus", "mini", "max", "ultra", "super", "fe", "lite", "se", "ti", "evo", "xt", "b", "c", "e", "s", "slim", "elite", "gaming",
+    "oc",
+)
 
 
 def plain(col: Column) -> Column:
@@ -130,7 +133,7 @@ def same_variant(target: Column, text: Column) -> Column:
     """All words of the target stand in the text, and no word there that marks another variant."""
     words = lambda c: F.array_distinct(F.filter(F.split(plain(c), " "), lambda w: w != ""))
     extra = F.array_except(words(text), words(target))
-    markers = F.array(*map(F.lit, VARIANT_MARKERS.split()))
+    markers = F.array(*map(F.lit, VARIANT_MARKERS))
     return (F.size(words(target)) > 0) & (F.size(F.array_except(words(target), words(text))) == 0) & ~F.arrays_overlap(extra, markers)
 
 

@@ -12,7 +12,7 @@ from lodestone.operators import ingest
 from lodestone.operators import retrieval as r
 from lodestone.registry import query
 
-_TRACK = "'" + "', '".join(u.TRACKING.split()) + "'"
+_TRACK = "'" + "', '".join(u.TRACKING) + "'"
 _NORMAL = (
     "n AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages), m AS (SELECT page_id, url, lower(regexp_extract(bare, '^[A-Za-z]+://([^/:?#]*)', 1)) AS host, regexp_extract(bare, '^[A-Za-z]+://[^/?]*([^?]*)', 1) AS path, list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND NOT list_contains([" + _TRACK + "], lower(regexp_extract(x, '^([^=]*)', 1)))) AS kept FROM n), "
     "normal AS (SELECT page_id, url, host, 'https://' || host || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS normal FROM m)"
@@ -29,7 +29,7 @@ def url_dedup(spark, sf_dir):
     return ingest.first_by_url(b.table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-_IN = lambda hosts: "bare IN ('" + "', '".join(hosts.split()) + "')"
+_IN = lambda hosts: "bare IN ('" + "', '".join(hosts) + "')"
 
 
 @query(f"WITH {_NORMAL}, b AS (SELECT page_id, host, regexp_replace(host, '^www\\.', '') AS bare FROM normal), k AS (SELECT page_id, host, CASE WHEN {_IN(u.MANUFACTURERS)} OR ends_with(bare, '.asus.com') THEN 'manufacturer' WHEN {_IN(u.BENCHMARKS)} THEN 'benchmark' WHEN {_IN(u.REVIEWS)} THEN 'review' ELSE 'web' END AS source_type FROM b) SELECT page_id, host, source_type, CASE source_type WHEN 'manufacturer' THEN 50 WHEN 'benchmark' THEN 40 WHEN 'review' THEN 30 ELSE 20 END AS priority, host <> '' AND NOT regexp_matches(host, '^(localhost|127\\.|10\\.|192\\.168\\.)') AS safe FROM k")

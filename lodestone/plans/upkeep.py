@@ -46,7 +46,7 @@ def alias_join(spark, sf_dir):
     return specs.by_alias(b.products(spark, sf_dir), aliases)
 
 
-_TOPIC = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{m.replace('_', ' ')}')" for m in marks.split()) + f" THEN '{name}' END" for name, marks, _, _ in research.TOPICS) + "], lambda x: x IS NOT NULL)"
+_TOPIC = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{m}')" for m in marks) + f" THEN '{name}' END" for name, marks, _, _ in research.TOPICS) + "], lambda x: x IS NOT NULL)"
 
 
 @query(f"SELECT conv_id, turn, {_TOPIC} AS topics FROM conversations")
@@ -85,7 +85,7 @@ def memory_recall(spark, sf_dir):
 @query()
 def memory_near_duplicates(spark, sf_dir):
     """Vectors as memories of their label; an ordered fold beyond SQL, held against a brute-force one in the tests."""
-    rows = b.table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("user_id"), (F.col("vec_id") % 2).cast("string").alias("kind"), F.col("vec_id").alias("seq"), F.concat(F.lit("Memory "), F.col("vec_id") % 50).alias("content"), F.col("embedding").alias("vector"), (1 + F.col("vec_id") % 5).cast("int").alias("importance"))
+    rows = b.table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("user_id"), (F.col("vec_id") % 2).cast("string").alias("kind"), F.col("vec_id").alias("seq"), F.concat(F.lit("Memory "), "vec_id").alias("content"), F.col("embedding").alias("vector"), (1 + F.col("vec_id") % 5).cast("int").alias("importance"))
     return memory.added(rows)
 
 

@@ -111,7 +111,8 @@ def test_dialog(spark):
     refs = lambda x: one(spark, lambda c: dialog.references(c, 3), x)
     assert [refs(x) for x in ("el segundo", "los dos", "todos", "ese tiene", "la quinta", None)] == [[1], [0, 1], [0, 1, 2], [0], [], []]
     assert [one(spark, dialog.budget, x) for x in ("tengo 5 y hasta 300 lucas", "2 palos, maximo 1,5 millones", "nada", None)] == [300000, 1500000, None, None]
-    assert one(spark, dialog.preferences, "Prefiero marcas nuevas. ¿Odio? Me encanta el rojo; ok") == ["Prefiero marcas nuevas", "Me encanta el rojo"] or one(spark, dialog.preferences, "Prefiero marcas nuevas.\nMe encanta el rojo") == ["Prefiero marcas nuevas", "Me encanta el rojo"]
+    assert one(spark, dialog.preferences, "Prefiero marcas nuevas. ¿Odio? Me encanta el rojo; ok") == ["Prefiero marcas nuevas"]
+    assert one(spark, dialog.preferences, "Prefiero marcas nuevas.\nMi presupuesto típico es bajo; prefierolo. Compro solo en tiendas!") == ["Prefiero marcas nuevas", "Mi presupuesto típico es bajo", "Compro solo en tiendas"]
     turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", str(i)) for i in range(8)], "conv_id long, turn long, role string, text string")
     assert sorted(r["turn"] for r in dialog.window(turns, 3).collect()) == [4, 5, 6, 7]
     assert [r["query"] for r in dialog.rewritten(turns).orderBy("turn").collect()] == ["0", "0 2", "2 4", "4 6"]
