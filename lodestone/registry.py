@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lodestone.plans import catalog, dialog, documents, identity, prices, quality, streams, upkeep  # noqa: E402, F401
+from lodestone.plans import catalog, dialog, documents, hardware, identity, prices, quality, streams, upkeep  # noqa: E402, F401
