@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How far a source is trusted.
@@ -11,13 +13,14 @@ SOURCE_PRIORITY = {"admin": 100, "manufacturer": 80, "external": 60, "store": 50
 
 
 def completeness(products: DataFrame, spec_values: DataFrame, definitions: DataFrame) -> DataFrame:
-    """A score up to 100: 15 for the identity and 85 for the share of the definitions that have a value, rounded half to even."""
+    """A score up to 100: 15 for the identity (5 for a name, 4 for a brand, 3 for a model, 3 for any of mpn, gtin and sku) and 85 for the share of the definitions that have a value, rounded half to even. Columns that the products lack count as blank."""
     wanted = definitions.select("key").distinct()
     relevant = wanted.agg(F.count(F.lit(1)).alias("n")).scalar()
     has = spec_values.where("value_number is not null or trim(value_text) <> ''").join(F.broadcast(wanted), "key")  # a fixed list of definitions
     per = has.groupBy(F.col("product_id").alias("_p")).agg(F.count_distinct("key").alias("present"))
     met = products.join(per, F.col("id") == F.col("_p"), "left").withColumn("present", F.coalesce("present", F.lit(0)))
-    identity = F.when(F.length("name") > 0, 5).otherwise(0) + F.when(F.length("brand") > 0, 4).otherwise(0)
+    stated = lambda *names: reduce(Column.__or__, [F.coalesce(F.length(n) > 0, F.lit(False)) for n in names if n in products.columns], F.lit(False))
+    identity = sum(F.when(stated(*names), points).otherwise(0) for points, names in ((5, ("name",)), (4, ("brand",)), (3, ("model",)), (3, ("mpn", "gtin", "sku"))))
     spec = F.bround(F.col("present") / relevant * 85).cast("int")
     return met.select("id", "name", "present", F.least(F.lit(100), identity + spec).alias("score"))
 

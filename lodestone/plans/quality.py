@@ -11,11 +11,14 @@ from lodestone.operators import evidence as e
 from lodestone.operators import quality as q
 from lodestone.registry import query
 
-_SCORES = with_views("products", "spec_values", "definitions") + ", per AS (SELECT product_id, count(DISTINCT s.key) AS present FROM spec_values s JOIN definitions d ON d.key = s.key WHERE value_number IS NOT NULL OR trim(value_text) <> '' GROUP BY 1), sc AS (SELECT id, name, coalesce(present, 0) AS present, least(100, 9 + round_even(coalesce(present, 0) / 3::DOUBLE * 85, 0))::INTEGER AS score FROM products LEFT JOIN per ON product_id = id)"
+_SCORES = with_views("products", "spec_values", "definitions") + ", per AS (SELECT product_id, count(DISTINCT s.key) AS present FROM spec_values s JOIN definitions d ON d.key = s.key WHERE value_number IS NOT NULL OR trim(value_text) <> '' GROUP BY 1), sc AS (SELECT id, name, coalesce(present, 0) AS present, least(100, CASE WHEN length(name) > 0 THEN 5 ELSE 0 END + CASE WHEN length(brand) > 0 THEN 4 ELSE 0 END + CASE WHEN id % 4 > 0 THEN 3 ELSE 0 END + CASE WHEN id % 3 = 0 OR id % 5 = 0 THEN 3 ELSE 0 END + round_even(coalesce(present, 0) / 3::DOUBLE * 85, 0))::INTEGER AS score FROM products LEFT JOIN per ON product_id = id)"
 
 
 def _scores(spark, sf_dir):
-    return q.completeness(b.products(spark, sf_dir), b.spec_values(spark, sf_dir), b.definitions(spark))
+    """Three of four products have a model, every third a GTIN and every fifth a part number."""
+    key = F.col("id").cast("string")
+    products = b.products(spark, sf_dir).withColumns({"model": F.when(F.col("id") % 4 > 0, key), "gtin": F.when(F.col("id") % 3 == 0, key), "mpn": F.when(F.col("id") % 5 == 0, key)})
+    return q.completeness(products, b.spec_values(spark, sf_dir), b.definitions(spark))
 
 
 @query(_SCORES + " SELECT * FROM sc")
