@@ -262,14 +262,19 @@ def _across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             i = top[i]
         return i
 
-    others = [(pid, r, x.view(_U)) for pid, r, x in zip(right["_pid"], right["_root"], right["_shingles"], strict=True)]
-    for pid, r, x in zip(left["pid"], left["root"], left["shingles"], strict=True):
-        own = x.view(_U)
-        for other, s, y in others:
-            small, large = sorted((len(own), len(y)))
-            if small >= SIMILAR * large and (a := root(r)) != (b := root(s)) and similarity(own, y) >= SIMILAR:
-                top[a] = b
-                out.append((pid, other))
+    others, roots = right["_pid"].to_numpy(np.int64), right["_root"].to_numpy(np.int64)
+    sizes = right["_shingles"].map(len).to_numpy()
+    values = np.concatenate(right["_shingles"].to_list()) if len(right) else np.array([], np.int64)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    for pid, r, own in zip(left["pid"], left["root"], left["shingles"], strict=True):
+        first, n = (lo := np.searchsorted(values, own)), np.searchsorted(values, own, side="right") - lo
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sizes))  # shingles shared with each of the others
+        for j in np.flatnonzero(both >= SIMILAR * (len(own) + sizes - both)):
+            if (x := root(r)) != (y := root(int(roots[j]))):
+                top[x] = y
+                out.append((pid, int(others[j])))
     return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
@@ -373,7 +378,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     all_ = written(_passages(docs), "passages")
     who = F.struct("doc", "th")
     often = all_.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = written(all_.join(often, "hash"), "passages-met")
+    met = written(all_.join(apart(often), "hash"), "passages-met")
     shared = met.groupBy("hash").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("not (first <=> last)").drop("last")
     again = met.join(apart(shared), "hash").where(~who.eqNullSafe(F.col("first")))
     found = written(again.select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc").alias("of")), "passages-repeated")
