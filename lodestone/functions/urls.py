@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,7 +66,10 @@ def links(html: Column) -> Column:
 
 
 def sitemap_locations(xml: Column) -> Column:
-    return F.regexp_extract_all(xml, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
+    """The addresses in a sitemap, with the five entities of XML as the characters that they stand for."""
+    found = F.regexp_extract_all(xml, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
+    entities = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+    return F.transform(found, lambda x: reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), entities, x))
 
 
 def json_ld_blocks(html: Column) -> Column:

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lodestone.plans import browse, catalog, dialog, documents, hardware, identity, market, prices, quality, streams, upkeep  # noqa: E402, F401
+from lodestone.plans import browse, catalog, dialog, documents, hardware, identity, knowledge, market, prices, quality, streams, upkeep  # noqa: E402, F401
