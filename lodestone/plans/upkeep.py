@@ -54,7 +54,13 @@ def message_topics(spark, sf_dir):
     return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", research.topics(F.col("text")).alias("topics"))
 
 
-@query()
+_PLANS = ", ".join(f"({i + 1}, '{name}', '{suffix}', '{kind}', [" + ", ".join(f"'{w}'" for w in marks) + "])" for i, (name, marks, suffix, kind) in enumerate(research.TOPICS))
+
+
+@query(
+    f"WITH t(priority, topic, suffix, kind, marks) AS (VALUES {_PLANS}), m AS (SELECT p_partkey AS target_id, p_brand || ' ' || p_name AS label, 'rendimiento y precio ' || CASE WHEN p_type = 'PROMO' THEN 'gaming' ELSE 'consumo' END AS message FROM part), "
+    "h AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY priority) AS n FROM m JOIN t ON len(list_filter(marks, lambda x: contains(message, x))) > 0) SELECT target_id, topic, label || ' ' || suffix AS query, kind AS expected, priority FROM h WHERE n <= 3"
+)
 def planned_queries(spark, sf_dir):
     """A query for each part and topic of a message made from its type; the tests hold scores and plans against cases."""
     message = F.concat(F.lit("rendimiento y precio "), F.when(F.col("p_type") == "PROMO", "gaming").otherwise("consumo"))
