@@ -26,9 +26,24 @@ def bucket(token: Column) -> Column:
     return F.struct(index.alias("index"), sign.alias("sign"))
 
 
-def hash_rows(words: DataFrame, key: str) -> DataFrame:
-    """(key, token) rows, tokens of a key different -> the normal vector of each key as rows (key, bucket, value). Grouped sums: no text's words are folded in one row."""
+def hash_sums(words: DataFrame, key: str) -> DataFrame:
+    """(key, token) rows, tokens of a key different -> the sums of signs as rows (key, bucket, v). Grouped sums: no text's words are folded in one row."""
     marks = words.select(key, bucket(F.col("token")).alias("m"))
-    sums = marks.groupBy(key, F.col("m.index").alias("bucket")).agg(F.sum("m.sign").cast("double").alias("v"))
+    return marks.groupBy(key, F.col("m.index").alias("bucket")).agg(F.sum("m.sign").cast("double").alias("v"))
+
+
+def hash_rows(words: DataFrame, key: str) -> DataFrame:
+    """(key, token) rows, tokens of a key different -> the normal vector of each key as rows (key, bucket, value)."""
+    sums = hash_sums(words, key)
     norms = sums.groupBy(F.col(key).alias("_key")).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return sums.join(norms, F.col(key) == F.col("_key")).where("v <> 0").select(key, "bucket", (F.col("v") / F.col("norm")).alias("value"))
+
+
+def hash_vectors(words: DataFrame, key: str) -> DataFrame:
+    """The same as arrays: (key, embedding), not made normal, so that every component is a whole number and cosines do not hang on an order of sums.
+
+    A key without tokens has no vector; a group never has more than DIMENSIONS rows.
+    """
+    per = hash_sums(words, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+    return per.select(key, F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))

@@ -124,7 +124,11 @@ def ranking_measures(hits: DataFrame, k: int) -> DataFrame:
         F.min(F.when(rel, F.col("rank"))).alias("_first"), F.sum(F.when(rel, F.col("so_far") / F.col("rank"))).alias("_sum"),
     )
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return agg.select("query_id", F.round(safe(F.col("_hits"), F.col("_top")), 4).alias("precision_at_k"), F.round(safe(F.col("_hits"), F.col("_all")), 4).alias("recall_at_k"), F.round(F.coalesce(1.0 / F.col("_first"), F.lit(0.0)), 4).alias("mrr"), F.round(F.coalesce(F.col("_sum") / F.col("_all"), F.lit(0.0)), 4).alias("map"))
+    if "relevant_total" in hits.columns:
+        total = hits.groupBy("query_id").agg(F.max("relevant_total").alias("_total"))
+        agg = agg.join(total, "query_id").withColumn("true_recall", F.round(safe(F.col("_all"), F.col("_total")), 4))
+    rest = [c for c in agg.columns if c == "true_recall"]
+    return agg.select("query_id", F.round(safe(F.col("_hits"), F.col("_top")), 4).alias("precision_at_k"), F.round(safe(F.col("_hits"), F.col("_all")), 4).alias("recall_at_k"), F.round(F.coalesce(1.0 / F.col("_first"), F.lit(0.0)), 4).alias("mrr"), F.round(F.coalesce(F.col("_sum") / F.col("_all"), F.lit(0.0)), 4).alias("map"), *rest)
 
 
 def memory_search(memories: DataFrame, words: list[str], as_of: Column, k: int) -> DataFrame:
@@ -139,21 +143,30 @@ def memory_search(memories: DataFrame, words: list[str], as_of: Column, k: int)
 
 
 def nearest(vectors: DataFrame, asked: Column, k: int, least: float, *, block: int = 8192, queries: int = 1024) -> DataFrame:
-    """The k vectors (vec_id, embedding) of the greatest cosine, ``least`` or more, for each row that the condition ``asked`` holds for, the row itself too: query_id, rank, vec_id, score.
+    """The k vectors (vec_id, embedding) of the greatest cosine, ``least`` or more, for each row that the condition ``asked`` holds for, the row itself too: query_id, rank, vec_id, score."""
+    return nearest_to(vectors, vectors.where(asked).select(F.col("vec_id").alias("query_id"), "embedding"), k, least, block=block, queries=queries)
+
+
+def nearest_to(vectors: DataFrame, asked: DataFrame, k: int, least: float, *, many: int | None = None, block: int = 8192, queries: int = 1024) -> DataFrame:
+    """The k vectors (vec_id, embedding) of the greatest cosine, ``least`` or more, for each row of asked (query_id, embedding): query_id, rank, vec_id, score.
 
     Every block of queries meets every block of vectors and keeps its k best; ties go to the smaller id. Null vectors, those with null or
-    NaN components and zero vectors take no part; vectors of other lengths do not meet.
+    NaN components and zero vectors take no part; vectors of other lengths do not meet. ``many`` is how many vectors there are at most,
+    where that is known without counting them.
     """
     import numpy as np
 
-    good = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v))
-    rows = vectors.where(good).select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.size("embedding").alias("dims"), asked.alias("asked"))
-    n, m = rows.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    def sound(df: DataFrame, name: str) -> DataFrame:
+        good = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v))
+        return df.where(good).select(name, F.col("embedding").cast("array<double>").alias("vec"), F.size("embedding").alias("dims"))
+
+    rows, wanted = sound(vectors, "vec_id"), sound(asked, "query_id")
+    n, m = rows.count() if many is None else many, wanted.count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // queries))
-    cell = lambda many: F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int")
-    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    left = rows.select("dims", "vec_id", "vec", cell(blocks).alias("i"), every(query_blocks).alias("j"))
-    right = rows.where("asked").select(F.col("dims").alias("_dims"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), cell(query_blocks).alias("_j"), every(blocks).alias("_i"))
+    cell = lambda name, among: F.pmod(F.xxhash64(name), F.lit(among)).cast("int")
+    every = lambda among: F.explode(F.sequence(F.lit(0), F.lit(among - 1)))
+    left = rows.select("dims", "vec_id", "vec", cell("vec_id", blocks).alias("i"), every(query_blocks).alias("j"))
+    right = wanted.select(F.col("dims").alias("_dims"), "query_id", F.col("vec").alias("query"), cell("query_id", query_blocks).alias("_j"), every(blocks).alias("_i"))
 
     def best(some: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.float64)})]

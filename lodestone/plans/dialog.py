@@ -18,13 +18,17 @@ def intent_tags(spark, sf_dir):
     return b.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", d.intent(F.col("text")).alias("intent"))
 
 
-_REF = "(['y el segundo?', 'los dos', 'todos por favor', 'ese sirve', 'la quinta', 'hola'])[1 + turn % 6]"
+_CALLS = ("y el segundo?", "los dos", "todos por favor", "ese sirve", "la quinta", "hola", "la tercera o la cuarta", "ambas")
+_CALL = "lower(trim((" + str(list(_CALLS)) + ")[1 + length(text) % 8] || ' ' || text))"
+_ORDINAL = " ".join(f"WHEN regexp_matches(s, '\\b{word}\\b') THEN {[i] if i < 3 else []}" for word, i in d.ORDINALS)
 
 
-@query(f"SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN [1] WHEN 1 THEN [0, 1] WHEN 2 THEN [0, 1, 2] WHEN 3 THEN [0] ELSE [] END::INTEGER[] AS refs FROM conversations")
+@query(f"SELECT conv_id, turn, CASE WHEN regexp_matches(s, 'las dos|los dos|ambas|ambos|esas dos|eses dos|ese par') THEN [0, 1] WHEN regexp_matches(s, 'todos|todas') THEN [0, 1, 2] {_ORDINAL} WHEN regexp_matches(s, '^(ese|esa|aquel)') THEN [0] ELSE [] END::INTEGER[] AS refs FROM (SELECT *, {_CALL} AS s FROM conversations WHERE text IS NOT NULL)")
 def reference_indices(spark, sf_dir):
-    said = F.element_at(F.array(*map(F.lit, ("y el segundo?", "los dos", "todos por favor", "ese sirve", "la quinta", "hola"))), (F.col("turn") % 6 + 1).cast("int"))
-    return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", d.references(said, 3).alias("refs"))
+    """Turns that begin with a phrase chosen by their length, as the invented texts refer to nothing."""
+    called = F.element_at(F.array(*map(F.lit, _CALLS)), (F.length("text") % len(_CALLS) + 1).cast("int"))
+    turns = b.table(spark, sf_dir, "conversations").where("text is not null")
+    return turns.select("conv_id", "turn", d.references(F.concat_ws(" ", called, "text"), 3).alias("refs"))
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'assistant' AND length(text) % 2 = 0 THEN length(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::INTEGER AS active FROM conversations")
@@ -45,15 +49,21 @@ def followup_rewrite(spark, sf_dir):
     return d.rewritten(b.table(spark, sf_dir, "conversations")).select("conv_id", "turn", "query")
 
 
-_PRICE = "(['hasta 500 lucas', 'unos 300 mil', '$450.000', 'vale 1.200 pesos', 'quiero 12', ''])[1 + turn % 6]"
-
-
-@query("SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 500000 WHEN 1 THEN 300000 WHEN 2 THEN 450000 WHEN 3 THEN 1200 END::BIGINT AS max_price FROM conversations")
+@query(
+    "WITH p AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS x FROM orders) SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN x * 1000 WHEN 1 THEN x // 10 * 1000 WHEN 2 THEN CASE WHEN x >= 1000 THEN x END WHEN 3 THEN x ELSE CASE WHEN x % 2000 >= 1000 THEN x % 2000 END END AS max_price FROM p"
+)
 def peso_amounts(spark, sf_dir):
+    """Sums of orders as people write them: in lucas, in thousands, with points, as pesos, as a bare number."""
     from lodestone.functions.text import peso_amount
 
-    said = F.element_at(F.array(*map(F.lit, ("hasta 500 lucas", "unos 300 mil", "$450.000", "vale 1.200 pesos", "quiero 12", ""))), (F.col("turn") % 6 + 1).cast("int"))
-    return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", peso_amount(said).alias("max_price"))
+    x, form = F.floor("o_totalprice"), F.col("o_orderkey") % 5
+    text = lambda c: c.cast("string")
+    said = (
+        F.when(form == 0, F.concat(F.lit("hasta "), text(x), F.lit(" lucas"))).when(form == 1, F.concat(F.lit("unos "), text(F.floor(x / 10)), F.lit(" mil")))
+        .when(form == 2, F.concat(F.lit("$"), F.translate(F.format_number(x, 0), ",", "."))).when(form == 3, F.concat(F.lit("vale "), text(x), F.lit(" pesos")))
+        .otherwise(F.concat(F.lit("quiero "), text(x % 2000)))
+    )
+    return b.table(spark, sf_dir, "orders").select("o_orderkey", peso_amount(said).alias("max_price"))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import bindings as b
 from lodestone.functions import text as t
 from lodestone.functions import urls as u
-from lodestone.functions.vectors import hash_rows
+from lodestone.functions.vectors import hash_rows, hash_vectors
 from lodestone.operators import ingest
 from lodestone.operators import retrieval as r
 from lodestone.registry import query
@@ -112,37 +112,66 @@ def vector_topk_all(spark, sf_dir):
 
 
 _VOCAB = ("and", "the", "thought", "tion")
+_DOC_TOKENS = "SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS tok FROM documents"
+#: Sums of signs by bucket and their norms, for tokens {0}t.
+_SUMS = (
+    "{0}k AS (SELECT id, sha256(tok) AS h FROM {0}t), "
+    "{0}m AS (SELECT id, ('0x' || substr(h, 15, 2))::INTEGER AS i, ('0x' || substr(h, 14, 1))::INTEGER % 2 * 2 - 1 AS s FROM {0}k), "
+    "{0}b AS (SELECT id, i, sum(s)::DOUBLE AS v FROM {0}m GROUP BY ALL), {0}n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM {0}b GROUP BY 1)"
+)
+#: Cosines of the vectors of d and q.
+_MEET = (
+    "c AS (SELECT qb.id AS query_id, db.id AS doc_id, sum(db.v * qb.v) AS dot FROM db JOIN qb ON qb.i = db.i GROUP BY ALL), "
+    "s AS (SELECT query_id, doc_id, dot / (dn.norm * qn.norm) AS score FROM c JOIN dn ON dn.id = doc_id JOIN qn ON qn.id = query_id WHERE dn.norm > 0 AND qn.norm > 0)"
+)
+
+
+def _hashed(spark, sf_dir, name, key):
+    """The hash vectors of a table's texts."""
+    return hash_vectors(b.table(spark, sf_dir, name).select(key, F.explode(t.tokens(F.col("text"))).alias("token")), key)
 
 
 @query(
-    "WITH s AS (SELECT doc_id, text, source, round((" + " + ".join(f"contains(lower(text), '{w}')::INTEGER" for w in _VOCAB) + " + 0.0::DOUBLE + 0.0::DOUBLE) / 4.0::DOUBLE, 4) AS k FROM documents), kw AS (SELECT doc_id, k FROM s WHERE k > 0 ORDER BY k DESC, doc_id LIMIT 60), "
-    "lenv AS (SELECT doc_id, round(least(1.0::DOUBLE, length(text) / 4096.0::DOUBLE), 4) AS v FROM documents), vec AS (SELECT doc_id, v FROM lenv WHERE v >= 0.05::DOUBLE ORDER BY v DESC, doc_id LIMIT 60), "
-    "m AS (SELECT coalesce(kw.doc_id, vec.doc_id) AS chunk_id, k AS keyword, v AS semantic FROM kw FULL JOIN vec ON kw.doc_id = vec.doc_id), f AS (SELECT m.*, CASE WHEN keyword IS NULL THEN 'vector' WHEN semantic IS NULL THEN 'keyword' ELSE 'hybrid' END AS method, "
-    "round(coalesce(semantic, 0) * (0.35::DOUBLE / 1.0::DOUBLE) + coalesce(keyword, 0) * (0.2::DOUBLE / 1.0::DOUBLE) + CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * (0.2::DOUBLE / 1.0::DOUBLE) + 0.5::DOUBLE * (0.15::DOUBLE / 1.0::DOUBLE) + 0.5::DOUBLE * (0.1::DOUBLE / 1.0::DOUBLE), 4) AS score FROM m JOIN documents d ON d.doc_id = m.chunk_id) SELECT chunk_id, keyword, semantic, method, score FROM f ORDER BY score DESC, chunk_id LIMIT 30"
+    f"WITH dt AS ({_DOC_TOKENS}), qt AS (SELECT 0 AS id, unnest({list(_VOCAB)}) AS tok), " + _SUMS.format("d") + ", " + _SUMS.format("q") + ", " + _MEET + ", "
+    "w AS (SELECT doc_id, round((" + " + ".join(f"contains(lower(text), '{w}')::INTEGER" for w in _VOCAB) + " + 0.0::DOUBLE + 0.0::DOUBLE) / 4.0::DOUBLE, 4) AS k FROM documents), "
+    "kw AS (SELECT doc_id, k FROM w WHERE k > 0 ORDER BY k DESC, doc_id LIMIT 60), vec AS (SELECT doc_id, round(score, 4) AS v FROM s WHERE score >= 0.05 ORDER BY score DESC, doc_id LIMIT 60), "
+    "m AS (SELECT coalesce(kw.doc_id, vec.doc_id) AS chunk_id, k AS keyword, v AS semantic FROM kw FULL JOIN vec ON kw.doc_id = vec.doc_id), "
+    "f AS (SELECT m.*, CASE WHEN keyword IS NULL THEN 'vector' WHEN semantic IS NULL THEN 'keyword' ELSE 'hybrid' END AS method, "
+    "round(coalesce(semantic, 0) * (0.35::DOUBLE / 1.0::DOUBLE) + coalesce(keyword, 0) * (0.2::DOUBLE / 1.0::DOUBLE) + CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * (0.2::DOUBLE / 1.0::DOUBLE) "
+    "+ 0.5::DOUBLE * (0.15::DOUBLE / 1.0::DOUBLE) + 0.5::DOUBLE * (0.1::DOUBLE / 1.0::DOUBLE), 4) AS score FROM m JOIN documents d ON d.doc_id = m.chunk_id) "
+    "SELECT chunk_id, keyword, semantic, method, score FROM f ORDER BY score DESC, chunk_id LIMIT 30"
 )
 def hybrid_rerank(spark, sf_dir):
-    """Two pools, by keywords and by a stand-in for a semantic score, merged and ranked by the weighted sum."""
+    """Two pools, by keywords and by the hash vectors of documents and query, merged and ranked by the weighted sum."""
     docs = b.table(spark, sf_dir, "documents")
     keyword = r.keyword_search(_as_chunks(spark, sf_dir).withColumns({"title": F.lit(""), "identity": F.lit("")}), " ".join(_VOCAB), 60)
-    likeness = F.round(F.least(F.lit(1.0), F.length("text") / F.lit(4096.0)), 4)
-    vector = docs.select(F.col("doc_id").alias("chunk_id"), likeness.alias("score")).where("score >= 0.05").orderBy(F.desc("score"), "chunk_id").limit(60)
+    asked = hash_vectors(spark.createDataFrame([(0, w) for w in _VOCAB], "query_id long, token string"), "query_id")
+    vectors = _hashed(spark, sf_dir, "documents", "doc_id").withColumnRenamed("doc_id", "vec_id")
+    vector = r.nearest_to(vectors, asked, 60, 0.05, many=docs.count()).select(F.col("vec_id").alias("chunk_id"), F.round("score", 4).alias("score"))
     both = r.merged(keyword, vector).join(docs.select("doc_id", "lang"), F.col("chunk_id") == F.col("doc_id"))
     score = r.fused_score(F.col("semantic"), F.col("keyword"), F.when(F.col("lang") == "en", 1.0).otherwise(0.0), F.lit(0.5), r.recency(F.lit(None).cast("double")))
     return both.withColumn("score", score).orderBy(F.desc("score"), "chunk_id").limit(30).select("chunk_id", "keyword", "semantic", "method", "score")
 
 
 @query(
-    "WITH h AS (SELECT label AS query_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank, embedding[2] > 0 AS relevant FROM embeddings), g AS (SELECT *, sum(relevant::INTEGER) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM h), "
-    "a AS (SELECT query_id, count(*) FILTER (WHERE rank <= 8) AS top, count(*) FILTER (WHERE relevant AND rank <= 8) AS hits, count(*) FILTER (WHERE relevant) AS al, min(rank) FILTER (WHERE relevant) AS fst, sum(so_far::DOUBLE / rank) FILTER (WHERE relevant) AS su FROM g GROUP BY 1) "
-    "SELECT query_id, round(CASE WHEN top > 0 THEN hits::DOUBLE / top ELSE 0 END, 4) AS precision_at_k, round(CASE WHEN al > 0 THEN hits::DOUBLE / al ELSE 0 END, 4) AS recall_at_k, round(coalesce(1.0::DOUBLE / fst, 0), 4) AS mrr, round(coalesce(su / al, 0), 4) AS map FROM a"
+    f"WITH q AS (SELECT vec_id AS query_id, label AS own, embedding FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT q.query_id, q.own, e.vec_id, e.label, {_COS} AS score FROM q, embeddings e WHERE e.vec_id <> q.query_id), "
+    "h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, label = own AS relevant FROM p WHERE score >= 0.05), t AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY 1), "
+    "g AS (SELECT *, sum(relevant::INTEGER) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM h WHERE rank <= 20), "
+    "a AS (SELECT query_id, any_value(own) AS own, count(*) FILTER (WHERE rank <= 8) AS top, count(*) FILTER (WHERE relevant AND rank <= 8) AS hits, count(*) FILTER (WHERE relevant) AS al, min(rank) FILTER (WHERE relevant) AS fst, sum(so_far::DOUBLE / rank) FILTER (WHERE relevant) AS su FROM g GROUP BY 1) "
+    "SELECT query_id, round(CASE WHEN top > 0 THEN hits::DOUBLE / top ELSE 0 END, 4) AS precision_at_k, round(CASE WHEN al > 0 THEN hits::DOUBLE / al ELSE 0 END, 4) AS recall_at_k, round(coalesce(1.0::DOUBLE / fst, 0), 4) AS mrr, "
+    "round(coalesce(su / al, 0), 4) AS map, round(CASE WHEN n > 0 THEN al::DOUBLE / n ELSE 0 END, 4) AS true_recall FROM a JOIN t ON t.label = a.own"
 )
 def ir_metrics(spark, sf_dir):
-    """Labels as queries, vectors as hits ranked by their first component, relevant where the second is positive."""
+    """How well the 20 nearest vectors of every row whose id is divisible by 50 have its label: at 8, and against all rows of the label."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("_e"), "vec_id")
-    hits = b.table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), "vec_id", F.col("embedding")[0].alias("_e"), (F.col("embedding")[1] > 0).alias("relevant"))
-    return r.ranking_measures(hits.withColumn("rank", F.row_number().over(order)), 8)
+    rows = b.table(spark, sf_dir, "embeddings")
+    found = r.nearest(rows, F.col("vec_id") % 50 == 0, 21, 0.05).where("vec_id <> query_id")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("rank <= 20")
+    labels, totals = rows.select("vec_id", "label"), rows.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("relevant_total"))
+    own = labels.join(totals, "label").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), "relevant_total")
+    hits = found.join(labels, "vec_id").join(own, "query_id").withColumn("relevant", F.col("label") == F.col("own"))
+    return r.ranking_measures(hits, 8)
 
 
 _UNITS = "ghz|mhz|gb|tb|mah|wh|hz|mm|cm|kg|w|g"
@@ -162,22 +191,13 @@ def model_likeness(spark, sf_dir):
     return met.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(r.model_likeness(F.col("a.ws"), F.col("b.ws")), 6).alias("likeness"))
 
 
-_LONG = "unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: length(w) > 9)) AS tok"
-
-
 @query(
-    f"WITH dt AS (SELECT doc_id AS id, {_LONG} FROM documents), qt AS (SELECT item_id AS id, {_LONG} FROM benchmark), " + _BUCKETS.format("d") + ", " + _BUCKETS.format("q") + ", p AS (SELECT DISTINCT dt.id AS doc_id, qt.id AS item_id FROM dt JOIN qt ON qt.tok = dt.tok), "
-    "s AS (SELECT item_id, doc_id, round(sum(dv.value * qv.value), 6) AS score FROM p JOIN dv ON dv.id = doc_id JOIN qv ON qv.id = item_id AND qv.bucket = dv.bucket GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score >= 0.05) SELECT * FROM r WHERE rank <= 5"
+    f"WITH dt AS ({_DOC_TOKENS}), qt AS (SELECT item_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS tok FROM benchmark), " + _SUMS.format("d") + ", " + _SUMS.format("q") + ", " + _MEET + ", "
+    "r AS (SELECT query_id AS item_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score >= 0.05) SELECT item_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5"
 )
 def benchmark_hash_search(spark, sf_dir):
-    """For each benchmark item the five documents whose hash vectors are nearest, among documents that share a long word with it."""
-    from pyspark.sql import Window
-
-    long = lambda df, key: df.select(key, F.explode(F.filter(t.tokens(F.col("text")), lambda w: F.length(w) > 9)).alias("token"))
-    docs, items = long(b.table(spark, sf_dir, "documents"), "doc_id"), long(b.table(spark, sf_dir, "benchmark"), "item_id")
-    pairs = docs.join(items, "token").select("doc_id", "item_id").distinct()
-    left = hash_rows(docs, "doc_id").withColumnRenamed("value", "dv")
-    right = hash_rows(items, "item_id").withColumnRenamed("value", "iv")
-    scored = pairs.join(left, "doc_id").join(right, ["item_id", "bucket"]).groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("dv") * F.col("iv")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.where("score >= 0.05").withColumn("rank", rank).where("rank <= 5")
+    """For each benchmark item the five documents whose hash vectors, of all their words, are nearest."""
+    vectors = _hashed(spark, sf_dir, "documents", "doc_id").withColumnRenamed("doc_id", "vec_id")
+    asked = _hashed(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("item_id", "query_id")
+    found = r.nearest_to(vectors, asked, 5, 0.05, many=b.table(spark, sf_dir, "documents").count())
+    return found.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
