@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.urls import page_text
-from lodestone.llm import additive, audio, bpe, langid, line_dedup, mixing, paragraphs, pii, prefix_free, simhash
+from lodestone.llm import additive, audio, bisectors, bpe, dual_tree, langid, line_dedup, mixing, norm_search, paragraphs, pii, prefix_free, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,26 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heard.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), _sha("payload").alias("payload_sha256"), tail, F.octet_length("media").cast("long").alias("media_bytes"), _sha("media").alias("media_sha256"), "feature")
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_additive_quantisation, op3_simhash_bktree, op4_pii_skip_chain, op5_language_fusion, op6_poisson_mix, op7_line_cuckoo, op8_bpe, op9_prefix_free_parsing, op10_audio_features, language_fusion_pages)}
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return norm_search.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_bisector_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisectors.reported(bisectors.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op13_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.reported(dual_tree.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_paragraph_minhash, op2_additive_quantisation, op3_simhash_bktree, op4_pii_skip_chain, op5_language_fusion, op6_poisson_mix,
+        op7_line_cuckoo, op8_bpe, op9_prefix_free_parsing, op10_audio_features, op11_norm_buckets, op12_bisector_tournament,
+        op13_dual_tree_codes, language_fusion_pages,
+    )
+}
 
 ORACLES = {"op6_poisson_mix": mixing.ORACLE_SQL, "op7_line_cuckoo": line_dedup.ORACLE_SQL}
