@@ -4,8 +4,11 @@ The patterns give the base spans. The field labels every token that holds a digi
 an @: neighbours in the text are linked by a chain, and tokens of a document that
 repeat or resemble each other (the same digits, the same address) by skip edges, so that a mention
 which no pattern matches takes the label of its likes. The weights of tokens, chain and skip edges are fitted
-together, by pseudo-likelihood: each token's label given those of its neighbours. Loopy message passing runs
-over all documents of a batch at once; no edge joins two documents.
+together, by pseudo-likelihood: each token's label given those of its neighbours. As the patterns know nothing
+of mentions that they do not match, the fit hides one side of a pair: a mention of a text is said again in a
+form that no pattern matches, once beside the text, where its label is the mention's, and once alone, where it has none.
+Loopy message passing runs over all documents of a batch at once; no edge joins two documents. Neighbouring tokens of
+one label become one span, if together they have what a mention of the kind needs at least.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ LABELS = ("other", *KINDS)
 SAMPLE_DOCS, SAMPLE_TOKENS = 4000, 64
 #: Steps of the fit, their length, and how strongly weights are drawn to zero.
 STEPS, RATE, DECAY = 500, 5.0, 1e-4
+#: Digits that a mention of each kind has at most.
+DIGITS = (0, 12, 19, 15)
 #: Rounds of messages, and the posterior from which a token becomes a span.
 ROUNDS, LEAST = 12, 0.9
 
@@ -91,7 +96,6 @@ class Token(NamedTuple):
     start: int
     end: int
     text: str
-    before: str
     label: int  # of the base span it lies in; 0 outside
 
 
@@ -114,19 +118,18 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> list[Token]:
             s += 1
         while e > s and text[e - 1] in _EDGES:
             e -= 1
-        before = text[max(0, a - 24) : a].split()
-        out.append((a, b, s, e, before[-1].lower().strip(_EDGES) if before else ""))
+        out.append((a, b, s, e))
     found = []
-    for _, _, s, e, before in out:
+    for _, _, s, e in out:
         while i < len(base) and base[i][2] <= s:
             i += 1
         hit = [k for a, k, b in base[i : i + 4] if a < e and b > s]
-        found.append(Token(s, e, text[s:e], before, 1 + hit[0] if hit else 0))
+        found.append(Token(s, e, text[s:e], 1 + hit[0] if hit else 0))
     return found
 
 
 def _features(t: Token) -> list[float]:
-    """Shape and surroundings of a token."""
+    """The shape of a token."""
     x = t.text
     digits = sum(c in "0123456789" for c in x)
     letters = sum(c.isalpha() for c in x)
@@ -136,7 +139,7 @@ def _features(t: Token) -> list[float]:
         1.0, "@" in x, "@" in x and dots > 0, digits / n, letters / n, letters == 0, digits == 0, min(digits, 20) / 20,
         digits < 4, 4 <= digits < 9, 9 <= digits <= 15, 12 <= digits <= 19, digits > 19, 13 <= digits == len(x),
         dots == 3 and letters == 0, dots == 3 and digits <= 12, x[:1] == "+", dashes > 0, "=" in x or ":" in x or "_" in x, "%" in x or "$" in x,
-        t.before in ("tel", "phone", "call", "mobile", "fax", "telefon"), t.before in ("mail", "email", "e-mail"), t.before in ("card", "visa", "iban"), t.before in ("ip", "host", "server"),
+        12 <= digits <= 19 and _luhn(_DIGITS.sub("", x)),
     ]
 
 
@@ -156,6 +159,20 @@ def _likes(t: Token) -> list[str]:
     return found
 
 
+def hidden(mention: str, kind: int, way: int) -> str:
+    """A mention in a form that the patterns do not match; ``way`` chooses among the forms of its kind."""
+    if kind == 0:
+        local, domain = mention.split("@", 1)
+        return local + ("@" + domain.split(".")[0] if way % 2 else "@")
+    if kind == 1:
+        return mention.replace(".", "-_"[way % 2])
+    words = mention.split()
+    if len(words) > 1:  # without its first group of digits
+        return " ".join(words[1:])
+    digits = _DIGITS.sub("", mention)
+    return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)) if kind == 2 else digits[-9:]
+
+
 class Field(NamedTuple):
     unary: np.ndarray  # features x labels
     chain: np.ndarray  # labels x labels
@@ -173,6 +190,29 @@ def _edges(likes: list[list[str]]) -> tuple[list[tuple[int, int]], list[tuple[in
     return [(i - 1, i) for i in range(1, len(likes))], sorted(skip)
 
 
+def _lesson(text: str, most: int) -> tuple[list[Token], list[int], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Tokens, labels, chain and skip edges of a text as it is, and of the text with one mention of each kind, and one token
+    that is none, said again; and of what was said again alone, where it is no mention."""
+    base = base_spans(text)
+    own = tokens(text, base)[:most]
+    again = [(hidden(text[a:b], k, a), 1 + k) for a, k, b in sorted({k: (a, k, b) for a, k, b in reversed(base) if own and b <= own[-1].end}.values())]
+    plain = [t for t in own if not t.label]
+    again += [(plain[len(text) % len(plain)].text, 0)] if plain else []
+    graphs = [(own, [t.label for t in own])]
+    for said, label in again:
+        more = tokens(said, [])
+        graphs.append((own + more, [t.label for t in own] + [label] * len(more)))
+        graphs.append((more, [0] * len(more)))
+    found, labels, chain, skip = [], [], [], []
+    for part, y in graphs:
+        at = len(found)
+        for edges, these in zip((chain, skip), _edges([_likes(t) for t in part]), strict=True):
+            edges += [(at + i, at + j) for i, j in these]
+        found += part
+        labels += y
+    return found, labels, chain, skip
+
+
 def _learn(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> Field:
     """Weights that make each token's label likely given its features and the labels of its neighbours. Edges are (n x 2) places of tokens.
 
@@ -222,13 +262,13 @@ def fit(docs: DataFrame, *, text_col: str = "text", sample_docs: int = SAMPLE_DO
     def look(batches):
         for pdf in batches:
             for key, text in zip(pdf["key"], pdf["text"], strict=True):
-                found = tokens(text, base_spans(text))[:sample_tokens]
-                chain, skip = _edges([_likes(t) for t in found])
-                yield type(pdf)({"key": [key], "x": [[float(v) for t in found for v in _features(t)]], "y": [[t.label for t in found]], "chain": [[i for e in chain for i in e]], "skip": [[i for e in skip for i in e]]})
+                found, y, chain, skip = _lesson(text, sample_tokens)
+                x = [float(v) for t in found for v in _features(t)]
+                yield type(pdf)({"key": [key], "x": [x], "y": [y], "chain": [[i for e in chain for i in e]], "skip": [[i for e in skip for i in e]]})
 
     rows = sorted(some.mapInPandas(look, "key long, x array<double>, y array<int>, chain array<int>, skip array<int>").collect(), key=lambda r: r["key"])
     rows = [r for r in rows if r["y"]]
-    width, m = len(_features(Token(0, 0, "", "", 0))), len(LABELS)
+    width, m = len(_features(Token(0, 0, "", 0))), len(LABELS)
     if not rows:
         return Field(np.zeros((width, m)), np.zeros((m, m)), np.zeros((m, m)))
     x, y = np.concatenate([r["x"] for r in rows]).reshape(-1, width), np.concatenate([r["y"] for r in rows])
@@ -272,6 +312,34 @@ def _posteriors(field: Field, docs: list[list[Token]]) -> np.ndarray:
     return unary / unary.sum(axis=1, keepdims=True)
 
 
+def _complete(kind: int, said: str) -> bool:
+    """Whether a span has what a mention of its kind needs at least, so that a scrap of one is none."""
+    digits = len(_DIGITS.sub("", said))
+    if kind == 0:
+        return "@" in said
+    if kind == 1:
+        return len([p for p in _DIGITS.split(said) if p]) >= 4
+    return digits >= (12 if kind == 2 else 7)
+
+
+def _merged(text: str, found: list[Token], kinds: list[int | None]) -> list[tuple[int, int, int]]:
+    """(start, kind, end): neighbouring tokens of one kind with nothing but spaces and brackets between them are one span; addresses are one each."""
+    out: list[tuple[int, int, int]] = []
+    last = None
+    for i, (t, kind) in enumerate(zip(found, kinds, strict=True)):
+        if kind is None:
+            continue
+        joined = bool(out) and kind > 0 and last == i - 1 and out[-1][1] == kind and not text[out[-1][2] : t.start].strip(" ()-")
+        if joined and len(_DIGITS.sub("", text[out[-1][0] : t.end])) <= DIGITS[kind]:
+            out[-1] = (out[-1][0], kind, t.end)
+        else:
+            out.append((t.start, kind, t.end))
+        last = i
+    # A bracket that the first token lost belongs to its other half.
+    out = [(a - (text[a - 1 : a] == "(" and text[a:b].count(")") > text[a:b].count("(")), k, b) for a, k, b in out]
+    return [(a, k, b) for a, k, b in out if _complete(k, text[a:b])]
+
+
 def spans_of(field: Field, texts: list[str]) -> list[tuple[list, list]]:
     """For each text its base spans, and the spans that the field adds."""
     bases = [base_spans(x) if "@" in x or _ANY.search(x) else [] for x in texts]
@@ -282,11 +350,11 @@ def spans_of(field: Field, texts: list[str]) -> list[tuple[list, list]]:
     if asked:
         p, at = _posteriors(field, [found[i] for i in asked]), 0
         for i in asked:
-            for t in found[i]:
-                best = int(p[at].argmax())
-                if best and not t.label and p[at, best] >= LEAST:
-                    added[i].append((t.start, best - 1, t.end))
-                at += 1
+            own = p[at : at + len(found[i])]
+            at += len(found[i])
+            best = own.argmax(axis=1)
+            sure = (best > 0) & (own.max(axis=1) >= LEAST)
+            added[i] = _merged(texts[i], found[i], [int(k) - 1 if s and not t.label else None for t, k, s in zip(found[i], best, sure, strict=True)])
     return list(zip(bases, added, strict=True))
 
 

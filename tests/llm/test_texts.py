@@ -508,6 +508,36 @@ def test_pii_finds_masked_mentions(spark):
     assert found >= 0.9 * 120 and wrong <= 3, (found, wrong)
 
 
+def test_pii_finds_masked_mentions_of_documents(spark):
+    """In the given documents: a mention said again in a form that no pattern matches is found whole, other numbers at the end are not, and no scrap of one comes out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    field = pii.fit(docs.where("doc_id % 2 = 1"))
+    rng, rows, want = random.Random(2), [], {}
+    for r in docs.where("doc_id % 2 = 0 and text is not null").orderBy("doc_id").collect():
+        base = pii.base_spans(r["text"])
+        if base:
+            a, k, b = rng.choice(base)
+            said = pii.hidden(r["text"][a:b], k, rng.randrange(2))
+            text = f"{r['text']} or {said} as said, and {rng.randrange(10 ** rng.randrange(1, 8))}"
+            if pii.base_spans(text) == base:
+                rows.append((r["doc_id"], text))
+                want[r["doc_id"]] = (len(r["text"]) + 4, pii.KINDS[k], said)
+    got = pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), field, keep=("doc_id", "text")).collect()
+    added = {r["doc_id"]: [(s["start"], s["kind"], r["text"][s["start"] : s["end"]]) for s in r["added"]] for r in got}
+    found = sum(want[i] in a for i, a in added.items())
+    others = sum(s != want[i] and s[0] >= want[i][0] for i, a in added.items() for s in a)
+    assert len(rows) >= 20 and found >= 0.9 * len(rows) and others <= 0.02 * len(rows), (len(rows), found, others)
+    assert all(pii._complete(pii.KINDS.index(k), x) for a in added.values() for _, k, x in a)
+
+
+def test_pii_spans_are_whole():
+    """Neighbouring tokens of one kind are one span; a scrap of a number is none; two whole numbers are two."""
+    merged = lambda text, kind: [text[a:b] for a, _, b in pii._merged(text, pii.tokens(text, []), [kind] * len(pii.tokens(text, [])))]
+    assert merged("call (017) 555-7713 now", 3) == ["(017) 555-7713"] and merged("room 826 there", 3) == []
+    assert merged("7536784127813050 4845168114407329", 2) == ["7536784127813050", "4845168114407329"]
+    assert merged("a@b c@d", 0) == ["a@b", "c@d"]
+
+
 def test_pii(docs, empty, corpus):
     field = pii.fit(docs)
     got = rows_of(pii.find_personal(docs, field), "doc_id", "base")
