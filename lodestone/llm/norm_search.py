@@ -1,8 +1,8 @@
 """Exact top-k search by inner product, over buckets of vectors of like length.
 
-Vectors become whole numbers and are dealt out by length, the longest first, into buckets. Each query is held against the
-first bucket; the k-th best product found there is its floor. A bucket whose longest vector cannot reach the floor
-is left out for the query. In each other bucket the floor, divided by both lengths, is the local cosine threshold. From it
+Vectors become whole numbers and fall into cells of like length, a sixteenth of an octave of the square each; a cell with
+many vectors is dealt out into buckets. Each query is held against the buckets of the longest vectors first; the k-th best
+product found there is its floor. A bucket whose longest vector cannot reach the floor is left out for the query. In each other bucket the floor, divided by both lengths, is the local cosine threshold. From it
 follow two ways to prune: by length, vectors too short for the floor go; by coordinates, a normed vector within the
 threshold's angle of the query has each coordinate in an interval, and those outside the interval go. The one that leaves
 fewer vectors is taken, and the products of those left are computed exactly.
@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remove, written
+from lodestone.llm.common import written
 from lodestone.llm.integers import below, finite, whole
 
-#: What components are multiplied by, classes in a bucket and queries in a block.
+#: What components are multiplied by, classes in a bucket and queries in a block, on average.
 SCALE, BUCKET, QUERIES = 256, 4096, 4096
+#: Cells in an octave of squared lengths, and of squared floors: at most 62 times as many in all.
+CELLS, REACHES = 16, 2
 #: Coordinates of a query that are looked at, the local cosine from which they are, and the share of a bucket that they must leave at most.
 FOCUS, COSINE, SHARE = 3, 0.5, 0.25
 #: Roundings of lengths and angles stay below this.
@@ -52,12 +54,11 @@ def search(
     members = rows.select("vec", "id").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     square = F.aggregate("vec", F.lit(0).cast("long"), lambda s, v: s + v * v)
     classes = members.groupBy("vec").agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = written(_dealt(classes.withColumn("square", square), "bucket", BUCKET, F.desc("square"), F.col("cls")), "norm-classes")
-    asked = written(
-        rows.where("asked").select("id", "vec").join(classes.select("vec", "cls"), "vec").select("id", F.col("cls").alias("query")), "norm-asked"
-    )
+    classes = written(classes.withColumn("square", square).withColumn("cell", _octave(F.col("square"), CELLS)), "norm-classes")
+    asked = rows.where("asked").select("id", "vec").join(classes.select("vec", "cls"), "vec")
+    asked = written(asked.select("id", F.col("cls").alias("query")), "norm-asked")
     wanted = asked.select(F.col("query").alias("cls")).distinct().join(classes.select("cls", "vec", "square"), "cls")
-    wanted = written(_dealt(wanted.withColumnRenamed("cls", "query"), "qblock", QUERIES, F.col("query")), "norm-queries")
+    wanted = written(wanted.withColumnRenamed("cls", "query"), "norm-queries")
     best = written(_best(classes, wanted, k + 1), "norm-scores")
     top = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))
     lists = best.withColumn("n", top).where(F.col("n") <= k + 1).join(classes.select("cls", F.explode("ids").alias("vec_id")), "cls")
@@ -69,38 +70,58 @@ def search(
     return ranked.select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
 
 
-def _dealt(df: DataFrame, name: str, size: int, *order: Column) -> DataFrame:
-    """Ranges of about ``size`` rows in this order; the column ``name`` numbers them."""
-    return df.repartitionByRange(max(1, -(-df.count() // size)), *order).withColumn(name, F.spark_partition_id())
+def _octave(square: Column, each: int) -> Column:
+    """The cell of a squared length; -1 of zero."""
+    return F.when(square >= 1, F.floor(F.log2(square.cast("double")) * each)).otherwise(-1).cast("int")
+
+
+def _part(key: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(key), parts).cast("int")
+
+
+def _dealt(df: DataFrame, cell: str, key: str, size: int, part: str) -> tuple[DataFrame, list[tuple[int, int, int, float]]]:
+    """Adds the part of its cell that each row is dealt to, of about ``size`` rows; and for each cell, the highest first, its
+    rows, parts and the largest value of the column ``bound``. There are as many cells as octaves allow, whatever the rows."""
+    found = df.groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.max("bound").alias("most"), F.min("bound").alias("least")).collect()
+    cells = sorted(((r[cell], -(-r["n"] // size), r["n"], r["most"], r["least"]) for r in found), reverse=True)
+    parts = df.sparkSession.createDataFrame([c[:2] for c in cells], f"{cell} int, _parts int")
+    return df.join(F.broadcast(parts), cell).withColumn(part, _part(key, F.col("_parts"))).drop("_parts", "bound"), cells
 
 
 def _best(classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(query, cls, score): at least the k best classes of each query."""
-    tops = written(classes.groupBy("bucket").agg(F.max("square").alias("top")), "norm-tops")
-    head = tops.agg(F.min("bucket")).first()[0]
-    if head is None:
+    small = classes.select("cell", "cls", "vec", "square", F.col("square").alias("bound"))
+    small, cells = _dealt(small, "cell", "cls", BUCKET, "part")
+    if not cells:
         return wanted.sparkSession.createDataFrame([], "query long, cls long, score long")
-    small = classes.select("bucket", "cls", "vec", "square")
-    blocks = wanted.select("qblock").distinct()
-    begun = written(_met(small, wanted.withColumn("least", F.lit(None).cast("long")), blocks.withColumn("bucket", F.lit(head)), k), "norm-first")
+    # The longest vectors, about as many as a bucket holds.
+    head, held = {}, 0
+    for cell, parts, n, *_ in cells:
+        head[cell] = min(parts, -(-(BUCKET - held) * parts // n)) if held < BUCKET else 0
+        held += n * head[cell] // parts
+    every = wanted.withColumns({"least": F.lit(None).cast("long"), "reach": F.lit(0), "bound": F.lit(0.0)})
+    every, blocks = _dealt(every, "reach", "query", QUERIES, "qpart")
+    begun = written(_met(small, every, [(r, q, c, 0, head[c]) for r, q, *_ in blocks for c, *_ in cells], k), "norm-first")
     # The k-th best product so far. Classes below it are not among the k best.
     least = begun.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("score"), asc=False).alias("s"))
     least = least.where(F.col("n") >= k).select("query", F.col("s")[k - 1].alias("least"))
-    reach = F.when(F.col("least") > 0, F.col("least").cast("double") * F.col("least") / F.col("square")).otherwise(0.0)
-    floors = wanted.drop("qblock").join(least, "query", "left").withColumn("reach", F.coalesce(reach, F.lit(0.0)))
-    # Queries of like reach stand together, so that a block leaves out what all of them leave out.
-    floors = written(_dealt(floors, "qblock", QUERIES, F.col("reach"), F.col("query")), "norm-floors")
-    last = floors.groupBy("qblock").agg(F.min("reach").alias("reach"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tops.agg(F.max("bucket")).first()[0]))).alias("bucket")
-    pairs = last.select("qblock", "reach", every).where(F.col("bucket") > head).join(tops, "bucket")
-    pairs = pairs.where(F.col("top") * (1 + SLACK) >= F.col("reach")).select("qblock", "bucket")
-    return begun.unionByName(_met(small, floors.drop("reach"), pairs, k))
-
-
-def _met(classes: DataFrame, wanted: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The k best classes of a bucket for each query of a block, for the given pairs of blocks and buckets."""
-    pairs = written(pairs, "norm-pairs")
-    left, right = classes.join(pairs, "bucket"), wanted.join(pairs, "qblock")
+    need = F.when(F.col("least") > 0, F.col("least").cast("double") * F.col("least") / F.col("square")).otherwise(0.0)
+    floors = wanted.join(least, "query", "left").withColumn("bound", F.coalesce(need, F.lit(0.0)))
+    # Queries of like needs stand together, so that a block leaves out what all of them leave out.
+    floors, blocks = _dealt(floors.withColumn("reach", _octave(F.col("bound"), REACHES)), "reach", "query", QUERIES, "qpart")
+    rest = [(r, q, c, head[c], p) for r, q, _, _, needed in blocks for c, p, _, top, _ in cells if top * (1 + SLACK) >= needed]
+    return begun.unionByName(_met(small, written(floors, "norm-floors"), rest, k))
+
+
+def _met(classes: DataFrame, wanted: DataFrame, pairs: list[tuple[int, int, int, int, int]], k: int) -> DataFrame:
+    """The k best classes of a bucket for each query of a block. Pairs: a cell of queries and its blocks, a cell of classes and
+    which of its buckets, from and to."""
+    pairs = [p for p in pairs if p[3] < p[4]]
+    plan = F.broadcast(wanted.sparkSession.createDataFrame(pairs, "reach int, _blocks int, cell int, _from int, _to int"))
+    key = ("cell", "part", "reach", "qpart")
+    left = classes.join(plan, "cell").where("part >= _from and part < _to").withColumn("qpart", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    right = wanted.join(plan, "reach").withColumn("part", F.explode(F.expr("sequence(_from, _to - 1)")))
+    left, right = left.select(*key, "cls", "vec", "square"), right.select(*key, "query", "vec", "square", "least")
     shape = "query long, cls long, score long"
 
     def run(bucket: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +130,7 @@ def _met(classes: DataFrame, wanted: DataFrame, pairs: DataFrame, k: int) -> Dat
             out.append(_within(bucket[bucket["vec"].map(len) == d], queries[queries["vec"].map(len) == d], k))
         return pd.DataFrame(np.concatenate(out), columns=["query", "cls", "score"])
 
-    return left.groupBy("bucket", "qblock").cogroup(right.groupBy("bucket", "qblock")).applyInPandas(run, shape)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, shape)
 
 
 def products(q: np.ndarray, p: np.ndarray, longest: float) -> np.ndarray:
