@@ -86,20 +86,35 @@ def gtin(col: Column) -> Column:
     return F.when(F.length(digits).isin(8, 12, 13, 14), digits)
 
 
-def _unmarked() -> tuple[str, str]:
-    """Lower-case letters up to U+1EFF that are a plain letter with marks, and these plain letters, by compatibility decomposition."""
-    pairs = {c: unicodedata.normalize("NFKD", c) for c in map(chr, range(0xE0, 0x1F00))}
-    plain = {c: "".join(x for x in d if not unicodedata.combining(x)) for c, d in pairs.items() if d != c}
-    kept = {c: d for c, d in plain.items() if len(d) == 1 and c == c.lower()}
-    return "".join(kept), "".join(kept.values())
+def _unmarked() -> tuple[str, str, dict[str, str]]:
+    """What letters are without case and marks, by case folding and compatibility decomposition: those that become one letter, and those
+    that become several."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0xFFFF)):
+        if c != c.lower() or not c.isprintable():
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x)).casefold()
+        if plain and plain != c and all(x.isalnum() for x in plain):
+            if len(plain) == 1:
+                one[c] = plain
+            elif plain.isascii():
+                several[c] = plain
+    return "".join(one), "".join(one.values()), several
 
 
-#: Letters with marks and their plain forms, for keys that are compared without marks.
-MARKED = _unmarked()
+_ONE, _PLAIN, _SEVERAL = _unmarked()
+
+
+def unmarked(col: Column) -> Column:
+    """Lower case, without marks; ligatures, full-width letters and their like as plain letters."""
+    low = F.regexp_replace(F.translate(F.lower(col), _ONE, _PLAIN), r"\p{Mn}+", "")
+    parts = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
+    spelt = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(parts[c], c)), "")
+    return F.when(low.rlike(f"[{''.join(_SEVERAL)}]"), spelt).otherwise(low)
 
 
 def brand_key(col: Column) -> Column:
-    return blank_to_null(F.translate(F.lower(F.trim(col)), *MARKED))
+    return blank_to_null(unmarked(F.trim(col)))
 
 
 def mpn_key(col: Column) -> Column:

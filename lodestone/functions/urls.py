@@ -103,11 +103,38 @@ def source_confidence(priority: Column) -> Column:
     return F.when(priority >= 50, 0.9).when(priority >= 40, 0.8).when(priority >= 30, 0.7).otherwise(0.5)
 
 
+#: Ranges of addresses that are not public, as (first, bits).
+PRIVATE = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("224.0.0.0", 3))
+
+
+def host_number(name: Column) -> Column:
+    """The address that a host of one to four numbers stands for, decimal, octal or hexadecimal, the last of which fills the rest; null if it
+    is no such host, -1 if its numbers do not fit."""
+    parts = F.split(F.regexp_replace(name, r"\.$", ""), r"\.")
+    digits = lambda p: F.when(p.rlike("^0x"), F.substring(p, 3, 16)).when(p.rlike("^0[0-9]"), F.substring(p, 2, 32)).otherwise(p)
+    base = lambda p: F.when(p.rlike("^0x"), 16).when(p.rlike("^0[0-9]"), 8).otherwise(10)
+    short = lambda p: F.regexp_replace(digits(p), "^0+(?=.)", "")
+    read = lambda p: F.when(base(p) == 16, F.conv(F.concat(F.lit("0"), short(p)), 16, 10)).when(base(p) == 8, F.conv(short(p), 8, 10)).otherwise(short(p)).try_cast("bigint")
+    sound = F.forall(parts, lambda p: p.rlike("^(0x[0-9a-f]{0,16}|0[0-7]*|[1-9][0-9]{0,15})$"))
+    last = F.size(parts)
+    values = F.transform(parts, read)
+    fits = F.forall(values, lambda v: v.isNotNull()) & F.forall(F.slice(values, 1, last - 1), lambda v: v < 256)
+    front = F.aggregate(F.slice(values, 1, last - 1), F.lit(0).cast("bigint"), lambda s, v: s * 256 + v)
+    rest = F.element_at(F.array(*[F.lit(256 ** n) for n in (4, 3, 2, 1)]), last)
+    number = front * rest + F.element_at(values, -1)
+    numeric = name.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+)){0,3}\.?$")
+    return F.when(numeric, F.when(sound & fits & (F.element_at(values, -1) < rest), number).otherwise(F.lit(-1).cast("bigint")))
+
+
 def safe_to_fetch(url: Column) -> Column:
-    """http or https, and a host that is public by its name or number: no local names, no private or loopback addresses."""
-    name = host(url)
-    private = r"^(localhost|127\..*|10\..*|192\.168\..*|169\.254\..*|0\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|\[.*|.*\.(local|internal|localhost))$"
-    return F.coalesce(url.rlike("(?i)^https?://") & (name != "") & ~name.rlike(private), F.lit(False))
+    """http or https, and a host that is public by its name or number: no local names, no private or loopback addresses in any spelling, no
+    addresses in brackets."""
+    name = F.regexp_replace(host(url), r"\.$", "")
+    local = name.rlike(r"^(localhost|\[.*|.*\.(local|internal|localhost|localdomain))$")
+    number = host_number(name)
+    value = lambda a: sum(int(p) << 8 * (3 - i) for i, p in enumerate(a.split(".")))
+    private = reduce(Column.__or__, [(number >= value(a)) & (number < value(a) + (1 << 32 - bits)) for a, bits in PRIVATE], number < 0)
+    return F.coalesce(url.rlike("(?i)^https?://") & (name != "") & ~local & ~F.coalesce(private, F.lit(False)), F.lit(False))
 
 
 def platform(html: Column, meta: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import fold, matches_all, search_terms, synonyms
+from lodestone.tables import written
 
 
 def number_range(text: str) -> tuple[int, int] | None:
@@ -19,21 +20,38 @@ def number_range(text: str) -> tuple[int, int] | None:
         return None
 
 
-def subtree(tree: DataFrame, root_id: int, depth: int = 16) -> DataFrame:
-    """The ids of a category and all below it. Cycles end at ``depth``."""
-    up = ancestors(tree, depth)
-    return up.where(F.col("ancestor_id") == root_id).select("id").distinct()
+def subtree(tree: DataFrame, root_id: int) -> DataFrame:
+    """The ids of a category and all below it, however deep; a cycle's members are below each other."""
+    return ancestors(tree).where(F.col("ancestor_id") == root_id).select("id").distinct()
 
 
-def ancestors(tree: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, ancestor_id): each category with itself and all above it. Cycles end at ``depth``."""
-    climb = """
-        WITH RECURSIVE up(id, ancestor_id, level) AS (
-            SELECT id, id, 0 FROM {tree}
-            UNION ALL
-            SELECT up.id, t.parent_id, up.level + 1 FROM up JOIN {tree} t ON t.id = up.ancestor_id WHERE t.parent_id IS NOT NULL AND up.level + 1 < {depth})
-        SELECT DISTINCT id, ancestor_id FROM up"""
-    return tree.sparkSession.sql(climb, tree=tree.select("id", "parent_id"), depth=depth)
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(id, ancestor_id): each category with itself and all above it."""
+    return closure(tree).select("id", "ancestor_id")
+
+
+def closure(tree: DataFrame) -> DataFrame:
+    """(id, ancestor_id, distance): each category with itself and all above it, at the least distance, without a limit of levels.
+
+    Pointer doubling: a round looks twice as far as the last, so a chain of a thousand takes ten. Cycles add no new pairs once they
+    have been walked around, and the rounds end when a round adds none. Each round's pairs are written to the shared folder.
+    """
+    ids = tree.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance")).distinct()
+    jump = tree.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor_id")).distinct()
+    nearest = lambda pairs: pairs.groupBy("id", "ancestor_id").agg(F.min("distance").alias("distance"))
+    reach = written(nearest(ids.unionByName(jump.withColumn("distance", F.lit(1)))), "closure")
+    n, step = reach.count(), 1
+    while True:
+        over = jump.select(F.col("id").alias("_from"), F.col("ancestor_id").alias("_over"))
+        jump = written(jump.join(over, F.col("ancestor_id") == F.col("_from")).select("id", F.col("_over").alias("ancestor_id")).distinct(), "jumps")
+        step *= 2
+        far = jump.select(F.col("id").alias("_id"), F.col("ancestor_id").alias("_over"))
+        beyond = far.join(reach, F.col("_over") == F.col("id")).select(F.col("_id").alias("id"), "ancestor_id", (F.col("distance") + step).alias("distance"))
+        wider = written(nearest(reach.unionByName(beyond)), "closure")
+        m = wider.count()
+        if m == n:
+            return wider
+        reach, n = wider, m
 
 
 def category_named(tree: DataFrame, term: str) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.functions.text import brand_key, gtin, model_key, mpn_forms, sku_key
+from lodestone.operators.names import similar_names
 
 #: Strategies in the order they are asked, with their confidence.
 LADDER = (("gtin", 1.0), ("mpn_brand", 0.95), ("manufacturer_sku", 0.9), ("brand_model", 0.85))
@@ -63,40 +60,42 @@ def conflicts(offers: DataFrame, products: DataFrame) -> DataFrame:
     return sides.where("by_gtin <> by_mpn")
 
 
-@F.pandas_udf(T.DoubleType())
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two names; not symmetric."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
-def _letters(name: str) -> Column:
-    """How often each of the letters a-z and digits stands in a name."""
-    return F.array(*[F.length(name) - F.length(F.replace(F.col(name), F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
-
-
 def candidates(offers: DataFrame, products: DataFrame, *, least: float = MEDIUM, top: int = 5) -> DataFrame:
     """The most similar names within the offer's brand.
 
-    Each pair of different names is compared once, however many rows bear them, and only if their lengths and letters allow the least score:
-    matched characters are at most the shorter name, and at most the letters in common with all other characters. Of a
+    Each pair of different names that may be similar enough is compared once, however many rows bear them. Of a
     product name only the ``top`` smallest ids can be in a list.
     """
     left = offers.select("offer_id", F.lower("brand").alias("b"), F.lower("name").alias("offer_name"))
     right = products.select("product_id", F.lower("brand").alias("b"), F.lower("name").alias("product_name"))
     first = Window.partitionBy("b", "product_name").orderBy("product_id")
     few = right.withColumn("n", F.row_number().over(first)).where(F.col("n") <= top).drop("n")
-    counted = lambda df, name, as_: df.select("b", name).distinct().select("b", name, F.length(name).alias(f"{as_}_n"), _letters(name).alias(f"{as_}_c"))
-    pairs = counted(left, "offer_name", "l").join(counted(right, "product_name", "r"), "b")
-    total = lambda counts: F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    others = F.least(F.col("l_n") - total(F.col("l_c")), F.col("r_n") - total(F.col("r_c")))
-    common = total(F.zip_with("l_c", "r_c", lambda x, y: F.least(x, y))) + others
-    both = F.col("l_n") + F.col("r_n")
-    possible = pairs.where(2 * F.least("l_n", "r_n") >= least * both).where(2 * common >= least * both).select("b", "offer_name", "product_name")
-    close = possible.withColumn("score", name_ratio("offer_name", "product_name")).where(F.col("score") >= least)
+    grouped = lambda df, name: df.select(F.col("b").alias("group"), F.col(name).alias("name"))
+    close = similar_names(grouped(left, "offer_name"), grouped(right, "product_name"), least)
+    close = close.select(F.col("group").alias("b"), F.col("a").alias("offer_name"), F.col("b").alias("product_name"), "score")
     order = Window.partitionBy("b", "offer_name").orderBy(F.desc("score"), "product_id")
     lists = close.join(few, ["b", "product_name"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     level = F.when(F.col("score") >= HIGH, "fuzzy_high").otherwise("fuzzy_medium")
-    return left.join(lists, ["b", "offer_name"]).select("offer_id", "product_id", F.round("score", 6).alias("score"), level.alias("level"), "rank")
+    named = left.join(lists, ["b", "offer_name"])
+    return named.select("offer_id", "product_id", F.round("score", 6).alias("score"), level.alias("level"), "rank")
+
+
+def match_or_similar(offers: DataFrame, products: DataFrame, *, least: float = MEDIUM, top: int = 5) -> DataFrame:
+    """The whole ladder: match(), and for offers that no key finds the similar names as a last rung. That one is never sure:
+    the offer is ambiguous, with the strategy and score of its best candidate and the ids of all."""
+    keyed_ = match(offers, products)
+    open_ = offers.join(keyed_.where("status = 'NO_MATCH'").select("offer_id"), "offer_id", "left_semi")
+    found = candidates(open_, products, least=least, top=top)
+    lists = found.groupBy("offer_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "product_id"))), lambda x: x["product_id"]).alias("candidates"),
+        F.min_by("level", "rank").alias("level"), F.max("score").alias("score"),
+    )
+    met = keyed_.join(lists, "offer_id", "left")
+    fuzzy = F.col("candidates").isNotNull()
+    return met.select(
+        "offer_id", F.when(fuzzy, "AMBIGUOUS").otherwise(F.col("status")).alias("status"), F.coalesce("level", "strategy").alias("strategy"),
+        F.coalesce("score", "confidence").alias("confidence"), "product_id", "candidates",
+    )
 
 
 def confidence_policy(answers: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import unmarked
 from lodestone.functions.vectors import cosine
-from lodestone.operators.identity import name_ratio
+from lodestone.operators.names import similar_names
+from lodestone.operators.substrings import absent, held
 
 # Words of a query that candidates are looked for by at most, the least similarity, candidates for a model and the least likeness of names among them.
 CANDIDATE_WORDS, LEAST, MODEL_CANDIDATES, ALIKE = 8, 0.05, 8, 0.5
@@ -62,8 +64,8 @@ def model_candidates(offers: DataFrame, products: DataFrame, *, most: int = MODE
     shape = lambda df, key: df.select(key, F.lower("brand").alias("b"), mpn("mpn").alias("m"), F.lower(F.trim("model")).alias("d"), F.lower("name").alias("n"))
     left, right = shape(offers, "offer_id"), shape(products, "product_id")
     same = lambda key, strategy: left.where(f"{key} <> ''").join(right, ["b", key]).select("offer_id", "product_id", F.lit(strategy).alias("strategy"), F.lit(1.0).alias("score"))
-    pairs = left.select("b", "n").distinct().join(right.select("b", F.col("n").alias("o")).distinct(), "b").where(2 * F.least(F.length("n"), F.length("o")) >= ALIKE * (F.length("n") + F.length("o")))
-    close = pairs.withColumn("score", name_ratio("n", "o")).where(F.col("score") >= ALIKE)
+    grouped = lambda df: df.select(F.col("b").alias("group"), F.col("n").alias("name"))
+    close = similar_names(grouped(left), grouped(right), ALIKE).select(F.col("group").alias("b"), F.col("a").alias("n"), F.col("b").alias("o"), "score")
     first = Window.partitionBy("b", "o").orderBy("product_id")
     # A list can hold ``most`` products of a name at most beside those of the other strategies, which are as many at most.
     few = right.select("b", F.col("n").alias("o"), "product_id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2 * most).drop("_n")
@@ -113,14 +115,14 @@ def shared_values(a: Column, b: Column) -> Column:
 
 
 def mentions(messages: DataFrame, dictionary: DataFrame, text_col: str = "text") -> DataFrame:
-    """(message_id, kind, term) for the dictionary's terms (kind, term) that stand in a message as whole words. The first word of a term and the words of the messages meet in an equi-join; then the whole term is looked for."""
-    clean = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    said = messages.select("message_id", clean(F.col(text_col)).alias("said"))
-    words = said.select("message_id", "said", F.explode(F.array_distinct(F.split(F.trim("said"), " "))).alias("w"))
-    terms = dictionary.select("kind", "term", clean(F.col("term")).alias("t")).where("trim(t) <> ''").withColumn("w", F.split(F.trim("t"), " ")[0])
-    return words.join(terms, "w").where(F.col("said").contains(F.col("t"))).select("message_id", "kind", "term").distinct()
+    """(message_id, kind, term) for the dictionary's terms (kind, term) that a message holds, without case and marks, inside words too."""
+    said = messages.select("message_id", unmarked(F.coalesce(F.col(text_col), F.lit(""))).alias("said"))
+    terms = dictionary.select("kind", F.col("term").alias("_own"), unmarked(F.col("term")).alias("term"))
+    found = held(said, terms, text_col="said").select("message_id", "term")
+    return found.join(terms, "term").select("message_id", "kind", F.col("_own").alias("term")).distinct()
 
 
 def unmatched(mentioned: DataFrame, known: DataFrame) -> DataFrame:
-    """Mentions (message_id, term) that no product name of the catalogue (name) bears as a whole."""
-    return mentioned.join(known.select(F.lower("name").alias("_n")).distinct(), F.lower("term") == F.col("_n"), "left_anti")
+    """Mentions (message_id, term) that the catalogue lacks: no product name or brand (name, brand) holds them or is held by them."""
+    names = known.select("name") if "brand" not in known.columns else known.select(F.explode(F.array("name", "brand")).alias("name"))
+    return absent(mentioned, names)

@@ -62,44 +62,70 @@ def frequencies(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).groupBy("p.name", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def snapshot(*, text: Column | None = None, number: Column | None = None, boolean: Column | None = None, json: Column | None = None, unit: Column | None = None) -> Column:
+    """A value of any kind as JSON text, alike for equal values: numbers as doubles, the keys of JSON in order."""
+    parts = {"text": text, "number": None if number is None else number.cast("double"), "boolean": boolean, "unit": unit}
+    parts["json"] = None if json is None else F.to_json(F.try_parse_json(json))
+    return F.to_json(F.struct(*[c.alias(n) for n, c in sorted(parts.items()) if c is not None]))
+
+
+#: What a source consists of; rows may lack all but the first.
+SOURCE = ("source", "source_name", "source_url", "method")
+
+
+def _rank(status: str, source: str | None) -> int:
+    """A verified value has the weight of an administrator's."""
+    return SOURCE_PRIORITY["admin"] if status == "verified" else SOURCE_PRIORITY.get(source, SOURCE_PRIORITY["unknown"])
+
+
+def _upsert(state: dict | None, new: dict) -> tuple[str | None, dict]:
+    """What an incoming value does to a key's state: the action, if there is one to record, and the state after it."""
+    own = {k: new[k] for k in SOURCE}
+    if state is None:
+        return "created", {"value": new["value"], **own, "status": new["status"], "conflict": "resolved" if new["status"] == "verified" else "none"}
+    stronger = _rank(new["status"], new["source"]) >= _rank(state["status"], state["source"])
+    if new["value"] == state["value"]:
+        unchanged = new["status"] == state["status"] and all(new[k] == state[k] for k in SOURCE)
+        if unchanged or not (new["forced"] or stronger):
+            return None, state
+        conflict = "resolved" if new["status"] == "verified" else "pending" if state["conflict"] == "pending" else "none"
+        return "source_updated", {**state, **own, "status": new["status"], "conflict": conflict}
+    if not stronger or (state["status"] == "verified" and new["source"] != "admin"):
+        return "conflict_detected", {**state, "conflict": "pending"}
+    status = "verified" if new["status"] == "verified" else "review"
+    return "value_changed", {"value": new["value"], **own, "status": status, "conflict": "pending"}
+
+
 def upsert_fold(incoming: DataFrame) -> DataFrame:
-    """The history of each (product_id, definition_id) as its values come in by ``seq``: value, source, verified (boolean).
+    """The history of each (product_id, definition_id) as its values come in by ``seq``.
 
-    created; source_updated if the value is the same and its source is as good or it is verified; conflict_detected if a verified value,
-    or one of a better source, stands; else value_changed. Returns one row per change with the state after it.
+    Rows have a value (snapshot() makes one of any kind), a source (type, and optionally source_name, source_url, method), a status
+    (auto, review or verified; auto by default) and optionally ``forced``. Recorded are: created; source_updated, where the same value
+    comes from another source or with another status, and is forced or as trusted; conflict_detected, where a verified value, or one of
+    a better source, stands; value_changed. A verified value is trusted like an administrator's. One row per action, with the state after it.
     The values of a task's keys pass by in order, one state at a time, so that a key with very many values needs no more memory than others.
     """
-    schema = "product_id long, definition_id string, seq long, action string, value string, source string, verification string, conflict string"
-    trust = lambda source: SOURCE_PRIORITY.get(source, 10)
-
-    def step(state: dict | None, value, source, verified: bool) -> tuple[str | None, dict]:
-        """What a value does to a key's state."""
-        if state is None:
-            return "created", {"value": value, "source": source, "verification": "verified" if verified else "auto", "conflict": "resolved" if verified else "none"}
-        settled = state["verification"] == "verified"
-        if value == state["value"]:
-            if (source == state["source"] and verified == settled) or (trust(source) < trust(state["source"]) and not verified):
-                return None, state
-            conflict = "resolved" if verified else "pending" if state["conflict"] == "pending" else "none"
-            return "source_updated", state | {"source": source, "verification": "verified" if verified else "auto", "conflict": conflict}
-        if (settled and source != "admin") or trust(source) < trust(state["source"]):
-            return "conflict_detected", state | {"conflict": "pending"}
-        return "value_changed", {"value": value, "source": source, "verification": "verified" if verified else "review", "conflict": "pending"}
+    keys = ("product_id", "definition_id")
+    out = ("value", *SOURCE, "status", "conflict")
+    schema = "product_id long, definition_id string, seq long, action string, " + ", ".join(f"{c} string" for c in out)
+    columns = [*keys, "seq", "value", *SOURCE, "status", "forced"]
+    defaults = {**{c: F.lit(None).cast("string") for c in SOURCE}, "status": F.lit("auto"), "forced": F.lit(False)}
+    given = [F.coalesce(F.col(c), defaults[c]).alias(c) if c in defaults and c in incoming.columns else defaults[c].alias(c) if c in defaults else F.col(c) for c in columns]
 
     def fold(batches):
         key, state = None, None
         for pdf in batches:
-            out = []
-            for product, definition, seq, value, source, verified in zip(*[pdf[c] for c in ("product_id", "definition_id", "seq", "value", "source", "verified")], strict=True):
-                if (product, definition) != key:
-                    key, state = (product, definition), None
-                action, state = step(state, value, source, bool(verified))
+            found = []
+            for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                own = (row["product_id"], row["definition_id"])
+                if own != key:
+                    key, state = own, None
+                action, state = _upsert(state, row)
                 if action:
-                    out.append((product, definition, seq, action, *state.values()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                    found.append((*own, row["seq"], action, *(state[c] for c in out)))
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")])
 
-    keys = ("product_id", "definition_id")
-    ordered = incoming.select(*keys, "seq", "value", "source", "verified").repartition(*keys).sortWithinPartitions(*keys, "seq", "value", "source", "verified")
+    ordered = incoming.select(*given).repartition(*keys).sortWithinPartitions(*keys, *columns[2:])
     return ordered.mapInPandas(fold, schema)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import MARKED
+from lodestone.functions.text import unmarked
+from lodestone.operators.substrings import held
 
 # Spellings of units with their factor, kinds of memory, and names of resolutions, in the order they are looked for.
 UNITS = {"GB": (("gb|gbyte|gigabytes?", 1), ("tb|terabytes?", 1024)), "MHz": (("mhz|mt/s", 1),), "Hz": (("hz", 1),), "W": (("w", 1),), "Wh": (("wh", 1),), "MP": (("mp|megapixels?", 1),), "g": (("g|gr|gramos", 1),)}
@@ -20,7 +21,7 @@ VARIANT_MARKERS = (
 
 def plain(col: Column) -> Column:
     """Lower case without marks; other characters than letters and digits become single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(col), *MARKED), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(unmarked(col), "[^a-z0-9]+", " "))
 
 
 def number_in(col: Column, unit: str | None) -> Column:
@@ -58,7 +59,7 @@ def usb_ports(col: Column) -> Column:
     """The ports of a list ("2 x USB 3.2 Gen 2 Type-C; 4 USB 2.0"): kind, version, connector, count."""
 
     def port(p: Column) -> Column:
-        x = F.translate(F.lower(p), *MARKED)
+        x = unmarked(p)
         rules = ((r"usb\s*4", "USB4", "4.0"), (r"gen\s*2\s*x\s*2", "USB", "3.2 Gen 2x2"), (r"gen\s*2\b", "USB", "3.2 Gen 2"), (r"gen\s*1\b", "USB", "3.2 Gen 1"), (r"usb\s*3\.0", "USB", "3.0"), (r"usb\s*2(\.0)?", "USB", "2.0"), (r"usb\s*1\.1", "USB", "1.1"))
         kind = F.coalesce(*[F.when(x.rlike(r), k) for r, k, _ in rules])
         version = F.coalesce(*[F.when(x.rlike(r), v) for r, _, v in rules])
@@ -116,17 +117,28 @@ def collected(items: DataFrame) -> DataFrame:
     return pairs.select("product_id", "definition", F.when(F.size("all") == 1, F.col("all")[0]["value"]).otherwise(text).alias("value"))
 
 
-def by_alias(products: DataFrame, aliases: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Products (id, name) whose name holds an alias (alias, source). Words of the names meet the first words of the aliases in an equi-join, then the whole alias is looked for."""
-    names = products.select("id", F.concat(F.lit(" "), plain(F.col("name")), F.lit(" ")).alias("n"))
-    words = names.select("id", "n", F.explode(F.array_distinct(F.split(F.trim("n"), " "))).alias("w"))
-    wanted = aliases.select(plain(F.col("alias")).alias("a"), "source").where("a <> ''").withColumn("w", F.split("a", " ")[0])
-    return words.join(wanted, "w").where(F.col("n").contains(F.concat(F.lit(" "), "a", F.lit(" ")))).select("id", "source").distinct()
+def by_alias(products: DataFrame, aliases: DataFrame, *cols: str) -> DataFrame:
+    """(id, source) where a product's text (the columns ``cols``, else name) holds an alias (alias, source) of the source, both as plain() has them, inside words too."""
+    text = F.concat_ws(" ", *[F.col(c) for c in cols or ("name",)])
+    wanted = aliases.select(plain(F.col("alias")).alias("term"), "source").where("term <> ''")
+    found = held(products.select("id", plain(text).alias("said")), wanted, text_col="said").select("id", "term")
+    return found.join(wanted, "term").select("id", "source").distinct()
+
+
+def enriched(products: DataFrame, components: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
+    """(product_id, label, value) that components (alias, section, label, value), found in a product's text by their aliases, add: only labels
+    that the product has not yet (product_id, section, label, without case); of several components for a label the first by alias."""
+    aliases = components.select("alias", F.col("alias").alias("source")).distinct()
+    found = by_alias(products, aliases, *cols).join(components.withColumnRenamed("alias", "source"), "source")
+    each = found.groupBy(F.col("id").alias("product_id"), "section", "label").agg(F.min(F.struct("source", "value"))["value"].alias("value"))
+    return missing_labels(known, each)
 
 
 def missing_labels(known: DataFrame, proposed: DataFrame) -> DataFrame:
-    """Proposed (product_id, label, value) rows for labels that a product has not yet."""
-    return proposed.join(known.select("product_id", "label"), ["product_id", "label"], "left_anti")
+    """Proposed (product_id, section, label, value) rows for labels that a product has not yet in the section, without case and marks."""
+    key = lambda df: df.select("product_id", plain(F.col("section")).alias("_s"), plain(F.col("label")).alias("_l"))
+    marked = proposed.withColumns({"_s": plain(F.col("section")), "_l": plain(F.col("label"))})
+    return marked.join(key(known).distinct(), ["product_id", "_s", "_l"], "left_anti").select(*proposed.columns)
 
 
 def same_variant(target: Column, text: Column) -> Column:

@@ -103,3 +103,19 @@ _CMP = "max(CASE WHEN p_partkey = {0} THEN v END) AS p{0}"
 @query("WITH v AS (SELECT p_partkey, 'size' AS key, p_size::DOUBLE::VARCHAR AS v FROM part WHERE p_size <= 45 UNION ALL SELECT p_partkey, 'type', p_type FROM part WHERE p_type <> 'PROMO' UNION ALL SELECT p_partkey, 'brand', p_brand FROM part) SELECT key, " + ", ".join(_CMP.format(i) for i in (1, 2, 5, 8)) + " FROM v WHERE p_partkey IN (1, 2, 5, 8) GROUP BY key")
 def comparison_matrix(spark, sf_dir):
     return c.comparison(b.products(spark, sf_dir), b.spec_values(spark, sf_dir), [1, 2, 5, 8])
+
+
+_CHAIN = "SELECT DISTINCT o_custkey AS id, CASE WHEN o_custkey % 500 > 0 THEN o_custkey - 1 WHEN o_custkey % 1000 = 500 THEN o_custkey + 9 END AS parent_id FROM {}"
+
+
+@query(
+    f"""WITH RECURSIVE t AS ({_CHAIN.format("orders")}), up AS (
+        SELECT id, id AS ancestor_id, 0 AS distance FROM t UNION ALL
+        SELECT up.id, t.parent_id, distance + 1 FROM up JOIN t ON t.id = up.ancestor_id WHERE t.parent_id IS NOT NULL AND distance < 600)
+    SELECT id, min(ancestor_id) AS highest, max(distance) AS distance, count(*) AS n FROM (SELECT id, ancestor_id, min(distance) AS distance FROM up GROUP BY ALL) GROUP BY id"""
+)
+def category_closure(spark, sf_dir):
+    """Customers with orders as chains of up to 500 levels, broken where one has none; some chains end in a cycle."""
+    tree = spark.sql(_CHAIN.format("{o}"), o=b.table(spark, sf_dir, "orders"))
+    found = c.closure(tree).groupBy("id")
+    return found.agg(F.min("ancestor_id").alias("highest"), F.max("distance").alias("distance"), F.count(F.lit(1)).alias("n"))

@@ -38,17 +38,10 @@ def word_candidates(spark, sf_dir):
     return k.with_some_word(b.table(spark, sf_dir, "documents"), ["anne", "lich"], "text", "source").select("doc_id")
 
 
-_FLAT = "regexp_replace(upper(mpn), '[^A-Z0-9]+', '', 'g')"
-
-
-@query(
-    f"WITH {_P}, {_O}, m AS (SELECT o.offer_id, p.product_id, 0 AS strategy FROM (SELECT *, {_FLAT} AS f FROM o) o JOIN (SELECT *, {_FLAT} AS f FROM p) p ON o.f = p.f AND o.brand = lower(p.brand)), d AS (SELECT o.offer_id, p.product_id, 1 FROM o JOIN p ON o.model = lower(p.model) AND o.brand = lower(p.brand)), "
-    "u AS (SELECT * FROM m UNION ALL SELECT * FROM d), x AS (SELECT offer_id, product_id, min(strategy) AS strategy FROM u GROUP BY ALL) SELECT offer_id, product_id, strategy FROM x QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY strategy, product_id) <= 8"
-)
+@query()
 def model_candidates(spark, sf_dir):
-    """Candidates by part number and model; those by similar names, which SQL cannot score, are left out of the comparison by their strategy and held against brute force in the tests."""
-    found = k.model_candidates(_offers(spark, sf_dir), _products(spark, sf_dir))
-    return found.where("strategy < 2").select("offer_id", "product_id", "strategy")
+    """Candidates by part number, by model and by similar names; SQL has no such measure of names, the tests hold the result against brute force."""
+    return k.model_candidates(_offers(spark, sf_dir), _products(spark, sf_dir))
 
 
 @query("WITH t AS (SELECT o_custkey AS offer_id, list_sort(list_distinct(list(CAST(o_orderkey AS BIGINT)))) AS c FROM orders GROUP BY 1) SELECT offer_id, substr(sha256('{\"candidates\":[' || array_to_string(c, ',') || '],\"offer\":' || offer_id || '}'), 1, 32) AS cache_key FROM t")
@@ -86,16 +79,39 @@ def wanted_keys(spark, sf_dir):
     return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), k.wanted_keys(lits("weight", "type", "size", "brand"), present, asked).alias("keys"))
 
 
-@query("SELECT d.doc_id AS message_id, t.kind, t.term FROM documents d JOIN (VALUES ('word', 'die'), ('pair', 'of the'), ('pair', 'de la')) AS t(kind, term) ON contains(' ' || trim(regexp_replace(lower(coalesce(d.text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' ' || t.term || ' ')")
+_FOLDED = lambda c: f"replace(strip_accents(lower(coalesce({c}, ''))), 'ß', 'ss')"
+
+
+@query(
+    f"""WITH w AS (SELECT item_id, {_FOLDED("text")} AS t FROM benchmark), terms AS (
+        SELECT DISTINCT 'opening' AS kind, substr(t, 1, 12) AS term FROM w UNION SELECT 'word', regexp_extract(t, '[a-z]{{6,}}', 0) FROM w WHERE regexp_matches(t, '[a-z]{{6,}}'))
+    SELECT DISTINCT doc_id AS message_id, kind, term FROM documents JOIN terms ON contains({_FOLDED("text")}, term)"""
+)
 def message_mentions(spark, sf_dir):
-    terms = spark.sql("SELECT * FROM VALUES ('word', 'die'), ('pair', 'of the'), ('pair', 'de la') AS t(kind, term)")
-    return k.mentions(b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), "text"), terms)
+    """Documents that hold the opening, or the first word of six letters, of a benchmark item, inside words too."""
+    from lodestone.functions.text import unmarked
+
+    items = b.table(spark, sf_dir, "benchmark").select(unmarked(F.coalesce("text", F.lit(""))).alias("t"))
+    word = F.regexp_extract("t", "[a-z]{6,}", 0)
+    terms = items.select(F.lit("opening").alias("kind"), F.substring("t", 1, 12).alias("term")).unionByName(items.select(F.lit("word").alias("kind"), word.alias("term")))
+    return k.mentions(b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), "text"), terms.where("term <> ''").distinct())
+
 
+_MENTION = "CASE l_linenumber % 3 WHEN 0 THEN concat(split_part(p_name, ' ', 1), ' ', lower(p_type)) WHEN 1 THEN upper(p_name) ELSE concat('el ', p_name, ' ', p_size) END"
 
-@query("SELECT p_partkey AS message_id, p_name || CASE WHEN p_partkey % 4 = 0 THEN ' x' ELSE '' END AS term FROM part WHERE p_partkey % 4 = 0")
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT l_orderkey AS message_id, lower({_MENTION}) AS term FROM lineitem JOIN part ON p_partkey = l_partkey),
+    names AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_size > 45 UNION SELECT lower(p_brand) FROM part WHERE p_size > 45),
+    t AS (SELECT DISTINCT term FROM m), matched AS (SELECT DISTINCT term FROM t JOIN names ON contains(name, term) OR contains(term, name))
+    SELECT message_id, term FROM m WHERE term NOT IN (SELECT term FROM matched)"""
+)
 def unmatched_mentions(spark, sf_dir):
+    """What orders name, in three wordings, against a catalogue of the parts over size 45: absent are terms that hold no name and stand in none."""
     part = b.table(spark, sf_dir, "part")
-    return k.unmatched(part.select(F.col("p_partkey").alias("message_id"), F.expr("concat(p_name, CASE WHEN p_partkey % 4 = 0 THEN ' x' ELSE '' END)").alias("term")), b.products(spark, sf_dir))
+    lines = b.table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    said = lines.select(F.col("l_orderkey").alias("message_id"), F.expr(_MENTION).alias("term"))
+    return k.unmatched(said, b.products(spark, sf_dir).where("size > 45"))
 
 
 _CARD = "concat(p_brand, ' RTX ', CAST(4060 + 10 * (p_size % 3) AS STRING), CASE WHEN p_partkey % 2 = 0 THEN ' Ti' ELSE '' END, ' ', CAST(8 + p_size % 9 AS STRING), 'GB ', CAST(128 + 64 * (p_partkey % 3) AS STRING), '-bit')"

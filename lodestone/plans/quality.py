@@ -88,26 +88,47 @@ def verified_products(spark, sf_dir):
     return q.fully_verified(_states(spark, sf_dir).withColumn("product_id", F.floor(F.col("value_id") / 4)))
 
 
-_TRUST = "CASE {} WHEN " + " WHEN ".join(f"'{name}' THEN {rank}" for name, rank in q.SOURCE_PRIORITY.items()) + " ELSE 10 END"
+_RANK = "CASE WHEN {0}.status = 'verified' THEN 100 ELSE CASE {0}.source WHEN " + " WHEN ".join(f"'{name}' THEN {rank}" for name, rank in q.SOURCE_PRIORITY.items()) + " ELSE 10 END END"
+
+_INCOMING = """
+    SELECT user_id AS product_id, event_type AS definition_id, event_id AS seq,
+        CASE WHEN event_id % 3 = 0 THEN '{"boolean":' || CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 THEN 'true' ELSE 'false' END || '}'
+            ELSE '{"number":' || CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 || '.0,"unit":"GB"}' END AS value,
+        (['scraper', 'store', 'manufacturer', 'admin', 'unheard of'])[1 + event_id % 5] AS source, CASE WHEN value < 50 THEN 'shop ' || event_id % 2 END AS source_name,
+        CASE WHEN value > 60 THEN 'verified' WHEN value < 3 THEN 'review' ELSE 'auto' END AS status, event_id % 11 = 0 AS forced
+    FROM events
+"""
 
 
 @query(
-    "WITH RECURSIVE i AS (SELECT user_id AS product_id, event_type AS definition_id, event_id AS seq, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS VARCHAR) AS value, (['scraper', 'store', 'manufacturer', 'admin'])[1 + event_id % 4] AS source, coalesce(value > 60, false) AS verified, "
-    "row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events), "
-    "f AS (SELECT product_id, definition_id, n, seq, 'created' AS action, value, source, CASE WHEN verified THEN 'verified' ELSE 'auto' END AS verification, CASE WHEN verified THEN 'resolved' ELSE 'none' END AS conflict FROM i WHERE n = 1 UNION ALL "
-    "SELECT product_id, definition_id, n, seq, CASE o WHEN 0 THEN NULL WHEN 1 THEN 'source_updated' WHEN 2 THEN 'conflict_detected' ELSE 'value_changed' END, CASE WHEN o = 3 THEN value ELSE old_value END, CASE WHEN o IN (1, 3) THEN source ELSE old_source END, "
-    "CASE WHEN o IN (0, 2) THEN old_verification WHEN verified THEN 'verified' WHEN o = 1 THEN 'auto' ELSE 'review' END, CASE o WHEN 0 THEN old_conflict WHEN 1 THEN CASE WHEN verified THEN 'resolved' WHEN old_conflict = 'pending' THEN 'pending' ELSE 'none' END ELSE 'pending' END "
-    "FROM (SELECT i.*, f.value AS old_value, f.source AS old_source, f.verification AS old_verification, f.conflict AS old_conflict, CASE WHEN i.value IS NOT DISTINCT FROM f.value THEN "
-    f"CASE WHEN (i.source = f.source AND i.verified = (f.verification = 'verified')) OR ({_TRUST.format('i.source')} < {_TRUST.format('f.source')} AND NOT i.verified) THEN 0 ELSE 1 END "
-    f"WHEN (f.verification = 'verified' AND i.source <> 'admin') OR {_TRUST.format('i.source')} < {_TRUST.format('f.source')} THEN 2 ELSE 3 END AS o "
-    "FROM f JOIN i ON i.product_id = f.product_id AND i.definition_id = f.definition_id AND i.n = f.n + 1)) "
-    "SELECT product_id, definition_id, seq, action, value, source, verification, conflict FROM f WHERE action IS NOT NULL"
+    f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY product_id, definition_id ORDER BY seq) AS n FROM ({_INCOMING})),
+    f AS (
+        SELECT product_id, definition_id, n, seq, 'created' AS action, value, source, source_name, status, CASE WHEN status = 'verified' THEN 'resolved' ELSE 'none' END AS conflict FROM i WHERE n = 1
+        UNION ALL
+        SELECT product_id, definition_id, n, seq, CASE o WHEN 1 THEN 'source_updated' WHEN 2 THEN 'conflict_detected' WHEN 3 THEN 'value_changed' END,
+            CASE WHEN o = 3 THEN value ELSE old_value END, CASE WHEN o IN (1, 3) THEN source ELSE old_source END, CASE WHEN o IN (1, 3) THEN source_name ELSE old_name END,
+            CASE WHEN o IN (0, 2) THEN old_status WHEN o = 3 AND status <> 'verified' THEN 'review' ELSE status END,
+            CASE WHEN o = 0 THEN old_conflict WHEN o = 1 THEN CASE WHEN status = 'verified' THEN 'resolved' WHEN old_conflict = 'pending' THEN 'pending' ELSE 'none' END ELSE 'pending' END
+        FROM (
+            SELECT i.*, f.value AS old_value, f.source AS old_source, f.source_name AS old_name, f.status AS old_status, f.conflict AS old_conflict,
+                CASE WHEN i.value = f.value THEN CASE WHEN i.source = f.source AND i.source_name IS NOT DISTINCT FROM f.source_name AND i.status = f.status THEN 0
+                        WHEN i.forced OR {_RANK.format("i")} >= {_RANK.format("f")} THEN 1 ELSE 0 END
+                    WHEN (f.status = 'verified' AND i.source <> 'admin') OR {_RANK.format("i")} < {_RANK.format("f")} THEN 2 ELSE 3 END AS o
+            FROM f JOIN i ON i.product_id = f.product_id AND i.definition_id = f.definition_id AND i.n = f.n + 1))
+    SELECT product_id, definition_id, seq, action, value, source, source_name, status, conflict FROM f WHERE action IS NOT NULL"""
 )
 def spec_upsert_fold(spark, sf_dir):
-    """Events as incoming values of (user, event type)."""
-    source = F.element_at(F.array(*map(F.lit, ("scraper", "store", "manufacturer", "admin"))), (F.col("event_id") % 4 + 1).cast("int"))
-    incoming = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("product_id"), F.col("event_type").alias("definition_id"), F.col("event_id").alias("seq"), (F.get_json_object("props", "$.k").cast("int") % 5).cast("string").alias("value"), source.alias("source"), (F.col("value") > 60).alias("verified"))
-    return q.upsert_fold(incoming)
+    """Events as incoming values of (user, event type): numbers and booleans, from five sources, verified from 60 on."""
+    k, n = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    value = F.when(n % 3 == 0, q.snapshot(boolean=k % 2 == 0)).otherwise(q.snapshot(number=k % 5, unit=F.lit("GB")))
+    source = F.element_at(F.array(*map(F.lit, ("scraper", "store", "manufacturer", "admin", "unheard of"))), (n % 5 + 1).cast("int"))
+    incoming = b.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("product_id"), F.col("event_type").alias("definition_id"), n.alias("seq"), value.alias("_v"), source.alias("source"),
+        F.when(F.col("value") < 50, F.concat(F.lit("shop "), (n % 2).cast("string"))).alias("source_name"),
+        F.when(F.col("value") > 60, "verified").when(F.col("value") < 3, "review").otherwise("auto").alias("status"), (n % 11 == 0).alias("forced"),
+    )
+    found = q.upsert_fold(incoming.withColumnRenamed("_v", "value"))
+    return found.select("product_id", "definition_id", "seq", "action", "value", "source", "source_name", "status", "conflict")
 
 
 _EVIDENCE = "evidence AS (SELECT user_id || '/' || event_type AS claim, CASE WHEN value < 50 THEN CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR) END AS value, (['manufacturer', 'benchmark', 'web'])[1 + event_id % 3] AS source, ts FROM events)"

@@ -40,10 +40,33 @@ def spec_cross_validation(spark, sf_dir):
     return specs.cross_validated(lines, ["A", "R"])
 
 
-@query("WITH a AS (SELECT * FROM (VALUES ('red widget', 1), ('bolt', 2), ('blue', 3)) t(alias, source)) SELECT DISTINCT p_partkey AS id, source FROM part JOIN a ON contains(' ' || lower(p_name) || ' ', ' ' || alias || ' ')")
+_ALIASES = (("Red  Widget", 1), ("bolt", 2), ("BL", 3), ("ing", 4))
+
+
+@query("WITH a AS (SELECT * FROM (VALUES ('red widget', 1), ('bolt', 2), ('bl', 3), ('ing', 4)) t(alias, source)) SELECT DISTINCT p_partkey AS id, source FROM part JOIN a ON contains(lower(p_name), alias)")
 def alias_join(spark, sf_dir):
-    aliases = spark.createDataFrame([("Red  Widget", 1), ("bolt", 2), ("blue", 3)], "alias string, source int")
-    return specs.by_alias(b.products(spark, sf_dir), aliases)
+    """Aliases inside words count, too."""
+    return specs.by_alias(b.products(spark, sf_dir), spark.createDataFrame(_ALIASES, "alias string, source int"))
+
+
+_COMPONENTS = "SELECT lower(n_name) AS alias, 'origin' AS section, 'region ' || n_regionkey % 2 AS label, n_name || ' ' || n_regionkey AS value FROM nation UNION ALL SELECT lower(r_name), 'origin', 'continent', r_name FROM region UNION ALL SELECT substr(lower(n_name), 1, 2), 'hint', 'start', n_name FROM nation"
+
+
+@query(
+    f"""WITH c AS ({_COMPONENTS}), t AS (SELECT doc_id AS product_id, lower(strip_accents(regexp_replace(coalesce(text, ''), '[^A-Za-zÀ-ÿ0-9]+', ' ', 'g'))) AS said, lang FROM documents),
+    found AS (SELECT DISTINCT product_id, section, label, alias, value FROM t JOIN c ON contains(said, alias)),
+    first AS (SELECT product_id, section, label, arg_min(value, (alias, value)) AS value FROM found GROUP BY ALL)
+    SELECT first.* FROM first JOIN documents d ON d.doc_id = product_id WHERE NOT (section = 'hint' AND d.lang = 'de')"""
+)
+def component_enrichment(spark, sf_dir):
+    """Names of nations and regions, and their first two letters, as components that a document's text may name; German documents have the hint already."""
+    nation, region = b.table(spark, sf_dir, "nation"), b.table(spark, sf_dir, "region")
+    parts = nation.select(F.lower("n_name").alias("alias"), F.lit("origin").alias("section"), F.concat(F.lit("region "), F.col("n_regionkey") % 2).alias("label"), F.concat_ws(" ", "n_name", "n_regionkey").alias("value"))
+    parts = parts.unionByName(region.select(F.lower("r_name").alias("alias"), F.lit("origin").alias("section"), F.lit("continent").alias("label"), F.col("r_name").alias("value")))
+    parts = parts.unionByName(nation.select(F.substring(F.lower("n_name"), 1, 2).alias("alias"), F.lit("hint").alias("section"), F.lit("start").alias("label"), F.col("n_name").alias("value")))
+    docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    known = docs.where("lang = 'de'").select(F.col("id").alias("product_id"), F.lit("Hint").alias("section"), F.lit("START").alias("label"))
+    return specs.enriched(docs, parts, known, "text")
 
 
 _TOPIC = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{m}')" for m in marks) + f" THEN '{name}' END" for name, marks, _, _ in research.TOPICS) + "], lambda x: x IS NOT NULL)"

@@ -126,10 +126,39 @@ def test_chunks(spark):
     assert one(spark, lambda c: retrieval.chunks(c, F.lit(900), F.lit(120)), None) == []
 
 
+def fold_of(spark, rows):
+    """(value, source, status, forced[, name]) in order -> (action, value, source, status, conflict)."""
+    full = [(1, "ram", i, v, s, st, f, *(more or [None])) for i, (v, s, st, f, *more) in enumerate(rows)]
+    df = spark.createDataFrame(full, "product_id long, definition_id string, seq long, value string, source string, status string, forced boolean, source_name string")
+    return [(r["seq"], r["action"], r["value"], r["status"], r["conflict"]) for r in quality.upsert_fold(df).orderBy("seq").collect()]
+
+
 def test_spec_fold(spark):
-    rows = [(1, "ram", 1, "8", "scraper", False), (1, "ram", 2, "8", "scraper", False), (1, "ram", 3, "16", "manufacturer", False), (1, "ram", 4, "8", "scraper", False), (1, "ram", 5, "16", "admin", True), (1, "ram", 6, "32", "manufacturer", False)]
-    out = quality.upsert_fold(spark.createDataFrame(rows, "product_id long, definition_id string, seq long, value string, source string, verified boolean")).orderBy("seq").collect()
-    assert [(r["seq"], r["action"], r["value"], r["verification"], r["conflict"]) for r in out] == [(1, "created", "8", "auto", "none"), (3, "value_changed", "16", "review", "pending"), (4, "conflict_detected", "16", "review", "pending"), (5, "source_updated", "16", "verified", "resolved"), (6, "conflict_detected", "16", "verified", "pending")]
+    rows = [("8", "scraper", "auto", False), ("8", "scraper", "auto", False), ("16", "manufacturer", "auto", False), ("8", "scraper", "auto", False), ("16", "admin", "verified", False), ("32", "manufacturer", "auto", False)]
+    assert fold_of(spark, rows) == [(0, "created", "8", "auto", "none"), (2, "value_changed", "16", "review", "pending"), (3, "conflict_detected", "16", "review", "pending"), (4, "source_updated", "16", "verified", "resolved"), (5, "conflict_detected", "16", "verified", "pending")]
+
+
+def test_spec_fold_keeps_what_is_verified(spark):
+    """The same value from a lesser source leaves a verified one as it is; a forced one does not; another one is a conflict, but an administrator's changes it."""
+    start = ("a", "scraper", "verified", False)
+    assert fold_of(spark, [start, ("a", "manufacturer", "auto", False), ("b", "manufacturer", "auto", False)]) == [(0, "created", "a", "verified", "resolved"), (2, "conflict_detected", "a", "verified", "pending")]
+    assert fold_of(spark, [start, ("a", "ai", "auto", True)])[1] == (1, "source_updated", "a", "auto", "none")
+    assert fold_of(spark, [start, ("b", "store", "verified", False)])[1][1:3] == ("conflict_detected", "a")
+    assert fold_of(spark, [start, ("b", "admin", "auto", False)])[1] == (1, "value_changed", "b", "review", "pending")
+
+
+def test_spec_fold_statuses_and_sources(spark):
+    """A repeat after a change returns the state to auto; another name of the same kind of source is another source."""
+    rows = [("8", "ai", "auto", False), ("16", "manufacturer", "auto", False), ("16", "manufacturer", "auto", False)]
+    assert fold_of(spark, rows)[1:] == [(1, "value_changed", "16", "review", "pending"), (2, "source_updated", "16", "auto", "pending")]
+    assert [x[1] for x in fold_of(spark, [("8", "store", "auto", False, "a"), ("8", "store", "auto", False, "b"), ("8", "store", "auto", False, "b"), ("8", "ai", "auto", False, "b")])] == ["created", "source_updated"]
+    kinds = spark.range(1).select(
+        quality.snapshot(number=F.lit(16), unit=F.lit("GB")) == quality.snapshot(number=F.lit(16.0), unit=F.lit("GB")),
+        quality.snapshot(number=F.lit(16)) == quality.snapshot(text=F.lit("16")),
+        quality.snapshot(json=F.lit('{"b": 1, "a": [2]}')) == quality.snapshot(json=F.lit('{"a":[2],"b":1}')),
+        quality.snapshot(boolean=F.lit(True)),
+    )
+    assert tuple(kinds.first()) == (True, False, True, '{"boolean":true}')
 
 
 def test_evidence(spark):
