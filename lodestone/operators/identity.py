@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import brand_key, gtin, model_key, mpn_forms, sku_key
 from lodestone.operators.names import similar_names
+from lodestone.tables import written
 
 #: Strategies in the order they are asked, with their confidence.
 LADDER = (("gtin", 1.0), ("mpn_brand", 0.95), ("manufacturer_sku", 0.9), ("brand_model", 0.85))
@@ -83,7 +84,7 @@ def candidates(offers: DataFrame, products: DataFrame, *, least: float = MEDIUM,
 def match_or_similar(offers: DataFrame, products: DataFrame, *, least: float = MEDIUM, top: int = 5) -> DataFrame:
     """The whole ladder: match(), and for offers that no key finds the similar names as a last rung. That one is never sure:
     the offer is ambiguous, with the strategy and score of its best candidate and the ids of all."""
-    keyed_ = match(offers, products)
+    keyed_ = written(match(offers, products), "keyed-matches")
     open_ = offers.join(keyed_.where("status = 'NO_MATCH'").select("offer_id"), "offer_id", "left_semi")
     found = candidates(open_, products, least=least, top=top)
     lists = found.groupBy("offer_id").agg(

@@ -3,7 +3,7 @@
 The measure is the share of characters in matching blocks (difflib's ratio). With M matched characters of names of n and m, the
 ratio is 2 M / (n + m); a name loses at most two of its bigrams for each character that is not matched, and one for each of the
 other's, so at least 3 M - n - m - 1 bigrams are common. That bound makes a prefix filter: of a name's bigrams, the rarest first,
-so few are looked at that a partner must share one of them, at places that leave enough for the rest. Names or
+so few are looked at that a partner must share some of them, as many as the rest cannot make up for. Names or
 thresholds too small for bigrams use single characters, of which at least M are common.
 """
 
@@ -76,14 +76,18 @@ def possible_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame
         met = side(ls, "a", "n", "p").join(side(rs, "b", "m", "q"), ["group", "gram"]).where(wanted)
         total = F.col("n") + F.col("m")
         met = met.where(2 * F.least("n", "m") >= least * total - 1e-9)
-        left_over = 1 + F.least(F.col("n") - (size - 1) - F.col("p"), F.col("m") - (size - 1) - F.col("q"))
-        met = met.where(left_over >= _in_common(total, least, size)).select("group", "a", "b")
+        # Of the common grams, those that are not in both prefixes are in the rest of the one whose prefix ends first.
+        rest = lambda n: F.greatest(_in_common(F.col(n) + F.ceil(F.col(n) / ratio - 1e-9), least, size), F.lit(1)) - 1  # noqa: E731, B023
+        shared = met.groupBy("group", "a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
+        met = shared.withColumn("enough", F.col("k") + F.greatest(rest("n"), rest("m")) >= _in_common(total, least, size))
         out = met if out is None else out.unionByName(met)
-    pairs = out.distinct().withColumns({"l": _letters("a"), "r": _letters("b"), "n": F.length("a"), "m": F.length("b")})
+    # Letters are counted only for pairs with enough grams in common: as a filter of its own, Spark would ask it of every pair that met.
+    l, r = _letters("a"), _letters("b")  # noqa: E741
     total = lambda counts: F.aggregate(counts, F.lit(0), lambda x, y: x + y)
-    others = F.least(F.col("n") - total(F.col("l")), F.col("m") - total(F.col("r")))
-    common = total(F.zip_with("l", "r", lambda x, y: F.least(x, y))) + others
-    return pairs.where(2 * common >= least * (F.col("n") + F.col("m")) - 1e-9).select("group", "a", "b")
+    others = F.least(F.col("n") - total(l), F.col("m") - total(r))
+    common = total(F.zip_with(l, r, lambda x, y: F.least(x, y))) + others
+    possible = F.when(F.col("enough"), 2 * common >= least * (F.col("n") + F.col("m")) - 1e-9).otherwise(False)
+    return out.where(possible).select("group", "a", "b").distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
