@@ -142,23 +142,26 @@ def memory_search(memories: DataFrame, words: list[str], as_of: Column, k: int)
     return memories.where(likeness >= 0.12).withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("user_id", "memory_id", "score", "rank")
 
 
-def nearest(vectors: DataFrame, asked: Column, k: int, least: float, *, block: int = 8192, queries: int = 1024) -> DataFrame:
-    """The k vectors (vec_id, embedding) of the greatest cosine, ``least`` or more, for each row that the condition ``asked`` holds for, the row itself too: query_id, rank, vec_id, score."""
-    return nearest_to(vectors, vectors.where(asked).select(F.col("vec_id").alias("query_id"), "embedding"), k, least, block=block, queries=queries)
+def nearest(vectors: DataFrame, asked: Column, k: int, least: float, *, within: str | None = None, block: int = 8192, queries: int = 1024) -> DataFrame:
+    """The k vectors (vec_id, embedding) of the greatest cosine, ``least`` or more, for each row that the condition ``asked`` holds for, the row
+    itself too: query_id, rank, vec_id, score. With ``within`` only vectors that have the query's value in that column."""
+    also = [within] if within else []
+    return nearest_to(vectors, vectors.where(asked).select(F.col("vec_id").alias("query_id"), "embedding", *also), k, least, within=within, block=block, queries=queries)
 
 
-def nearest_to(vectors: DataFrame, asked: DataFrame, k: int, least: float, *, many: int | None = None, block: int = 8192, queries: int = 1024) -> DataFrame:
+def nearest_to(vectors: DataFrame, asked: DataFrame, k: int, least: float, *, many: int | None = None, within: str | None = None, block: int = 8192, queries: int = 1024) -> DataFrame:
     """The k vectors (vec_id, embedding) of the greatest cosine, ``least`` or more, for each row of asked (query_id, embedding): query_id, rank, vec_id, score.
 
     Every block of queries meets every block of vectors and keeps its k best; ties go to the smaller id. Null vectors, those with null or
-    NaN components and zero vectors take no part; vectors of other lengths do not meet. ``many`` is how many vectors there are at most,
+    NaN components and zero vectors take no part; vectors of other lengths, or of another value of ``within``, do not meet. ``many`` is how many vectors there are at most,
     where that is known without counting them.
     """
     import numpy as np
 
     def sound(df: DataFrame, name: str) -> DataFrame:
         good = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v))
-        return df.where(good).select(name, F.col("embedding").cast("array<double>").alias("vec"), F.size("embedding").alias("dims"))
+        group = F.concat_ws("/", F.size("embedding"), F.to_json(F.struct(F.col(within)))) if within else F.size("embedding").cast("string")
+        return df.where(good).select(name, F.col("embedding").cast("array<double>").alias("vec"), group.alias("dims"))
 
     rows, wanted = sound(vectors, "vec_id"), sound(asked, "query_id")
     n, m = rows.count() if many is None else many, wanted.count()
@@ -174,14 +177,43 @@ def nearest_to(vectors: DataFrame, asked: DataFrame, k: int, least: float, *, ma
             some = some.sort_values("vec_id")
             ids, x = some["vec_id"].to_numpy(np.int64), np.stack(some["vec"].to_numpy())
             norms = np.sqrt((x * x).sum(axis=1))
-            for name, q in zip(own["query_id"], own["query"], strict=True):
-                both = norms * np.sqrt((q * q).sum())
-                scores = np.divide((x * q).sum(axis=1), both, out=np.full(len(x), -2.0), where=both > 0)
-                top = np.argsort(-scores, kind="stable")[:k]
-                top = top[scores[top] >= least]
-                out.append(pd.DataFrame({"query_id": np.full(len(top), name, np.int64), "vec_id": ids[top], "score": scores[top]}))
+            for at in range(0, len(own), 128):
+                names, qs = own["query_id"].to_numpy(np.int64)[at : at + 128], np.stack(own["query"].to_numpy()[at : at + 128])
+                both = norms[None, :] * np.sqrt((qs * qs).sum(axis=1))[:, None]
+                rough = np.divide(qs @ x.T, both, out=np.full(both.shape, -2.0), where=both > 0)
+                # A matrix product adds in an order of its own: what it finds, and what is as near as rounding, is summed again row by row.
+                last = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(names), -1.5)
+                row, col = np.nonzero(rough >= np.maximum(last, least)[:, None] - 1e-9)
+                scores = (x[col] * qs[row]).sum(axis=1) / both[row, col]
+                order = np.lexsort((ids[col], -scores, row))
+                row, col, scores = row[order], col[order], scores[order]
+                sizes = np.bincount(row, minlength=len(names))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                kept = (place < k) & (scores >= least)
+                out.append(pd.DataFrame({"query_id": names[row[kept]], "vec_id": ids[col[kept]], "score": scores[kept]}))
         return pd.concat(out[1:] or out)
 
     found = left.groupBy("dims", "i", "j").cogroup(right.groupBy("_dims", "_i", "_j")).applyInPandas(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def sparse_nearest(sums: DataFrame, asked: DataFrame, k: int, least: float) -> DataFrame:
+    """The same for few queries and vectors as rows of their components other than zero: sums (vec_id, bucket, v), asked (query_id, bucket, v).
+
+    Components meet in a join on the bucket and are added up per vector; only vectors that share a bucket with a query can have a
+    cosine over zero, so ``least`` is to be positive. Vectors are never made dense nor copied to blocks of queries.
+    """
+    own = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"))
+    wanted = asked.groupBy("bucket").agg(F.lit(True).alias("_asked"))  # as many as there are buckets
+    # One pass over the components: each vector's norm, and those of its components that some query has.
+    marked = sums.join(F.broadcast(wanted), "bucket", "left")
+    some = F.collect_list(F.when(F.col("_asked"), F.struct("bucket", "v"))).alias("some")
+    per = marked.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), some)
+    met = per.select("vec_id", "norm", F.explode("some").alias("x")).select("vec_id", "norm", "x.bucket", "x.v")
+    met = met.join(asked.select("query_id", "bucket", F.col("v").alias("q")), "bucket")
+    dots = met.groupBy("query_id", "vec_id", "norm").agg(F.sum(F.col("v") * F.col("q")).alias("dot")).where("dot > 0")
+    scored = dots.join(own, "query_id").withColumn("score", F.col("dot") / (F.col("norm") * F.col("_norm")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = scored.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")

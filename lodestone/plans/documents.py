@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import bindings as b
 from lodestone.functions import text as t
 from lodestone.functions import urls as u
-from lodestone.functions.vectors import hash_rows, hash_vectors
+from lodestone.functions.vectors import hash_rows, hash_sums, hash_vectors
 from lodestone.operators import ingest
 from lodestone.operators import retrieval as r
 from lodestone.registry import query
@@ -99,10 +99,14 @@ def hash_embedding(spark, sf_dir):
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-@query(f"WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (0, 7, 42)), s AS (SELECT q.query_id, e.vec_id, {_COS} AS score FROM q, embeddings e), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s WHERE score >= 0.05) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+_NEAR = f"WITH q AS (SELECT vec_id AS query_id, label AS own, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.query_id, e.vec_id, {_COS} AS score FROM q JOIN embeddings e ON e.label = q.own), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s WHERE score >= 0.05) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10"
+
+
+@query(_NEAR)
 def vector_topk(spark, sf_dir):
-    """Three stated queries against all vectors."""
-    return r.nearest(b.table(spark, sf_dir, "embeddings"), F.col("vec_id").isin(0, 7, 42), 10, 0.05).withColumn("score", F.round("score", 6))
+    """Every row whose id is divisible by 50 against all vectors of its own label: a filtered search."""
+    rows = b.table(spark, sf_dir, "embeddings")
+    return r.nearest(rows, F.col("vec_id") % 50 == 0, 10, 0.05, within="label").withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.query_id, e.vec_id, {_COS} AS score FROM q, embeddings e), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s WHERE score >= 0.05) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
@@ -145,9 +149,9 @@ def hybrid_rerank(spark, sf_dir):
     """Two pools, by keywords and by the hash vectors of documents and query, merged and ranked by the weighted sum."""
     docs = b.table(spark, sf_dir, "documents")
     keyword = r.keyword_search(_as_chunks(spark, sf_dir).withColumns({"title": F.lit(""), "identity": F.lit("")}), " ".join(_VOCAB), 60)
-    asked = hash_vectors(spark.createDataFrame([(0, w) for w in _VOCAB], "query_id long, token string"), "query_id")
-    vectors = _hashed(spark, sf_dir, "documents", "doc_id").withColumnRenamed("doc_id", "vec_id")
-    vector = r.nearest_to(vectors, asked, 60, 0.05, many=docs.count()).select(F.col("vec_id").alias("chunk_id"), F.round("score", 4).alias("score"))
+    asked = hash_sums(spark.createDataFrame([(0, w) for w in _VOCAB], "query_id long, token string"), "query_id")
+    sums = hash_sums(docs.select(F.col("doc_id").alias("vec_id"), F.explode(t.tokens(F.col("text"))).alias("token")), "vec_id")
+    vector = r.sparse_nearest(sums, asked, 60, 0.05).select(F.col("vec_id").alias("chunk_id"), F.round("score", 4).alias("score"))
     both = r.merged(keyword, vector).join(docs.select("doc_id", "lang"), F.col("chunk_id") == F.col("doc_id"))
     score = r.fused_score(F.col("semantic"), F.col("keyword"), F.when(F.col("lang") == "en", 1.0).otherwise(0.0), F.lit(0.5), r.recency(F.lit(None).cast("double")))
     return both.withColumn("score", score).orderBy(F.desc("score"), "chunk_id").limit(30).select("chunk_id", "keyword", "semantic", "method", "score")
