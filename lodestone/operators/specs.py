@@ -9,7 +9,7 @@ from lodestone.functions.text import unmarked
 from lodestone.operators.substrings import held
 
 # Spellings of units with their factor, kinds of memory, and names of resolutions, in the order they are looked for.
-UNITS = {"GB": (("gb|gbyte|gigabytes?", 1), ("tb|terabytes?", 1024)), "MHz": (("mhz|mt/s", 1),), "Hz": (("hz", 1),), "W": (("w", 1),), "Wh": (("wh", 1),), "MP": (("mp|megapixels?", 1),), "g": (("g|gr|gramos", 1),)}
+UNITS = {"GB": (("gb|gbyte|gigabytes?", 1), ("tb|terabytes?", 1024)), "MHz": (("mhz|mt/s", 1),), "Hz": (("hz", 1),), "W": (("w", 1),), "Wh": (("wh", 1),), "MP": (("mp|megapixels?", 1),), "g": (("g|gr|gramos", 1),), '"': (("\"|''|pulgadas?|inch(?:es)?|in", 1),)}
 MEMORY = ("LPDDR5X", "LPDDR5", "DDR5", "LPDDR4X", "LPDDR4", "DDR4", "DDR3")
 RESOLUTIONS = (("fhd", "1920 × 1080"), ("full hd", "1920 × 1080"), ("hd", "1366 × 768"), ("wuxga", "1920 × 1200"))
 HINT_UNITS = {"tb": ("gb", 1024), "pulgadas": ('"', 1), "inch": ('"', 1), "'": ('"', 1)}
@@ -30,7 +30,7 @@ def number_in(col: Column, unit: str | None) -> Column:
     read = lambda pattern: F.replace(F.regexp_extract(col, pattern, 1), F.lit(","), F.lit(".")).try_cast("double")
     if unit is None:
         return read(number)
-    return F.coalesce(*[read(rf"{number}\s*(?:{spelling})\b") * F.lit(float(factor)) for spelling, factor in UNITS[unit]])
+    return F.coalesce(*[read(rf"{number}\s*(?:{spelling})(?![a-z0-9])") * F.lit(float(factor)) for spelling, factor in UNITS[unit]])
 
 
 def yes_no(col: Column) -> Column:

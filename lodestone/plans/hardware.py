@@ -62,11 +62,10 @@ def sheet_video_outputs(spark, sf_dir):
     return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), hdmi["version"].alias("hdmi"), display["version"].alias("displayport"), hdmi["count"].alias("count"))
 
 
-_FAN_NAME = "regexp_extract(p, '" + h.FAN + "', 1)"
-_FAN_OWN = "trim(regexp_replace(p, '(?:\\b[0-9]+\\s*x\\b|\\b[0-9]+\\s*-?\\s*pin\\b|\\b[0-9]+\\b)\\s*', '', 'g'))"
+_FAN_OWN = "array_to_string(list_filter(string_split(p, ' '), lambda w: NOT regexp_matches(w, '^[0-9]*(x|-?pins?)?$')), ' ')"
 
 
-@query(_ITEMS.format(_FANS, "coalesce(CASE " + " ".join(f"WHEN regexp_matches({_FAN_NAME}, '{r}') THEN '{n}'" for r, n in h.FANS) + f" END, nullif({_FAN_OWN}, ''), p) AS name, {_COUNT}"))
+@query(_ITEMS.format(_FANS, "coalesce(CASE WHEN NOT regexp_matches(p, 'fan|pump|\\bopt\\b') THEN NULL " + " ".join(f"WHEN regexp_matches(p, '{r}') THEN '{n}'" for r, n in h.FANS) + f" END, nullif({_FAN_OWN}, ''), p) AS name, {_COUNT}"))
 def sheet_fan_headers(spark, sf_dir):
     return _items(spark, sf_dir, _FANS, h.fan_headers, "name", "count")
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.ingest import run_status
+from lodestone.sources.ledger import Ledger
 
 
 def append(df: DataFrame, path: str, *by: str) -> None:
@@ -16,20 +15,16 @@ def append(df: DataFrame, path: str, *by: str) -> None:
 
 
 class Snapshots:
-    """A table without a transaction log: each version is a folder of its own, and a one-row table of versions says which counts."""
+    """A table of which the last version counts, by its number in a ledger."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self._ledger = Ledger(spark, path)
 
-    def write(self, df: DataFrame) -> str:
-        at = f"{self.path}/v-{uuid.uuid4().hex}"
-        df.write.parquet(at)
-        self.spark.createDataFrame([(at,)], "at string").withColumn("written", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/versions")
-        return at
+    def write(self, df: DataFrame) -> int:
+        return self._ledger.write(df)
 
     def read(self) -> DataFrame:
-        last = self.spark.read.parquet(f"{self.path}/versions").orderBy(F.desc("written"), "at").first()  # one row
-        return self.spark.read.parquet(last["at"])
+        return self._ledger.read()
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -34,9 +34,10 @@ def price_changes(observations: DataFrame) -> DataFrame:
 
 
 def fired_alerts(observations: DataFrame, targets: DataFrame) -> DataFrame:
-    """A stream of observations against a table of targets: each alert once. The time of the stream bounds the state."""
-    hits = observations.join(targets, "product_id").where("price <= target")
-    return hits.dropDuplicatesWithinWatermark(["alert_id"]) if observations.isStreaming else hits.dropDuplicates(["alert_id"])
+    """A table of observations against a table of targets: each alert that has fired, with one of its prices. For streams, and alerts that are armed again, there is stateful.fired_once."""
+    if observations.isStreaming:
+        raise ValueError("a stream needs state for its alerts: use stateful.fired_once")
+    return observations.join(targets, "product_id").where("price <= target").dropDuplicates(["alert_id"])
 
 
 def tumbling(events: DataFrame, size: str, late: str | None = None) -> DataFrame:
