@@ -107,8 +107,8 @@ _ONE, _PLAIN, _SEVERAL = _unmarked()
 
 def unmarked(col: Column) -> Column:
     """Lower case, without marks; ligatures, full-width letters and their like as plain letters."""
-    low = F.regexp_replace(F.translate(F.lower(col), _ONE, _PLAIN), r"\p{Mn}+", "")
-    parts = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
+    low = F.regexp_replace(F.translate(F.lower(col), _ONE, _PLAIN), r"\p{Mn}", "")
+    parts = F.str_to_map(F.lit(" ".join(f"{c}={plain}" for c, plain in _SEVERAL.items())), F.lit(" "), F.lit("="))
     spelt = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(parts[c], c)), "")
     return F.when(low.rlike(f"[{''.join(_SEVERAL)}]"), spelt).otherwise(low)
 
