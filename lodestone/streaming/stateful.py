@@ -71,7 +71,9 @@ def discover(stream: DataFrame, path: str, checkpoint: str, *, most: int = 0, tt
         found = batch
         if most:
             before = collected(spark, path).where(F.col("batch") < n).count()
-            found = batch.orderBy("normal").limit(max(0, most - before))
+            room = max(0, most - before)
+            # Without room the batch is computed all the same, as its state has to be committed: a limit of zero would be optimised away.
+            found = batch.orderBy("normal").limit(max(1, room)).where(F.monotonically_increasing_id() < room)
         found.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={n}")
 
     query = (
