@@ -173,6 +173,23 @@ def numbers_with_units(col: Column) -> Column:
     return F.transform(F.arrays_zip(values.alias("v"), units.alias("u")), lambda p: F.struct(F.regexp_replace(p["v"], ",", ".").cast("double").alias("value"), p["u"].alias("unit")))
 
 
+# Spellings of units.
+UNIT_NAMES = {
+    "gigabyte": "gb", "gigabytes": "gb", "gigas": "gb", "gigs": "gb", "megabyte": "mb", "megabytes": "mb",
+    "gigahertz": "ghz", "megahertz": "mhz", "hertz": "hz", "watt": "w", "watts": "w", "mah": "mah", "volts": "v",
+}
+
+
+def quantities(col: Column) -> Column:
+    """The different (value, unit) pairs of a text, without case and marks: any letters after a number are its unit, in one spelling. Null texts have none."""
+    said = unmarked(F.coalesce(col, F.lit("")))
+    pattern = F.lit("([0-9]+(?:[.,][0-9]+)?)\\s*([a-z%\"']+)")
+    values, units = (F.regexp_extract_all(said, pattern, F.lit(i)) for i in (1, 2))
+    spelling = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
+    one = lambda v, u: F.struct(F.replace(v, F.lit(","), F.lit(".")).cast("double").alias("value"), F.coalesce(spelling[u], u).alias("unit"))
+    return F.array_distinct(F.zip_with(values, units, one))
+
+
 def tokens(col: Column) -> Column:
     """Different words of letters a-z and digits, in order."""
     return F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9]+"), F.lit(0)))
