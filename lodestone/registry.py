@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lodestone.plans import advice, browse, catalog, claims, dialog, documents, entities, hardware, identity, knowledge, market, prices, quality, streams, upkeep  # noqa: E402, F401
+from lodestone.plans import advice, browse, catalog, claims, dialog, documents, entities, hardware, identity, knowledge, market, prices, quality, sources, streams, upkeep  # noqa: E402, F401
