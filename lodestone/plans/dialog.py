@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import bindings as b
 from lodestone.operators import dialog as d
+from lodestone.operators import intents as it
 from lodestone.operators import retrieval as r
 from lodestone.registry import query
 
@@ -86,3 +87,33 @@ def memory_topk(spark, sf_dir):
     as_of = F.expr("timestamp'2024-02-01 00:00:00'")
     memories = b.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("user_id"), F.col("turn").alias("memory_id"), F.col("text").alias("content"), (1 + F.col("turn") % 5).alias("importance"), F.timestamp_add("DAY", -F.col("turn").cast("int"), as_of).alias("created_at"))
     return r.memory_search(memories, ["the", "tion", "and"], as_of, 4)
+
+
+_ASKED = ("por que ese?", "cual es mejor?", "y el precio?", "que tiene?", "compara los dos", "vale la pena ese", "necesito algo", "el asus es mejor o el dell", "hola", "todos por favor")
+_TURN = "lower(trim((" + str(list(_ASKED)) + ")[1 + length(text) % 10] || ' ' || text))"
+_ANY = lambda phrases: "(" + " OR ".join(f"contains(t, '{p}')" for p in phrases) + ")"
+_MEANS = {name: _ANY(phrases) for name, phrases in d.INTENTS}
+_PAIR = f"(contains(t, '{it.BETTER}') AND {_ANY(it.BETWEEN)})"
+_FOLLOWED = " ".join(f"WHEN {_ANY(phrases)}{' OR ' + _PAIR if name == 'compare' else ''} THEN '{name}'" for name, phrases in it.FOLLOWED)
+_FIRST = " ".join(
+    f"WHEN {test}{' OR ' + _PAIR if name == 'compare' else ''}{f' OR list_has_any(w, {list(it.SEARCH_WORDS)})' if name == 'search' else ''} THEN '{name}'" for name, test in _MEANS.items()
+)
+
+
+@query(
+    f"""WITH a AS (SELECT *, coalesce(last_value(CASE WHEN role = 'assistant' THEN length(text) % 4 END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS n FROM conversations),
+    u AS (SELECT conv_id, turn, n, {_TURN} AS s, translate({_TURN}, 'áéíóúüñ', 'aeiouun') AS t FROM a WHERE role = 'user' AND text IS NOT NULL AND NOT regexp_matches(text, '[0-9]')), w AS (SELECT *, regexp_split_to_array(s, '\\s+') AS w FROM u),
+    r AS (SELECT *, n > 0 AND (regexp_matches(s, 'las dos|los dos|ambas|ambos|esas dos|eses dos|ese par|todos|todas|^(ese|esa|aquel)') OR {_ANY(it.FOLLOWS)}
+        OR {" OR ".join(f"(n > {i} AND regexp_matches(s, '\\b{word}\\b'))" for word, i in d.ORDINALS)}) AS follows FROM w)
+    SELECT conv_id, turn, CASE WHEN follows THEN CASE {_FOLLOWED} ELSE 'follow_up' END ELSE CASE {_FIRST} ELSE 'general_question' END END AS intent FROM r"""
+)
+def intents_in_context(spark, sf_dir):
+    """User turns without digits, behind a phrase chosen by their length, about as many products as the last answer's length modulo 4."""
+    turns = b.table(spark, sf_dir, "conversations")
+    about = d.carried(turns, F.length("text") % 4)
+    n = F.coalesce("active", F.lit(0))
+    active = F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), n.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    phrase = F.element_at(F.array(*map(F.lit, _ASKED)), (F.length("text") % len(_ASKED) + 1).cast("int"))
+    asked = about.where("role = 'user' and text is not null and not text rlike '[0-9]'")
+    found = it.intent_in_context(F.concat_ws(" ", phrase, "text"), active, F.lit(False))
+    return asked.select("conv_id", "turn", found["intent"].alias("intent"))
