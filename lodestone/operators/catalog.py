@@ -35,6 +35,7 @@ def closure(tree: DataFrame) -> DataFrame:
 
     Pointer doubling: a round looks twice as far as the last, so a chain of a thousand takes ten. Cycles add no new pairs once they
     have been walked around, and the rounds end when a round adds none. Each round's pairs are written to the shared folder.
+    A parent without a row of its own is above its children at every distance; nothing is above it.
     """
     ids = tree.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance")).distinct()
     jump = tree.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor_id")).distinct()
@@ -46,8 +47,10 @@ def closure(tree: DataFrame) -> DataFrame:
         jump = written(jump.join(over, F.col("ancestor_id") == F.col("_from")).select("id", F.col("_over").alias("ancestor_id")).distinct(), "jumps")
         step *= 2
         far = jump.select(F.col("id").alias("_id"), F.col("ancestor_id").alias("_over"))
+        # Where a jump lands counts by itself: a parent that has no row is nowhere in ``reach`` as an id.
+        landed = far.select(F.col("_id").alias("id"), F.col("_over").alias("ancestor_id"), F.lit(step).alias("distance"))
         beyond = far.join(reach, F.col("_over") == F.col("id")).select(F.col("_id").alias("id"), "ancestor_id", (F.col("distance") + step).alias("distance"))
-        wider = written(nearest(reach.unionByName(beyond)), "closure")
+        wider = written(nearest(reach.unionByName(landed).unionByName(beyond)), "closure")
         m = wider.count()
         if m == n:
             return wider
