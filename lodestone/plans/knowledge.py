@@ -193,7 +193,7 @@ def offer_failures(spark, sf_dir):
 
 
 _GROUND = "SELECT doc_id, 'k' || CAST(doc_id % 4 AS STRING) AS key, substr(coalesce(text, ''), 5, 12) AS value, CASE WHEN doc_id % 2 = 0 THEN 'zzz unheard' ELSE substr(coalesce(text, ''), 1, 30) END AS evidence, CASE WHEN doc_id % 3 = 0 THEN 'nothing here' ELSE coalesce(text, '') END AS context FROM {}"
-_WORDS = lambda c: f"trim(regexp_replace(strip_accents(lower({c})), '[^a-z0-9]+', ' ', 'g'))"
+_WORDS = lambda c: f"trim(regexp_replace({_FOLDED(c)}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"WITH t AS ({_GROUND.format('documents')}) SELECT doc_id, key FROM t WHERE key IN ('k1', 'k2') AND length(value) <= 200 AND (({_WORDS('evidence')} <> '' AND contains({_WORDS('context')}, {_WORDS('evidence')})) OR ({_WORDS('value')} <> '' AND contains({_WORDS('context')}, {_WORDS('value')})))")

@@ -38,6 +38,12 @@ def test_closure_reaches_a_parent_without_a_row(spark):
     assert found == {(i, j): i - j for i in range(1, 41) for j in range(i + 1)}
 
 
+def test_grounded_values_spell_sharp_s(spark, tmp_path):
+    texts = [(6, "*** ### eß ###"), (18, "*** ### thin ###"), (30, "*** ### ß ###"), (2, "*** Straße"), (5, None)]
+    got, want = against_sql(spark, tmp_path, "grounded_values", documents=spark.createDataFrame(texts, "doc_id long, text string"))
+    assert got == want == [(18, "k2"), (2, "k2")]
+
+
 def test_range_search_has_no_last_row(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "search_spec_range", part=parts(spark, 101_000, p_size="15"), lineitem=lines(spark, 101_000, 101_000))
     assert len(want) == 101_000 and got == want
