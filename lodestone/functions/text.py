@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -105,12 +106,28 @@ def _unmarked() -> tuple[str, str, dict[str, str]]:
 _ONE, _PLAIN, _SEVERAL = _unmarked()
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once for a row, however often ``use`` names it and wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unmarked(col: Column) -> Column:
-    """Lower case, without marks; ligatures, full-width letters and their like as plain letters."""
-    low = F.regexp_replace(F.translate(F.lower(col), _ONE, _PLAIN), r"\p{Mn}", "")
+    """Lower case, without marks; ligatures, full-width letters and their like as plain letters.
+
+    A text of ASCII alone is only put in lower case. In others only the letters beyond ASCII are looked up.
+    """
     parts = F.str_to_map(F.lit(" ".join(f"{c}={plain}" for c, plain in _SEVERAL.items())), F.lit(" "), F.lit("="))
-    spelt = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(parts[c], c)), "")
-    return F.when(low.rlike(f"[{''.join(_SEVERAL)}]"), spelt).otherwise(low)
+
+    def spelt(low: Column) -> Column:
+        each = F.transform(F.split(low, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(parts[c], c)))
+        return F.when(low.rlike(rf"(?=[^\x00-\x7F])[{''.join(_SEVERAL)}]"), F.array_join(each, "")).otherwise(low)
+
+    def plain(low: Column) -> Column:
+        # The sharp s is the one such letter that texts are full of.
+        one = F.replace(F.regexp_replace(F.translate(low, _ONE, _PLAIN), r"\p{Mn}", ""), F.lit("ß"), F.lit("ss"))
+        return F.when(F.octet_length(low) == F.length(low), low).otherwise(bound(one, spelt))
+
+    return bound(F.lower(col), plain)
 
 
 def brand_key(col: Column) -> Column:

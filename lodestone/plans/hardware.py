@@ -25,8 +25,13 @@ _USB_KIND, _USB_VERSION = _CASE(h.USB, lambda r: f"'{r[1]}'"), _CASE(h.USB, lamb
 _PINS = _READ("([0-9]+)(?:\\s*\\+\\s*([0-9]+))?[\\s-]*pin", "INTEGER") + " + coalesce(nullif(regexp_extract(p, '([0-9]+)(?:\\s*\\+\\s*([0-9]+))?[\\s-]*pin', 2), '')::INTEGER, 0)"
 
 
+def _parts(spark, sf_dir):
+    """Parts dealt out by key: a part takes few bytes, so a scan alone would leave the reading of all sheets to a task or two."""
+    return b.table(spark, sf_dir, "part").repartition("p_partkey")
+
+
 def _items(spark, sf_dir, text: str, read, *fields):
-    found = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(read(F.expr(text))).alias("at", "item"))
+    found = _parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.posexplode(read(F.expr(text))).alias("at", "item"))
     return found.select("id", (F.col("at") + 1).alias("place"), *[F.col(f"item.{f}") for f in fields])
 
 
@@ -59,7 +64,7 @@ def sheet_power_connectors(spark, sf_dir):
 def sheet_video_outputs(spark, sf_dir):
     text = F.expr(_PORTS)
     hdmi, display = h.video_outputs(text, "hdmi")[0], h.video_outputs(text, "displayport")[0]
-    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), hdmi["version"].alias("hdmi"), display["version"].alias("displayport"), hdmi["count"].alias("count"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), hdmi["version"].alias("hdmi"), display["version"].alias("displayport"), hdmi["count"].alias("count"))
 
 
 _FAN_OWN = "array_to_string(list_filter(string_split(p, ' '), lambda w: NOT regexp_matches(w, '^[0-9]*(x|-?pins?)?$')), ' ')"
@@ -80,7 +85,7 @@ _SPEED = "concat(CASE p_size % 6 WHEN 0 THEN 'SATA III' WHEN 1 THEN '6 Gbps' WHE
 
 @query(f"WITH t AS (SELECT p_partkey AS id, lower({_SPEED}) AS p FROM part) SELECT id, " + _CASE(h.SATA, lambda r: f"'{r[1]}'") + " AS speed FROM t")
 def sheet_sata_speed(spark, sf_dir):
-    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), h.sata_speed(F.expr(_SPEED)).alias("speed"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), h.sata_speed(F.expr(_SPEED)).alias("speed"))
 
 
 _KEY = "CASE p_partkey % 4 WHEN 0 THEN 'pcie_slot_list' WHEN 1 THEN 'rgb_features' WHEN 2 THEN 'other' ELSE 'sata_headers' END"

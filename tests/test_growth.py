@@ -1,8 +1,10 @@
 """Results that must stay right, and work that must not outgrow its input, on tables with absent rows and many repeats."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import unmarked
 from lodestone.operators import catalog
 from lodestone.registry import ORACLES, QUERIES
 
@@ -47,3 +49,20 @@ def test_grounded_values_spell_sharp_s(spark, tmp_path):
 def test_range_search_has_no_last_row(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "search_spec_range", part=parts(spark, 101_000, p_size="15"), lineitem=lines(spark, 101_000, 101_000))
     assert len(want) == 101_000 and got == want
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["sheet_usb_headers", "sheet_video_outputs", "sheet_connector_headers", "sheet_rear_ports", "sheet_sata_speed", "sheet_power_connectors"])
+def test_sheets_are_dealt_out(spark, tmp_path, name):
+    parts(spark, 60).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert "RepartitionByExpression [p_partkey" in planned(QUERIES[name](spark, str(tmp_path)))
+
+
+def test_unmarked_puts_a_text_in_lower_case_once(spark):
+    words = ["Straße ﬁtbit ßß", "ÉCRAN", "plain", "", None, "日本 ™ ½", "K", "e\u0301a"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select(unmarked(F.col("w")).alias("w"))
+    assert [r["w"] for r in df.collect()] == ["strasse fitbit ssss", "ecran", "plain", "", None, "日本 tm ½", "k", "ea"]
+    assert planned(df).count("lower(") == 1
