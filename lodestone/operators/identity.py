@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,27 +28,36 @@ def mpn_pairs(offers: DataFrame, products: DataFrame) -> DataFrame:
     return left.join(right, ["b", "form"]).select("offer_id", "product_id").distinct()
 
 
-def strategy_pairs(offers: DataFrame, products: DataFrame) -> DataFrame:
-    """(offer_id, product_id, rung): what each strategy finds, one equi-join for each."""
+def strategy_ends(offers: DataFrame, products: DataFrame) -> DataFrame:
+    """(offer_id, rung, least, most): the smallest and the greatest product that each strategy finds for an offer; there are several if they differ.
+
+    Products shrink to a row for each key before they meet the offers, so a key that many of both have makes no pairs of them.
+    """
     o, p = keyed(offers), keyed(products)
-    by = lambda left, right, rung, *keys: left.select("offer_id", *keys).join(right.select("product_id", *keys), list(keys)).select("offer_id", "product_id", F.lit(rung).alias("rung"))
-    by_gtin = by(o, p, 0, "k_gtin")
-    by_mpn = mpn_pairs(offers, products).withColumn("rung", F.lit(1))
+    ends = (F.min("product_id").alias("least"), F.max("product_id").alias("most"))
+
+    def by(left: DataFrame, right: DataFrame, rung: int, *keys: str) -> DataFrame:
+        few = right.groupBy(*keys).agg(*ends)
+        return left.select("offer_id", *keys).join(few, list(keys)).select("offer_id", F.lit(rung).alias("rung"), "least", "most")
+
+    low = lambda df: df.withColumns({"b": F.lower("brand"), "m": F.lower("model")})
+    forms = lambda df: low(df).withColumn("form", F.explode("k_mpn"))
     # A number that is only digits says nothing unless the store vouches for it; others need letters and digits.
     telling = F.when(F.col("k_sku").rlike("^[0-9]+$"), F.col("sku_is_identity")).otherwise(F.col("k_sku").rlike("[A-Z]") & F.col("k_sku").rlike("[0-9]"))
-    sku = o.where(telling).select("offer_id", "k_sku", F.lower("brand").alias("ob")).join(p.select("product_id", "k_sku", F.lower("brand").alias("pb")), "k_sku")
-    by_sku = sku.where("ob is null or ob = pb").select("offer_id", "product_id", F.lit(2).alias("rung"))
-    low = lambda df: df.withColumns({"b": F.lower("brand"), "m": F.lower("model")})
-    by_model = by(low(o.where("k_brand is not null and k_model is not null")), low(p), 3, "b", "m")
-    return by_gtin.unionByName(by_mpn).unionByName(by_sku).unionByName(by_model).distinct()
+    told = low(o.where(telling))
+    found = (
+        by(o, p, 0, "k_gtin"), by(forms(o), forms(p), 1, "b", "form"), by(told, low(p), 2, "k_sku", "b"), by(told.where("b is null"), p, 2, "k_sku"),
+        by(low(o.where("k_brand is not null and k_model is not null")), low(p), 3, "b", "m"),
+    )
+    return reduce(DataFrame.unionByName, found).groupBy("offer_id", "rung").agg(F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def match(offers: DataFrame, products: DataFrame) -> DataFrame:
     """Each offer's status, strategy, confidence and product. Several products by part number or model are ambiguous; elsewhere the smallest id counts."""
-    found = strategy_pairs(offers, products).groupBy("offer_id", "rung").agg(F.min("product_id").alias("product_id"), F.count(F.lit(1)).alias("n"))
-    best = found.groupBy("offer_id").agg(F.min(F.struct("rung", "product_id", "n")).alias("best"))
+    found = strategy_ends(offers, products).withColumnRenamed("least", "product_id")
+    best = found.groupBy("offer_id").agg(F.min(F.struct("rung", "product_id", "most")).alias("best"))
     met = offers.select("offer_id").join(best, "offer_id", "left")
-    vague = (F.col("best.n") > 1) & F.col("best.rung").isin(1, 3)
+    vague = (F.col("best.product_id") < F.col("best.most")) & F.col("best.rung").isin(1, 3)
     rungs = F.array(*[F.lit(name) for name, _ in LADDER])
     weights = F.array(*[F.lit(w) for _, w in LADDER])
     status = F.when(F.col("best").isNull(), "NO_MATCH").when(vague, "AMBIGUOUS").otherwise("MATCH")
@@ -56,8 +67,8 @@ def match(offers: DataFrame, products: DataFrame) -> DataFrame:
 
 def conflicts(offers: DataFrame, products: DataFrame) -> DataFrame:
     """Offers whose GTIN and part number lead to different products."""
-    pairs = strategy_pairs(offers, products).where("rung < 2")
-    sides = pairs.groupBy("offer_id").agg(F.min(F.when(F.col("rung") == 0, F.col("product_id"))).alias("by_gtin"), F.min(F.when(F.col("rung") == 1, F.col("product_id"))).alias("by_mpn"))
+    ends = strategy_ends(offers, products).where("rung < 2")
+    sides = ends.groupBy("offer_id").agg(F.min(F.when(F.col("rung") == 0, F.col("least"))).alias("by_gtin"), F.min(F.when(F.col("rung") == 1, F.col("least"))).alias("by_mpn"))
     return sides.where("by_gtin <> by_mpn")
 
 

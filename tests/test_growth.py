@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import unmarked
-from lodestone.operators import catalog
+from lodestone.operators import catalog, identity, knowledge
 from lodestone.registry import ORACLES, QUERIES
 
 
@@ -66,3 +66,13 @@ def test_unmarked_puts_a_text_in_lower_case_once(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string").select(unmarked(F.col("w")).alias("w"))
     assert [r["w"] for r in df.collect()] == ["strasse fitbit ssss", "ecran", "plain", "", None, "日本 tm ½", "k", "ea"]
     assert planned(df).count("lower(") == 1
+
+
+def test_a_key_of_many_offers_and_products_makes_no_pairs(spark):
+    """400 million pairs, were they made."""
+    own = [F.lit(None).cast("string").alias(c) for c in ("gtin", "mpn", "sku")] + [F.lit(v).alias(c) for c, v in (("brand", "B"), ("model", "M 1"), ("name", "one"), ("sku_is_identity", False))]
+    offers, products = (spark.range(20_000).select(F.col("id").alias(key), *own) for key in ("offer_id", "product_id"))
+    found = identity.match(offers, products).groupBy("status", "strategy", "product_id").count().collect()
+    assert [tuple(r) for r in found] == [("AMBIGUOUS", "brand_model", None, 20_000)]
+    listed = knowledge.model_candidates(offers, products).groupBy("product_id", "strategy", "rank").count().collect()
+    assert sorted(map(tuple, listed)) == [(i, 1, i + 1, 20_000) for i in range(8)]
