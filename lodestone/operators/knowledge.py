@@ -63,7 +63,13 @@ def model_candidates(offers: DataFrame, products: DataFrame, *, most: int = MODE
     mpn = lambda c: F.regexp_replace(F.upper(c), r"[\s\-_./\\]+", "")
     shape = lambda df, key: df.select(key, F.lower("brand").alias("b"), mpn("mpn").alias("m"), F.lower(F.trim("model")).alias("d"), F.lower("name").alias("n"))
     left, right = shape(offers, "offer_id"), shape(products, "product_id")
-    same = lambda key, strategy: left.where(f"{key} <> ''").join(right, ["b", key]).select("offer_id", "product_id", F.lit(strategy).alias("strategy"), F.lit(1.0).alias("score"))
+
+    def same(key: str, strategy: int) -> DataFrame:
+        """The ``most`` smallest products of each key; they are found before they meet the offers, so a common key makes no pairs of all that have it."""
+        first = Window.partitionBy("b", key).orderBy("product_id")
+        few = right.where(f"{key} <> '' and b is not null").select("b", key, "product_id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+        return left.select("b", key, "offer_id").join(few, ["b", key]).select("offer_id", "product_id", F.lit(strategy).alias("strategy"), F.lit(1.0).alias("score"))
+
     grouped = lambda df: df.select(F.col("b").alias("group"), F.col("n").alias("name"))
     close = similar_names(grouped(left), grouped(right), ALIKE).select(F.col("group").alias("b"), F.col("a").alias("n"), F.col("b").alias("o"), "score")
     first = Window.partitionBy("b", "o").orderBy("product_id")
@@ -72,8 +78,7 @@ def model_candidates(offers: DataFrame, products: DataFrame, *, most: int = MODE
     order = Window.partitionBy("b", "n").orderBy(F.desc("score"), "product_id")
     named = close.join(few, ["b", "o"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * most)
     similar = left.join(named, ["b", "n"]).select("offer_id", "product_id", F.lit(2).alias("strategy"), "score")
-    keyed = [c.withColumn("_n", F.row_number().over(Window.partitionBy("offer_id").orderBy("product_id"))).where(F.col("_n") <= most).drop("_n") for c in (same("m", 0), same("d", 1))]
-    all_ = keyed[0].unionByName(keyed[1]).unionByName(similar)
+    all_ = same("m", 0).unionByName(same("d", 1)).unionByName(similar)
     once = all_.groupBy("offer_id", "product_id").agg(F.min(F.struct("strategy", (-F.col("score")).alias("minus"))).alias("best"))
     rank = F.row_number().over(Window.partitionBy("offer_id").orderBy("best.strategy", "best.minus", "product_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= most).select("offer_id", "product_id", "best.strategy", "rank")
