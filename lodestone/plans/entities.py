@@ -35,9 +35,11 @@ def resolved_products(spark, sf_dir):
     least = b.offers(spark, sf_dir).groupBy(F.col("product_id").alias("id")).agg(F.min("price").alias("sort_price"))
     named = b.products(spark, sf_dir).withColumn("name", F.concat_ws(" ", "name", "size")).select("id", "name", "brand", "category")
     part, form = F.col("l_partkey"), F.col("l_linenumber") % 5
-    lines = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "part"), F.col("p_partkey") == part)
+    # Lines and parts are told apart by what messages take of them, before they meet: a row is a few numbers there.
+    said_of = b.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size").distinct()
+    lines = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(said_of, F.col("p_partkey") == part)
     messages = lines.select(
         F.expr(_MESSAGE).alias("message_id"), F.expr(_SAID).alias("text"),
         F.when(form == 0, F.array(part, part + 1)).alias("active"), F.when(form == 1, F.array(part, part + 7, part)).alias("ids"),
-    ).distinct()
+    )
     return e.resolved(messages, named.join(least, "id"))
