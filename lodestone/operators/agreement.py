@@ -52,7 +52,7 @@ def conflicting_claims(items: DataFrame) -> DataFrame:
     units = lambda c: F.array_distinct(F.transform(c, lambda x: x["unit"]))
     values = lambda c, u: F.array_sort(F.array_distinct(F.transform(F.filter(c, lambda x: x["unit"] == u), lambda x: x["value"])))
     by_unit = items.select("claim", F.explode(F.transform(units(F.col("said")), lambda u: F.struct(u.alias("unit"), values(F.col("said"), u).alias("list")))).alias("x"))
-    lists = by_unit.select("claim", "x.unit", "x.list").distinct()
+    lists = written(by_unit.select("claim", "x.unit", "x.list").distinct(), "lists")
     key = ["claim", "unit"]
     sizes = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.size("list").alias("size"), "list")).alias("short"))
     common = lists.select(*key, F.explode("list").alias("value")).groupBy(*key, "value").count().groupBy(*key).agg(F.max("count").alias("common"))
@@ -80,21 +80,23 @@ def classified(evidence: DataFrame, claims: DataFrame) -> DataFrame:
     * insufficient_evidence: no item counts, or they say different things without numbers (0).
 
     Null titles, contents and confidences are empty and 0. A claim that stands twice in ``claims`` with one model has one row;
-    items of other claims are left out.
+    items of other claims are left out. Items of a claim with one text are counted before anything is read from it, and a text of several claims is read once.
     """
     wanted = claims.select("claim", F.coalesce("model", F.lit("")).alias("model")).distinct()
     text = F.concat_ws(" ", *[F.when(F.length(c) > 0, F.col(c)) for c in ("title", "content")])
-    met = evidence.select("claim", text.alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("sure")).join(wanted, "claim")
-    read = met.select(F.struct("claim", "model").alias("claim"), "sure", words(F.col("model")).alias("own"), plain(F.col("text")).alias("text"))
-    read = read.withColumn("words", words(F.col("text")))
+    said = evidence.select("claim", text.alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("sure"))
+    items = written(said.groupBy("claim", "text").agg(F.count(F.lit(1)).alias("n"), F.max("sure").alias("sure")), "items")
+    read = items.select("text").distinct().withColumn("plain", plain(F.col("text")))
+    digest = F.when(F.length("plain") > 0, F.sha2("plain", 256)).alias("digest")
+    read = written(read.select("text", words(F.col("plain")).alias("words"), quantities(F.col("plain")).alias("said"), digest), "read")
+    met = items.join(read, "text").join(wanted.withColumn("own", words(F.col("model"))), "claim")
     own, said, counts = F.col("own"), F.col("words"), F.col("kind") == "counts"
-    kind = F.when(F.length("claim.model") == 0, "counts").when(F.arrays_overlap(own, said), F.when(same_variant(own, said), "counts").otherwise("mismatched"))
-    digest = F.when(F.length("text") > 0, F.sha2("text", 256)).alias("digest")
-    # What two groupings need of each item is read from its text once. Claims are told apart by model as well from here on.
-    known = written(read.select("claim", "sure", kind.alias("kind"), quantities(F.col("text")).alias("said"), digest), "evidence").where("kind is not null")
-    digest = F.when(counts, F.col("digest"))
+    kind = F.when(F.length("model") == 0, "counts").when(F.arrays_overlap(own, said), F.when(same_variant(own, said), "counts").otherwise("mismatched"))
+    # Claims are told apart by model as well from here on.
+    known = written(met.select(F.struct("claim", "model").alias("claim"), "n", "sure", kind.alias("kind"), "said", "digest"), "evidence").where("kind is not null")
+    digest, total = F.when(counts, F.col("digest")), lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     per = known.groupBy("claim").agg(
-        F.count_if(counts).alias("items"), F.count_if(~counts).alias("mismatched"), F.count_if(counts & (F.size("said") > 0)).alias("numeric"),
+        total(counts).alias("items"), total(~counts).alias("mismatched"), total(counts & (F.size("said") > 0)).alias("numeric"),
         F.max(F.when(counts, F.col("sure"))).alias("base"), F.min(digest).alias("_first"), F.max(digest).alias("_last"),
     )
     clash = conflicting_claims(known.where("kind = 'counts' and size(said) > 0").select("claim", "said")).withColumn("clash", F.lit(True))

@@ -65,3 +65,14 @@ def test_conflicts_as_by_pairs(spark):
     got = a.conflicting_claims(spark.createDataFrame(rows, "claim int, said array<struct<value:double,unit:string>>")).collect()
     assert {r[0] for r in got} == want and len(got) == len(want) and 900 not in want and 901 in want
     assert re.fullmatch("[a-z]+", a.VARIANT_WORDS[0])
+
+
+def test_items_with_one_text_are_read_once(spark, monkeypatch):
+    """3000 items of two claims with five texts each, two of them the same for both."""
+    rows = {}
+    monkeypatch.setattr(a, "written", lambda df, name: rows.update({name: df.count()}) or df)
+    items = spark.range(3000).selectExpr("id % 2 AS claim", "'Poco X6' AS title", "concat(if(id % 10 < 4, 0, id % 2), id div 2 % 5, ' g') AS content", "0.5d + if(id = 17, 0.2d, 0d) AS confidence")
+    claims = spark.createDataFrame([(0, "Poco X6"), (1, ""), (2, None)], "claim long, model string")
+    got = sorted(tuple(r) for r in a.classified(items, claims).collect())
+    assert got == [(0, "Poco X6", 1500, 0, "conflict", 0.0), (1, "", 1500, 0, "conflict", 0.0), (2, "", 0, 0, "insufficient_evidence", 0.0)]
+    assert rows["evidence"] == 10 and rows["read"] == 8 and rows["lists"] == 10
