@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.batches import pieces
 from lodestone.functions.vectors import cosine
 
 # Words that no search is made for, and how much each part of a score weighs.
@@ -31,6 +35,8 @@ def query_words(query: str, limit: int = 10) -> list[str]:
 # Where a chunk may end, the best kind first, and how far from its end such a place is looked for.
 BREAKS = ("\n\n", "\n", ". ", " ")
 REACH = 60
+# Texts and characters that a task cuts at a time.
+AT_ONCE, CHARACTERS_AT_ONCE = 256, 1_000_000
 
 
 def _stretches(text: str, size: int, overlap: int):
@@ -51,15 +57,20 @@ def _stretches(text: str, size: int, overlap: int):
         begin = limit - overlap if limit - overlap > begin else limit
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-    """Stretches of at most ``size`` characters that overlap; each ends after the last blank line, line end, sentence or space of its final REACH characters, in this order of preference. A null or blank text has none."""
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def chunks(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """chunks(text, size, overlap): stretches of at most ``size`` characters that overlap; each ends after the last blank line, line end, sentence or space of its
+    final REACH characters, in this order of preference. A null or blank text has none. A task cuts a few texts at a time."""
 
     def cut(x: str, n: int, lap: int) -> list[str]:
-        pieces = [x] if len(x) <= n else [x[a:b].strip() for a, b in _stretches(x, n, lap)]
-        return [p for p in pieces if p]
-
-    return pd.Series([cut((x or "").strip(), int(n), int(lap)) for x, n, lap in zip(text, size, overlap, strict=True)])
+        parts = [x] if len(x) <= n else [x[a:b].strip() for a, b in _stretches(x, n, lap)]
+        return [p for p in parts if p]
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[0]), 0).to_numpy(zero_copy_only=False)
+        for a, b in pieces(sizes, AT_ONCE, CHARACTERS_AT_ONCE):
+            text, size, overlap = (c.slice(a, b - a).to_pylist() for c in batch)
+            yield pa.array([cut((x or "").strip(), int(n), int(lap)) for x, n, lap in zip(text, size, overlap, strict=True)], pa.list_(pa.string()))
 
 
 def keyword_score(words: list[str], content: Column, title: Column, identity: Column) -> Column:

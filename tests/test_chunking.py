@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +39,11 @@ def test_odd_tables(spark):
     assert chunking.chunked(empty).columns == ["doc_id", "chunk_index", "start", "content", "approx_tokens"] and chunking.chunked(empty).count() == 0
     twice = spark.createDataFrame([(1, "x")] * 2, "doc_id int, text string")
     assert chunking.chunked(twice).count() == 2 and chunking.chunked(twice, most=0).count() == 0
+
+
+def test_a_task_cuts_a_few_texts_at_a_time():
+    """A batch of 1000 texts, one of them long, comes back in pieces."""
+    texts = pa.array([None if i % 7 == 0 else f"text {i} " * 30 for i in range(999)] + ["word " * 400_000])
+    made = list(retrieval.chunks.func(iter([(texts, pa.array([100] * 1000), pa.array([20] * 1000))])))
+    assert [len(x) for x in made] == [256, 256, 256, 231, 1]
+    assert made[0][0].as_py() == [] and made[0][1].as_py()[0].startswith("text 1 text 1")
