@@ -123,7 +123,7 @@ def mentions(messages: DataFrame, dictionary: DataFrame, text_col: str = "text")
     """(message_id, kind, term) for the dictionary's terms (kind, term) that a message holds, without case and marks, inside words too."""
     said = messages.select("message_id", unmarked(F.coalesce(F.col(text_col), F.lit(""))).alias("said"))
     terms = dictionary.select("kind", F.col("term").alias("_own"), unmarked(F.col("term")).alias("term"))
-    found = held(said, terms, text_col="said").select("message_id", "term")
+    found = held(said, terms, text_col="said", keep=["message_id"])
     return found.join(terms, "term").select("message_id", "kind", F.col("_own").alias("term")).distinct()
 
 

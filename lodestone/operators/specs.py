@@ -121,7 +121,7 @@ def by_alias(products: DataFrame, aliases: DataFrame, *cols: str) -> DataFrame:
     """(id, source) where a product's text (the columns ``cols``, else name) holds an alias (alias, source) of the source, both as plain() has them, inside words too."""
     text = F.concat_ws(" ", *[F.col(c) for c in cols or ("name",)])
     wanted = aliases.select(plain(F.col("alias")).alias("term"), "source").where("term <> ''")
-    found = held(products.select("id", plain(text).alias("said")), wanted, text_col="said").select("id", "term")
+    found = held(products.select("id", plain(text).alias("said")), wanted, text_col="said", keep=["id"])
     return found.join(wanted, "term").select("id", "source").distinct()
 
 

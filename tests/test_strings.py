@@ -27,6 +27,19 @@ def test_substrings_both_ways(spark, bounds):
     assert substrings.held(df, none, **bounds).count() == 0 and substrings.held(df.limit(0), found.select("term"), **bounds).count() == 0
 
 
+@pytest.mark.parametrize("bounds", [{}, {"most_terms": 1}])
+def test_long_texts_stay_behind(spark, bounds):
+    """Pairs come without their text, and 700 texts in pieces of the batch; mentions leave the text behind as well."""
+    texts = spark.range(700).select("id", F.concat(F.lit("ab needle "), F.col("id"), F.repeat(F.lit(" tail"), 200)).alias("text"))
+    terms = spark.createDataFrame([("ab",), ("needle 69",), ("zz",)], "term string")
+    found = substrings.held(texts, terms, keep=["id"], **bounds)
+    assert found.columns == ["id", "term"] and sorted(map(tuple, found.collect())) == sorted([(i, "ab") for i in range(700)] + [(i, "needle 69") for i in range(700) if str(i).startswith("69")])
+    named = knowledge.mentions(texts.withColumnRenamed("id", "message_id"), terms.withColumn("kind", F.lit("k")))
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert len(made) == 1 and "said" not in made[0].split("[")[1] and named.count() == 711
+
+
 def test_large_dictionaries_make_no_nested_loop(spark):
     texts = spark.range(50).select(F.col("id"), F.concat(F.lit("text number "), "id").alias("text"))
     found = substrings.held(texts, spark.range(50).select(F.concat(F.lit("number "), "id").alias("term")), most_terms=10)
