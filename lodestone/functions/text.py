@@ -120,7 +120,8 @@ def unmarked(col: Column) -> Column:
 
     def spelt(low: Column) -> Column:
         each = F.transform(F.split(low, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(parts[c], c)))
-        return F.when(low.rlike(rf"(?=[^\x00-\x7F])[{''.join(_SEVERAL)}]"), F.array_join(each, "")).otherwise(low)
+        beyond = F.octet_length(low) != F.length(low)
+        return F.when(beyond & low.rlike(rf"(?=[^\x00-\x7F])[{''.join(_SEVERAL)}]"), F.array_join(each, "")).otherwise(low)
 
     def plain(low: Column) -> Column:
         # The sharp s is the one such letter that texts are full of.
