@@ -34,14 +34,13 @@ def closure(tree: DataFrame) -> DataFrame:
     """(id, ancestor_id, distance): each category with itself and all above it, at the least distance, without a limit of levels.
 
     Pointer doubling: a round looks twice as far as the last, so a chain of a thousand takes ten. Cycles add no new pairs once they
-    have been walked around, and the rounds end when a round adds none. Each round's pairs are written to the shared folder.
-    A parent without a row of its own is above its children at every distance; nothing is above it.
+    have been walked around, and the rounds end when a round adds none. Each pair is written to the shared folder once, in the round
+    that finds it. A parent without a row of its own is above its children at every distance; nothing is above it.
     """
     ids = tree.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance")).distinct()
     jump = tree.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor_id")).distinct()
     nearest = lambda pairs: pairs.groupBy("id", "ancestor_id").agg(F.min("distance").alias("distance"))
-    reach = written(nearest(ids.unionByName(jump.withColumn("distance", F.lit(1)))), "closure")
-    n, step = reach.count(), 1
+    reach, step = written(nearest(ids.unionByName(jump.withColumn("distance", F.lit(1)))), "closure"), 1
     while True:
         over = jump.select(F.col("id").alias("_from"), F.col("ancestor_id").alias("_over"))
         jump = written(jump.join(over, F.col("ancestor_id") == F.col("_from")).select("id", F.col("_over").alias("ancestor_id")).distinct(), "jumps")
@@ -50,11 +49,87 @@ def closure(tree: DataFrame) -> DataFrame:
         # Where a jump lands counts by itself: a parent that has no row is nowhere in ``reach`` as an id.
         landed = far.select(F.col("_id").alias("id"), F.col("_over").alias("ancestor_id"), F.lit(step).alias("distance"))
         beyond = far.join(reach, F.col("_over") == F.col("id")).select(F.col("_id").alias("id"), "ancestor_id", (F.col("distance") + step).alias("distance"))
-        wider = written(nearest(reach.unionByName(landed).unionByName(beyond)), "closure")
-        m = wider.count()
-        if m == n:
-            return wider
-        reach, n = wider, m
+        known = reach.select(F.col("id").alias("_id"), F.col("ancestor_id").alias("_ancestor"))
+        fresh = nearest(landed.unionByName(beyond)).join(known, F.col("id").eqNullSafe(F.col("_id")) & (F.col("ancestor_id") == F.col("_ancestor")), "left_anti")
+        fresh = written(fresh, "closure")
+        if fresh.isEmpty():
+            return reach
+        reach = reach.unionByName(fresh)
+
+
+def closure_totals(tree: DataFrame) -> DataFrame:
+    """(id, highest, distance, n): of each category's pairs in ``closure`` the smallest ancestor, the largest distance and their number.
+
+    Where each category has one parent, all above it lie on one walk, whose smallest id and length pointer doubling carries along:
+    a round holds a row of each category at most, and the pairs are never made. Walks into cycles are done over, up to their cycle.
+    Where a category has several parents, ways may part and meet again, so the pairs are made and counted.
+    """
+    rows = written(tree.groupBy("id").agg(F.min("parent_id").alias("over"), F.max("parent_id").alias("_other")), "parents")
+    if not rows.where("over <> _other").isEmpty():
+        return closure(tree).groupBy("id").agg(F.min("ancestor_id").alias("highest"), F.max("distance").alias("distance"), F.count(F.lit(1)).alias("n"))
+    start = rows.select("id", "over", F.col("id").alias("highest"), F.lit(1).cast("bigint").alias("n"))
+    ended, endless = _walks(start)
+    if not endless.isEmpty():
+        again = start.join(endless.select(F.col("id").alias("_endless")), F.col("id").eqNullSafe(F.col("_endless")), "left_semi")
+        ring = _rings(again.join(_places(endless), F.col("id") == F.col("_place"), "left_semi"))
+        whole = ring.select(F.col("id").alias("_id"), F.col("highest").alias("_highest"), F.col("n").alias("_n"))
+        again = again.join(whole, F.col("id") == F.col("_id"), "left").select(
+            "id", F.when(F.col("_id").isNull(), F.col("over")).alias("over"), F.coalesce("_highest", "highest").alias("highest"), F.coalesce("_n", "n").alias("n")
+        )
+        ended = ended.unionByName(_walks(written(again, "walks"))[0])
+    return ended.select("id", "highest", (F.col("n") - 1).cast("int").alias("distance"), "n")
+
+
+def _walks(start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Walks that end, and those that run into a cycle, with a place behind each as ``over``. start: id, over, highest and n of those below over.
+
+    A walk that ends, however long, passes categories that are each one level nearer to its end. So once twice as many levels end no
+    further walk, none that is left will end.
+    """
+    ended, on = start.where("over is null"), start.where("over is not null")
+    before, left = 0, on.count()
+    while left and left != before:
+        above = ended.unionByName(on).select(F.col("id").alias("_id"), F.col("over").alias("_over"), F.col("highest").alias("_highest"), F.col("n").alias("_n"))
+        # A parent that has no row counts by itself.
+        step = on.join(above, F.col("over") == F.col("_id"), "left").select(
+            "id", F.col("_over").alias("over"), F.least("highest", F.coalesce("_highest", "over")).alias("highest"), (F.col("n") + F.coalesce("_n", F.lit(1))).alias("n")
+        )
+        step = written(step, "walks")
+        ended, on = ended.unionByName(step.where("over is null")), step.where("over is not null")
+        before, left = left, on.count()
+    return ended, on
+
+
+def _places(endless: DataFrame) -> DataFrame:
+    """(_place): all members of cycles, from walks that run into one.
+
+    The places reached after twice as many levels are among those reached before. Once they are no fewer, each of them is reached from
+    one of them, so all are on cycles.
+    """
+    jump = endless.select("id", "over")
+    before, n = 0, jump.agg(F.count_distinct("over")).first()[0]
+    while n != before:
+        above = jump.select(F.col("id").alias("_id"), F.col("over").alias("_over"))
+        jump = written(jump.join(above, F.col("over") == F.col("_id")).select("id", F.col("_over").alias("over")), "jumps")
+        before, n = n, jump.agg(F.count_distinct("over")).first()[0]
+    return jump.select(F.col("over").alias("_place")).distinct()
+
+
+def _rings(members: DataFrame) -> DataFrame:
+    """(id, highest, n): each member of a cycle with the cycle's smallest id and length. members: id, over, highest (its own id).
+
+    Once twice as many levels bring no member a smaller id, those levels have covered the cycle.
+    """
+    ring = written(members.select("id", "over", "highest"), "rings")
+    while True:
+        above = ring.select(F.col("id").alias("_id"), F.col("over").alias("_over"), F.col("highest").alias("_highest"))
+        wider = ring.join(above, F.col("over") == F.col("_id")).select("id", F.col("_over").alias("over"), F.least("highest", "_highest").alias("highest"), (F.col("_highest") < F.col("highest")).alias("_less"))
+        wider = written(wider, "rings")
+        ring = wider.drop("_less")
+        if wider.where("_less").isEmpty():
+            break
+    length = ring.groupBy(F.col("highest").alias("_highest")).agg(F.count(F.lit(1)).alias("n"))
+    return ring.join(length, F.col("highest") == F.col("_highest")).select("id", "highest", "n")
 
 
 def category_named(tree: DataFrame, term: str) -> DataFrame:

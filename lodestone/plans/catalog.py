@@ -117,5 +117,4 @@ _CHAIN = "SELECT DISTINCT o_custkey AS id, CASE WHEN o_custkey % 500 > 0 THEN o_
 def category_closure(spark, sf_dir):
     """Customers with orders as chains of up to 500 levels, broken where one has none; some chains end in a cycle."""
     tree = spark.sql(_CHAIN.format("{o}"), o=b.table(spark, sf_dir, "orders"))
-    found = c.closure(tree).groupBy("id")
-    return found.agg(F.min("ancestor_id").alias("highest"), F.max("distance").alias("distance"), F.count(F.lit(1)).alias("n"))
+    return c.closure_totals(tree)

@@ -40,6 +40,49 @@ def test_closure_reaches_a_parent_without_a_row(spark):
     assert found == {(i, j): i - j for i in range(1, 41) for j in range(i + 1)}
 
 
+@pytest.fixture
+def tables_written(monkeypatch):
+    """The names and rows of the tables that the closure's rounds write."""
+    seen = []
+
+    def noted(df, name, write=catalog.written):
+        out = write(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(catalog, "written", noted)
+    return seen
+
+
+def test_category_closure_makes_no_pairs(spark, tmp_path, tables_written):
+    """Two whole chains (500 to 999 runs into a cycle) and two that are broken, one of them within its cycle."""
+    orders = spark.range(6000).select((F.col("id") % 2000).alias("o_custkey")).where("o_custkey not in (1250, 1505)")
+    got, want = against_sql(spark, tmp_path, "category_closure", orders=orders)
+    assert len(want) == 1998 and got == want
+    assert max(n for _, n in tables_written) <= len(want)
+
+
+def test_closure_writes_each_pair_once(spark, tables_written):
+    tree = spark.createDataFrame([(i, i - 1 if i % 50 else i + 9) for i in range(100)] + [(200, 201), (200, 202), (201, 203), (202, 203)], "id long, parent_id long")
+    pairs = catalog.closure(tree).count()
+    assert pairs == 2 * sum(max(10, i + 1) for i in range(50)) + 8 == sum(n for name, n in tables_written if name == "closure")
+
+
+def test_closure_totals_are_those_of_the_pairs(spark):
+    """Cycles of one, three and 40 with ways into them, a walk from no id, parents without a row, an id that is there twice."""
+    rings = [(base + i, base + (i + 1) % n) for base, n in ((100, 1), (200, 3), (300, 40)) for i in range(n)]
+    ways = [(1, 100), (2, 1), (3, 201), (4, 3), (5, 4), (6, 5), (7, 339), (8, 7), (None, 6), (9, 999), (10, 9), (11, 998), (12, None), (13, 12), (13, 12), (13, None)]
+    for several in ([], [(20, 1), (20, 3), (21, 20)]):
+        tree = spark.createDataFrame(rings + ways + several, "id long, parent_id long")
+        pairs = {}
+        for r in catalog.closure(tree).collect():
+            pairs.setdefault(r["id"], {})[r["ancestor_id"]] = r["distance"]
+        want = {i: (min(a for a in up if a is not None), max(up.values()), len(up)) for i, up in pairs.items()}
+        assert {r["id"]: (r["highest"], r["distance"], r["n"]) for r in catalog.closure_totals(tree).collect()} == want
+        assert [want[i] for i in (7, None, 10, 13)] == [(7, 40, 41), (3, 7, 8), (9, 2, 3), (12, 1, 2)]
+        assert len(want) == 44 + 14 + (2 if several else 0)
+
+
 def test_grounded_values_spell_sharp_s(spark, tmp_path):
     texts = [(6, "*** ### eß ###"), (18, "*** ### thin ###"), (30, "*** ### ß ###"), (2, "*** Straße"), (5, None)]
     got, want = against_sql(spark, tmp_path, "grounded_values", documents=spark.createDataFrame(texts, "doc_id long, text string"))
